@@ -107,8 +107,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     anchors = sorted({a for c in compiled for a in c.anchors})
     # Any text with a licence holds an anchor: the others (most) never leave this step.
     any_anchor = t.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(anchors) + ")(?![a-z0-9])")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.lit(5), t).alias("key"), t.alias("unit_text"), any_anchor.alias("open"))
+    t = F.col("unit_text")
     units = F.array_distinct(F.concat(F.array(t), F.split(t, r"\n[\x20\t\r]*\n"), F.split(t, "\n")))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.lit(5), t).alias("key"), t.alias("t"), any_anchor.alias("open"))
     each = rows.where("open").select("doc_id", "key", F.explode(F.filter(units, lambda u: u.rlike("[A-Za-z0-9]"))).alias("unit"))
     each = each.select("doc_id", "key", _words(F.col("unit")).alias("words"))
     longest = max(len(c.bigrams) for c in compiled)
