@@ -139,8 +139,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, need: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(fp, shingles) of the documents whose ids are in need."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(need.select("doc_id").distinct(), "doc_id", "left_semi")
+    """(fp, shingles) of the documents whose ids are in need. need grows with the input, so it is never broadcast."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(need.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -201,21 +201,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = pairs.groupBy("fp", "rep").agg(F.min(F.struct((F.col("near") < percent / 100 - MARGIN / 4).alias("doubtful"), "lead_rep", "lead")).alias("x"))
     first = cut(first.select("fp", "rep", F.col("x.lead").alias("lead"), F.col("x.lead_rep").alias("lead_rep")))
 
-    # The sets of all that share a bucket with a class that looks near: what the exact tests below can ask for.
-    in_doubt = _doubtful(shared, signatures, floor)
-    in_doubt = cut(in_doubt.join(shared.select("bucket", "rep", "fp").distinct(), ["bucket", "fp"]))
-    need = in_doubt.select(F.col("rep").alias("doc_id")).union(first.select("rep")).union(first.select("lead_rep"))
-    sets = cut(_sets(docs, need, doc_id, text))
-
+    sets = cut(_sets(docs, first.select(F.col("rep").alias("doc_id")).union(first.select("lead_rep")), doc_id, text))
     sure = first.join(sets, "fp").join(sets.select(F.col("fp").alias("lead"), F.col("shingles").alias("theirs")), "lead")
     sure = sure.withColumn("both", F.size(F.array_intersect("shingles", "theirs"))).where(100 * F.col("both") >= percent * (F.size("shingles") + F.size("theirs") - F.col("both")))
     first_links = components(sure.select(F.col("rep").alias("a"), F.col("lead_rep").alias("b")))
     labels = cut(classes.select("fp", F.col("rep").alias("node")).join(first_links, "node", "left").select("fp", F.coalesce("label", "node").alias("label")))
 
-    # Buckets of several components: all that looks near across components is tested on full sets.
-    left = in_doubt.select("bucket", "fp", "i", "j", "own").join(labels, "fp")
-    mixed = left.groupBy(*_BLOCK_KEYS).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select(*_BLOCK_KEYS)
-    left = left.join(mixed, _BLOCK_KEYS, "left_semi").join(signatures.drop("rep"), "fp").join(sets, "fp")
+    # Buckets that still hold several components: what looks near across components is tested on full sets.
+    open_ = shared.select("bucket", "rep", "fp", "members").join(labels, "fp")
+    mixed = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    in_doubt = cut(_doubtful(open_.join(mixed, "bucket", "left_semi"), signatures, floor))
+    sets = cut(_sets(docs, in_doubt.select(F.col("rep").alias("doc_id")), doc_id, text))
+    left = in_doubt.join(signatures.drop("rep"), "fp").join(sets, "fp")
 
     def confirm(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.column_stack([group[f"s{i}"].to_numpy().view(np.uint64) for i in range(SLOTS * BITS // 64)])
@@ -249,22 +246,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _doubtful(shared: DataFrame, signatures: DataFrame, floor: float) -> DataFrame:
-    """(bucket, i, j, own, fp) of the classes that look near to another one of their bucket.
+    """(bucket, i, j, own, fp, rep, label) of the classes that look near to one of another component in their bucket.
 
     Buckets that differ in nothing but their band hold the same pairs; the first of them stands for all.
     """
     alike = shared.groupBy("bucket").agg(F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("xor"), F.first("members").alias("members"))
     chosen = alike.groupBy("sum", "xor", "members").agg(F.min("bucket").alias("bucket"))
-    members = shared.select("bucket", "fp", "members").join(chosen.select("bucket"), "bucket", "left_semi")
+    members = shared.select("bucket", "fp", "rep", "label", "members").join(chosen.select("bucket"), "bucket", "left_semi")
     rows = _blocks(members.join(signatures.drop("rep"), "fp"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.column_stack([group[f"s{i}"].to_numpy().view(np.uint64) for i in range(SLOTS * BITS // 64)])
         near = estimates(sig, sig) >= floor
-        np.fill_diagonal(near, False)
+        label = group["label"].to_numpy()
+        near &= label[:, None] != label[None, :]
         if group.i.iat[0] != group.j.iat[0]:
             own = group.own.to_numpy()
             near &= own[:, None] != own[None, :]
-        return group.loc[near.any(1), ["bucket", "i", "j", "own", "fp"]]
+        return group.loc[near.any(1), names]
 
-    return rows.groupBy(*_BLOCK_KEYS).applyInPandas(run, "bucket long, i int, j int, own int, fp binary")
+    names = ["bucket", "i", "j", "own", "fp", "rep", "label"]
+    return rows.groupBy(*_BLOCK_KEYS).applyInPandas(run, rows.select(*names).schema)
