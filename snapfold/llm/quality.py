@@ -82,7 +82,7 @@ def fit(X: np.ndarray, y: np.ndarray, names: list[str], penalty: float = 4e-4, n
     y = np.asarray(y, dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return Model(0.0 if len(y) == 0 else math.copysign(3.0, y[0] - 0.5), ())
-    _, grown = trees.boost(X, y, trees=n_trees, depth=depth, rate=0.3, least=5.0)
+    _, grown = trees.boost(X, y, trees=n_trees, depth=depth, rate=0.3, least=max(0.5, min(5.0, len(y) / 200)))
     rules = list(dict.fromkeys(p for t in grown for p in trees.paths(t)))
     Z = np.empty((len(y), len(rules)))
     for i, terms in enumerate(rules):
