@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snapfold.functions import rules
 
@@ -29,14 +30,14 @@ def given_first(c: Column) -> Column:
     return collapse(F.when(F.contains(c, F.lit(",")), flipped).otherwise(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def name_key(names: pd.Series) -> pd.Series:
     """Letters and digits of a name without accents: there is no built-in decomposition."""
     plain = names.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower())
     return plain.map(lambda s: None if s is None else re.sub("[^a-z0-9]+", "", s))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratio of matching blocks, to six places."""
     return pd.Series([None if a is None or b is None else round(SequenceMatcher(None, a, b).ratio(), 6) for a, b in zip(left, right, strict=True)], dtype="float64")
