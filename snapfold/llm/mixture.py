@@ -17,7 +17,8 @@ from snapfold.llm.common import cut, partitions, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
-SALTS = 64
+#: Least number of a hash's bits that deal one class of a source among windows.
+SALT_BITS = 6
 #: Classes of size per doubling.
 FINE = 32
 
@@ -120,8 +121,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     dealt = per_source.select(F.col("source").alias("_source"), F.inline(F.aggregate("classes", start, deal)["done"]))
     dealt = cut(dealt.select("_source", F.col("level").alias("_level"), F.col("n").alias("in_class"), "extra"))
 
-    # Ranks inside a class: salts first, so that no window holds more than a share of a class; then every n/extra-th is taken.
-    placed = rows.withColumn("level", level).withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int"))
+    # Ranks inside a class follow the hash. Its high bits are the salt, so that no window holds more than a share of a
+    # class and the number of salts, which grows with the partitions, changes no rank; every n/extra-th is taken.
+    bits = max(SALT_BITS, (4 * partitions(docs.sparkSession)).bit_length())
+    placed = rows.withColumn("level", level).withColumn("salt", F.shiftright("h", 64 - bits))
     salted = placed.where("level >= 0").groupBy("source", "level", "salt").agg(F.count("*").alias("n"))
     before = salted.withColumn("before", F.sum("n").over(W.partitionBy("source", "level").orderBy("salt")) - F.col("n"))
     before = before.join(dealt, F.col("source").eqNullSafe(F.col("_source")) & (F.col("level") == F.col("_level")))
