@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from snapfold.llm.common import cut
+
 #: Vectors a shard holds about, out-degree at which pruning stops (edges back may double it), beam of the build, beam of the search, relaxation of the pruning.
 SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 8192, 32, 48, 160, 1.2
 #: Queries that one task takes to a shard at once.
@@ -48,6 +50,13 @@ class Graph:
                     back = self._prune(j, back, self._far(X[j], back))
                 self.next[j] = back
 
+    @classmethod
+    def of(cls, X: np.ndarray, next_: list[np.ndarray], start: int) -> Graph:
+        """A graph that was built before."""
+        graph = cls.__new__(cls)
+        graph.X, graph.norm, graph.next, graph.start = X, (X * X).sum(1), next_, start
+        return graph
+
     def _far(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return self.norm[rows] - 2 * (self.X[rows] @ q)  # squared distance less |q|^2
 
@@ -102,11 +111,11 @@ class Graph:
         return rows[kept]
 
 
-def search_shard(ids: np.ndarray, X: np.ndarray, query_ids: np.ndarray, Q: np.ndarray, k: int, beam: int) -> pd.DataFrame:
-    """The k nearest of a shard for each query. Equal vectors are one node of the graph with all their ids.
+SHARD_SCHEMA = "shard int, ids binary, bounds binary, nodes binary, degrees binary, edges binary, start long"
 
-    Only a node's k + 1 least ids can be among k results that tie towards smaller ids (the query itself may be one).
-    """
+
+def build_shard(shard: int, ids: np.ndarray, X: np.ndarray) -> pd.DataFrame:
+    """A shard's graph as one row. Equal vectors are one node with all their ids, ascending."""
     order = np.argsort(ids, kind="stable")
     ids, X = ids[order], X[order]
     nodes, node_of = np.unique(X, axis=0, return_inverse=True)
@@ -114,12 +123,24 @@ def search_shard(ids: np.ndarray, X: np.ndarray, query_ids: np.ndarray, Q: np.nd
     by_node = np.argsort(node_of, kind="stable")
     bounds = np.searchsorted(node_of[by_node], np.arange(len(nodes) + 1))
     graph = Graph(nodes)
+    arrays = {"ids": ids[by_node], "bounds": bounds, "nodes": nodes, "degrees": np.array([len(r) for r in graph.next]), "edges": np.concatenate(graph.next)}
+    return pd.DataFrame([{"shard": shard, **{k: v.tobytes() for k, v in arrays.items()}, "start": graph.start}])
+
+
+def search_shard(built: pd.Series, query_ids: np.ndarray, Q: np.ndarray, k: int, beam: int) -> pd.DataFrame:
+    """The k nearest of a built shard for each query.
+
+    Only a node's k + 1 least ids can be among k results that tie towards smaller ids (the query itself may be one).
+    """
+    ids, bounds, degrees, edges = (np.frombuffer(built[c], dtype=np.int64) for c in ("ids", "bounds", "degrees", "edges"))
+    nodes = np.frombuffer(built["nodes"], dtype=float).reshape(len(degrees), -1)
+    graph = Graph.of(nodes, np.split(edges, np.cumsum(degrees)[:-1]), int(built["start"]))
     out = []
     for qid, q in zip(query_ids.tolist(), Q, strict=True):
         rows, _ = graph.search(q, max(beam, 2 * k))
         exact = np.sqrt(((nodes[rows] - q) ** 2).sum(1))
         best = np.argsort(exact, kind="stable")[: k + 1]
-        found = sorted((float(exact[b]), int(i)) for b in best for i in ids[by_node[bounds[rows[b]] : bounds[rows[b] + 1]][: k + 1]])
+        found = sorted((float(exact[b]), int(i)) for b in best for i in ids[bounds[rows[b]] : bounds[rows[b] + 1]][: k + 1])
         out += [(qid, i, d) for d, i in found if i != qid][:k]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
@@ -136,16 +157,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     n = base.count()
     shards = max(1, math.ceil(n / shard))
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    dealt = base.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    every = asked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = base.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+
+    def build(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        return build_shard(int(key[0]), own["id"].to_numpy(), np.stack(own["v"].to_list()))
+
+    # Each graph is built once, however many blocks of queries there are.
+    built = cut(dealt.groupBy("shard").applyInPandas(build, SHARD_SCHEMA))
+    copies = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    every = asked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy()
-        own, far = group[~asks], group[asks]
-        if not len(own) or not len(far):
+    def run(graph: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
+        if not len(graph) or not len(far):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return search_shard(own["id"].to_numpy(), np.stack(own["v"].to_list()), far["id"].to_numpy(), np.stack(far["v"].to_list()), k, beam)
+        return search_shard(graph.iloc[0], far["id"].to_numpy(), np.stack(far["v"].to_list()), k, beam)
 
-    found = dealt.union(every).groupBy("shard", "block").applyInPandas(run, "query_id long, vec_id long, score double")
+    groups = [df.groupBy("shard", "block") for df in (copies, every)]
+    found = groups[0].cogroup(groups[1]).applyInPandas(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
