@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 from snapfold.llm.common import cut
 
 LENGTH, END, GROUP = 2048, 0, 4096
+#: Runs of white space over this length are beyond tiktoken (its pattern search runs out of stack at a million): such texts go to tokenizers.
+SPACES = 50_000
 
 
 class Capacity(NamedTuple):
@@ -38,13 +41,28 @@ class Capacity(NamedTuple):
 
 
 @lru_cache(maxsize=2)
-def encoder(ranks: str, pattern: str):
-    """ids of one text, from a file of byte-pair ranks. Special tokens' strings in a text are ordinary text."""
+def encoder(ranks: str, pattern: str, whole: str | None = None):
+    """ids of one text, from a file of byte-pair ranks. Special tokens' strings in a text are ordinary text.
+
+    whole: the same vocabulary as a file for tokenizers, slower, for texts with runs of white space over SPACES.
+    """
     import tiktoken
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    if whole is None:
+        return fast
+    slow = spacious_encoder(whole)
+    return lambda t: slow(t) if len(t) > SPACES and max((m.end() - m.start() for m in re.finditer(r"\s{2,}", t)), default=0) > SPACES else fast(t)
+
+
+def spacious_encoder(whole: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(whole)
+    tokenizer.encode_special_tokens = True
+    return lambda t: tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def cuts(n: int, length: int) -> list[tuple[int, int]]:
@@ -95,7 +113,7 @@ def token_pieces(docs: DataFrame, ranks: str | None = None, pattern: str | None
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        encode = encoder(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+        encode = encoder(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN, None if ranks else public_tokenizers.path("byte_bpe_50k.json"))
         for batch in batches:
             ids_of, rows = batch["doc_id"].to_list(), []
             for i, t in enumerate(batch["text"]):

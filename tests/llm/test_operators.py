@@ -330,3 +330,12 @@ def test_packing_under_every_constraint(rule):
     for b in np.unique(bins):
         own = lengths[bins == b]
         assert own.sum() <= 2048 and len(own) <= 6 and (own.astype(float) ** 2).sum() <= 1_200_000
+
+
+def test_long_white_space_is_tokenised():
+    import public_tokenizers
+
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
+    slow = packing.spacious_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 1_200_000 + "x", "a \n" * 30_000 + "\n" * 60_000, " " * 49_000 + "word"):
+        assert list(encode(text)) == slow(text)
