@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snapfold.operators import latest
+
 FAMILY = {"lower leg": "leg", "shin": "leg", "forearm": "arm"}
 
 
@@ -20,48 +24,77 @@ def candidates(left: DataFrame, right: DataFrame, key: str, day: str, left_id: s
     return a.join(b, [key, "bin"]).where(F.abs(F.datediff("left_day", "right_day")) <= days).drop("bin")
 
 
+@lru_cache(maxsize=1 << 16)
+def _ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
 def _cost(a: dict, b: dict) -> tuple:
     """What a pair adds: days apart, conflicts of part, kind and side (null is none), less similarity of reasons."""
     clash = lambda x, y: int(x is not None and y is not None and x != y)
-    alike = round(SequenceMatcher(None, a["reason"] or "", b["reason"] or "").ratio() * 1_000_000)
+    alike = round(_ratio(a["reason"] or "", b["reason"] or "") * 1_000_000)
     part = clash(FAMILY.get(a["part"], a["part"]), FAMILY.get(b["part"], b["part"]))
     return abs((a["day"] - b["day"]).days), part, clash(a["kind"], b["kind"]), clash(a["laterality"], b["laterality"]), -alike
 
 
 def assign(left: list[dict], right: list[dict], days: int = 7) -> list[tuple[int, int]]:
-    """Pairs (i, j), both rising, that are most in number, then least in summed cost, then of least ids."""
-    empty = (0, (0, 0, 0, 0, 0), ())
-    below = [empty] * (len(right) + 1)
+    """Pairs (i, j), both rising, that are most in number, then least in summed cost, then of least ids.
+
+    Both sides are in order of day, so each left row meets only the right rows from ``low`` to ``high``. A state is the
+    number and summed cost of its pairs as one integer, its first pair and the state after that pair. Equal first pairs
+    have the same state after them, so the first pair alone settles ties.
+    """
+    base = max(days, 1_000_000) * min(len(left), len(right)) + 1
+    best: list[tuple] = [(0, len(left), len(right), None)] * (len(right) + 1)
+    low = high = len(right)
     for i in range(len(left) - 1, -1, -1):
-        row = [empty] * (len(right) + 1)
-        for j in range(len(right) - 1, -1, -1):
-            best = min(below[j], row[j + 1])
-            if abs((left[i]["day"] - right[j]["day"]).days) <= days:
-                n, cost, pairs = below[j + 1]
-                best = min(best, (n - 1, tuple(x + y for x, y in zip(cost, _cost(left[i], right[j]), strict=True)), ((i, j), *pairs)))
-            row[j] = best
-        below = row
-    return list(below[0][2])
+        first, last = left[i]["day"] - timedelta(days), left[i]["day"] + timedelta(days)
+        while high > 0 and right[high - 1]["day"] > last:
+            high -= 1
+        while low > 0 and right[low - 1]["day"] >= first:
+            low -= 1
+            best[low] = best[low + 1]
+        after = best[high]
+        for j in range(high - 1, low - 1, -1):
+            value = -1
+            for part in _cost(left[i], right[j]):
+                value = value * base + part
+            below = best[j]
+            best[j] = min(below, best[j + 1], (after[0] + value, i, j, after))
+            after = below
+    pairs, state = [], best[low]
+    while state[3] is not None:
+        pairs.append(state[1:3])
+        state = state[3]
+    return pairs
 
 
 SCHEMA = "key long, left_id long, right_id long, day_difference int, part_agrees boolean, kind_agrees boolean, laterality_agrees boolean, similarity double"
 
 
 def optimal_match(left: DataFrame, right: DataFrame, days: int = 7) -> DataFrame:
-    """Best matching per key of two streams (key, id, day, part, kind, laterality, reason); keys are single entities."""
+    """Best matching per key of two streams (key, id, day, part, kind, laterality, reason); keys are single entities.
+
+    No pair reaches over more than ``days`` days without a row of either stream, so a key's history is cut there, and
+    the best matchings of the runs together are the best one of the key. Rows without a day have no pair.
+    """
+    columns = ["key", "id", "day", "part", "kind", "laterality", "reason"]
+    both = left.select(*columns, F.lit(True).alias("is_left")).union(right.select(*columns, F.lit(False).alias("is_left")))
+    runs = latest.episodes_by_gap(both.where("day is not null"), ["key"], "day", "id", days)
 
     def agree(x, y):
         return None if x is None or y is None else x == y
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = [f.sort_values(["day", "id"], kind="stable").astype(object) for f in (a, b)]
-        x, y = (f.where(f.notna(), None).to_dict("records") for f in rows)
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.sort_values(["day", "id"], kind="stable").astype(object)
+        rows = rows.where(rows.notna(), None)
+        x, y = (rows[rows.is_left == side].to_dict("records") for side in (True, False))
         out = []
         for i, j in assign(x, y, days):
             p, q = x[i], y[j]
-            ratio = round(SequenceMatcher(None, p["reason"] or "", q["reason"] or "").ratio(), 6)
+            ratio = round(_ratio(p["reason"] or "", q["reason"] or ""), 6)
             part = agree(FAMILY.get(p["part"], p["part"]), FAMILY.get(q["part"], q["part"]))
             out.append((p["key"], p["id"], q["id"], (p["day"] - q["day"]).days, part, agree(p["kind"], q["kind"]), agree(p["laterality"], q["laterality"]), ratio))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return left.groupBy("key").cogroup(right.groupBy("key")).applyInPandas(run, SCHEMA)
+    return runs.groupBy("key", "episode").applyInPandas(match, SCHEMA)

@@ -563,7 +563,7 @@ def episodes_scored(spark, d):
 def optimal_match(spark, d):
     """JON-16, SIM-01, RPT-08, UDF-05/08, CND-09."""
     o = _observations(spark, d).select(F.col("entity").alias("key"), F.col("source").alias("id"), "day", "part", "kind", "laterality", "reason", "status")
-    return matching.optimal_match(o.where("status = 'Available'").drop("status"), o.where("status = 'Out' and id % 5 = 0").drop("status"))
+    return matching.optimal_match(o.where("status = 'Available'").drop("status"), o.where("status = 'Out'").drop("status"))
 
 
 _REASONS = ("Injury/Illness - Left Knee; ACL Tear", "Injury/Illness - Right Ankle; Sprain", "Rest", "G League - Two-Way", "Injury/Illness - N/A; Illness", "Injury/Illness - Lumbar; Soreness", "Bilateral Hip; Strain", "Coach's Decision")

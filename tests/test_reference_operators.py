@@ -148,6 +148,53 @@ def test_matching_is_optimal():
         assert matching.assign(a, b) == brute_match(a, b)
 
 
+def test_optimal_match_query_offers_every_out_event(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type").collect()
+    out = {r.event_id for r in events if r.event_type != "purchase"}
+    got = {r.right_id for r in queries.QUERIES["optimal_match"](spark, sf_dir).collect()}
+    assert got <= out and any(i % 5 for i in got)
+
+
+def test_optimal_match_in_runs_equals_the_whole_key(spark):
+    import random
+
+    rng = random.Random(8)
+    schema = "key long, id long, day date, part string, kind string, laterality string, reason string"
+    side = lambda: [(i % 3 or None, i, day("2024-01-01") + datetime.timedelta(rng.randint(0, 60)), rng.choice([None, "leg", "shin"]), rng.choice([None, "pain", "sprain"]), rng.choice([None, "left"]), rng.choice(["a b", "a c"])) for i in range(24)]
+    a, b = side(), side()
+    frame = lambda rows: spark.createDataFrame([*rows, (1, 99, None, None, None, None, None)], schema)
+    got = {(r.key, r.left_id, r.right_id) for r in matching.optimal_match(frame(a), frame(b)).collect()}
+    want = set()
+    for key in (1, 2, None):
+        x, y = (sorted((dict(zip(schema.replace(",", "").split()[::2], r, strict=True)) for r in rows if r[0] == key), key=lambda e: (e["day"], e["id"])) for rows in (a, b))
+        want |= {(key, x[i]["id"], y[j]["id"]) for i, j in whole_match(x, y)}
+    assert got == want
+
+
+def whole_match(left, right, days=7):
+    """The matching over all pairs of rows, without runs or bands."""
+    none = (0, (0,) * 5, ())
+    best = {}
+    for i in range(len(left), -1, -1):
+        for j in range(len(right), -1, -1):
+            options = [best.get((i + 1, j), none), best.get((i, j + 1), none)]
+            if i < len(left) and j < len(right) and abs((left[i]["day"] - right[j]["day"]).days) <= days:
+                n, cost, pairs = best.get((i + 1, j + 1), none)
+                options.append((n - 1, tuple(map(sum, zip(cost, matching._cost(left[i], right[j]), strict=True))), ((i, j), *pairs)))
+            best[i, j] = min(options)
+    return best[0, 0][2]
+
+
+def test_matching_of_long_dense_sides_is_optimal():
+    import random
+
+    rng = random.Random(5)
+    side = lambda n: sorted(({"id": i, "day": day("2024-01-01") + datetime.timedelta(rng.randint(0, 40)), "part": None, "kind": rng.choice(["pain", "sprain"]), "laterality": None, "reason": rng.choice(["a", "b", "a"])} for i in range(n)), key=lambda e: (e["day"], e["id"]))
+    for _ in range(10):
+        a, b = side(rng.randint(0, 30)), side(rng.randint(0, 30))
+        assert matching.assign(a, b) == list(whole_match(a, b))
+
+
 # --- writes
 
 
