@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapfold.llm import mixture, near_dup, packing, quality, secrets
-from snapfold.llm.common import cut, table
+from snapfold.llm.common import WORD, cut, table
 from snapfold.llm.queries import quality_model
 
 #: The pipeline trains a model and tokenises: no SQL gives its rows. Tests hold it against a brute-force version.
@@ -20,9 +20,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least doc_id; of rows that repeat a doc_id, one."""
-    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates, the one of least doc_id; different texts of one or no doc_id count apart."""
+    return near_dup.one_per_component(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +30,15 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixture.mix(docs).select(F.col("doc_id").alias("_id"), "copies").where("copies > 0")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """Each document as often as the mix takes it. Ids may be null or repeat, so copies are known by id, source and text.
+
+    Rows equal in all three are one row with the copies of all. A text without words has one copy and needs no mix.
+    """
+    words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    keyed = docs.where(words).withColumn("_key", F.struct("doc_id", "source", near_dup.text_key(F.col("text")).alias("text")))
+    copies = mixture.mix(keyed, "_key").where("copies > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("_copies"))
+    joined = keyed.dropDuplicates(["_key"]).join(copies, "_key")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns).union(docs.where(~words))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapfold.llm.common import cut
+from snapfold.llm.common import WORD, cut
 
 SHINGLE, SLOTS, BANDS, ROWS, BITS = 5, 128, 24, 4, 2
 #: A pair whose estimate lies this far under the threshold (4.5 standard errors of 128 two-bit slots) is no candidate.
@@ -138,9 +138,16 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _sets(docs: DataFrame, need: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(fp, shingles) of the documents whose ids are in need. need grows with the input, so it is never broadcast."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(need.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+def text_key(text: Column) -> Column:
+    """Tells apart rows of one id with different texts."""
+    return F.xxhash64(F.lit(7), text)
+
+
+def _sets(docs: DataFrame, need: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(fp, shingles) of the classes whose fp is in need, from one row each. need grows with the input, so it is never broadcast."""
+    one = classes.join(need.select("fp").distinct(), "fp", "left_semi").select(F.col("rep").alias("_id"), F.col("key").alias("_key"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.join(one.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -171,48 +178,70 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are maximal runs without ASCII white space, A-Z lowered. A null text, or one without words, has an empty
-    set, no links and is kept. Rows that repeat a doc_id are one document to ``kept``. A null doc_id is a component of
-    its own unless other rows link to it. Extra columns are ignored; an empty table gives an empty result.
+    set, no links and is kept. Texts are linked by their sets, whatever their ids: different texts under one doc_id
+    are documents of their own. component_id is the least doc_id, null where all are null; kept are the rows of that
+    id with the set of one class, so equal rows are kept together. Extra columns are ignored; an empty table gives an
+    empty result.
+    """
+    return _components_of(docs, doc_id, text, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """The rows of docs, one for each component of ``near_duplicates``: of its kept rows, one of least text key.
+
+    Rows without words that share a doc_id are one component; those with a null doc_id are components of their own.
     """
+    bare = F.col(doc_id).isNull() & ~F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    found = _components_of(docs.where(~bare), doc_id, text, percent).where("kept")
+    component = F.coalesce(F.hex("label"), F.concat(F.lit("id "), F.col("doc_id").cast("string")))
+    one = found.groupBy(component.alias("_component")).agg(F.min(F.struct("doc_id", "key")).alias("x")).select("_component", F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key"))
+    rows = docs.where(~bare).join(one, F.col(doc_id).eqNullSafe(F.col("_id")) & (text_key(F.col(text)) == F.col("_key")))
+    return rows.dropDuplicates(["_component"]).select(docs.columns).union(docs.where(bare))
+
+
+def _components_of(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """(doc_id, key, n_shingles, label, component_id, kept) per row: classes and links are known by fp, never by id."""
     floor = percent / 100 - MARGIN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch[i : i + 500].reset_index(drop=True)
-                yield sketch(part["text"]).assign(doc_id=part["doc_id"])
+                yield sketch(part["text"]).assign(doc_id=part["doc_id"], key=part["key"])
 
     kind = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("sig", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("doc_id", kind)])
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema))
+    schema = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("sig", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("doc_id", kind), T.StructField("key", T.LongType())])
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("key")).mapInPandas(run, schema))
     # Classes of equal sets. first() is sound: members of a class have the same sketch.
-    classes = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    classes = rows.where("n_shingles > 0").groupBy("fp").agg(least.alias("x"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = cut(classes.select("fp", F.col("x.doc_id").alias("rep"), F.col("x.key").alias("key"), "sig", "bands"))
     words = [F.col("sig")[i].alias(f"s{i}") for i in range(SLOTS * BITS // 64)]
-    signatures = classes.select("fp", "rep", *words)
-    in_bands = classes.select(F.explode("bands").alias("bucket"), "rep", "fp")
-    buckets = in_bands.groupBy("bucket").agg(F.min(F.struct("rep", "fp")).alias("lead"), F.count("*").alias("members")).where("members > 1")
-    shared = cut(in_bands.join(buckets, "bucket").select("bucket", "rep", "fp", "members", F.col("lead.fp").alias("lead"), F.col("lead.rep").alias("lead_rep")))
+    signatures = classes.select("fp", *words)
+    in_bands = classes.select(F.explode("bands").alias("bucket"), "fp")
+    buckets = in_bands.groupBy("bucket").agg(F.min("fp").alias("lead"), F.count("*").alias("members")).where("members > 1")
+    shared = cut(in_bands.join(buckets, "bucket").select("bucket", "fp", "members", "lead"))
 
     # First links: each class with the first of its leaders that looks near enough.
-    pairs = shared.where("fp != lead").groupBy("fp", "lead").agg(F.first("lead_rep").alias("lead_rep"), F.first("rep").alias("rep"))
+    pairs = shared.where("fp != lead").select("fp", "lead").distinct()
     other = signatures.select(F.col("fp").alias("lead"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(len(words))))
-    pairs = pairs.join(signatures.drop("rep"), "fp").join(other, "lead")
+    pairs = pairs.join(signatures, "fp").join(other, "lead")
     pairs = pairs.withColumn("near", _estimate([(F.col(f"s{i}"), F.col(f"t{i}")) for i in range(len(words))])).where(F.col("near") >= floor)
-    first = pairs.groupBy("fp", "rep").agg(F.min(F.struct((F.col("near") < percent / 100 - MARGIN / 4).alias("doubtful"), "lead_rep", "lead")).alias("x"))
-    first = cut(first.select("fp", "rep", F.col("x.lead").alias("lead"), F.col("x.lead_rep").alias("lead_rep")))
+    first = pairs.groupBy("fp").agg(F.min(F.struct((F.col("near") < percent / 100 - MARGIN / 4).alias("doubtful"), "lead")).alias("x"))
+    first = cut(first.select("fp", F.col("x.lead").alias("lead")))
 
-    sets = cut(_sets(docs, first.select(F.col("rep").alias("doc_id")).union(first.select("lead_rep")), doc_id, text))
+    sets = cut(_sets(docs, first.select("fp").union(first.select("lead")), classes, doc_id, text))
     sure = first.join(sets, "fp").join(sets.select(F.col("fp").alias("lead"), F.col("shingles").alias("theirs")), "lead")
     sure = sure.withColumn("both", F.size(F.array_intersect("shingles", "theirs"))).where(100 * F.col("both") >= percent * (F.size("shingles") + F.size("theirs") - F.col("both")))
-    first_links = components(sure.select(F.col("rep").alias("a"), F.col("lead_rep").alias("b")))
-    labels = cut(classes.select("fp", F.col("rep").alias("node")).join(first_links, "node", "left").select("fp", F.coalesce("label", "node").alias("label")))
+    first_links = components(sure.select(F.col("fp").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "fp")
+    labels = cut(classes.select("fp").join(first_links, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")))
 
     # Buckets that still hold several components: what looks near across components is tested on full sets.
-    open_ = shared.select("bucket", "rep", "fp", "members").join(labels, "fp")
+    open_ = shared.select("bucket", "fp", "members").join(labels, "fp")
     mixed = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
     in_doubt = cut(_doubtful(open_.join(mixed, "bucket", "left_semi"), signatures, floor))
-    sets = cut(_sets(docs, in_doubt.select(F.col("rep").alias("doc_id")), doc_id, text))
-    left = in_doubt.join(signatures.drop("rep"), "fp").join(sets, "fp")
+    sets = cut(_sets(docs, in_doubt, classes, doc_id, text))
+    left = in_doubt.join(signatures, "fp").join(sets, "fp")
 
     def confirm(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.column_stack([group[f"s{i}"].to_numpy().view(np.uint64) for i in range(SLOTS * BITS // 64)])
@@ -234,36 +263,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     root[top(names[x])] = top(names[y])
         return pd.DataFrame(found, columns=["a", "b"])
 
-    more = cut(left.groupBy(*_BLOCK_KEYS).applyInPandas(confirm, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct())
+    more = cut(left.groupBy(*_BLOCK_KEYS).applyInPandas(confirm, "a binary, b binary").distinct())
     final = labels
     if more.limit(1).count():
         joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("least"))
         final = labels.join(joined, "label", "left").select("fp", F.coalesce("least", "label").alias("label"))
-    out = rows.select("doc_id", "n_shingles", "fp").join(final, "fp", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("label").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0, F.lit(True)))
+    # A component goes by its least id, or null; the rows of that id in the class that holds it are kept.
+    named = final.join(classes.select("fp", "rep"), "fp")
+    firsts = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("x"))
+    named = final.join(firsts, "label").select("fp", "label", F.col("x.rep").alias("least"), (F.col("x.fp") == F.col("fp")).alias("is_first"))
+    out = rows.select("doc_id", "key", "n_shingles", "fp").join(named, "fp", "left")
+    out = out.select("doc_id", "key", "n_shingles", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "is_first")
+    return out.withColumn("kept", F.coalesce("is_first", F.lit(True)) & F.col("doc_id").eqNullSafe(F.col("component_id"))).drop("is_first")
 
 
 def _doubtful(shared: DataFrame, signatures: DataFrame, floor: float) -> DataFrame:
-    """(bucket, i, j, own, fp, rep, label) of the classes that look near to one of another component in their bucket.
+    """(bucket, i, j, own, fp, label) of the classes that look near to one of another component in their bucket.
 
     Buckets that differ in nothing but their band hold the same pairs; the first of them stands for all.
     """
     alike = shared.groupBy("bucket").agg(F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("xor"), F.first("members").alias("members"))
     chosen = alike.groupBy("sum", "xor", "members").agg(F.min("bucket").alias("bucket"))
-    members = shared.select("bucket", "fp", "rep", "label", "members").join(chosen.select("bucket"), "bucket", "left_semi")
-    rows = _blocks(members.join(signatures.drop("rep"), "fp"))
+    members = shared.select("bucket", "fp", "label", "members").join(chosen.select("bucket"), "bucket", "left_semi")
+    rows = _blocks(members.join(signatures, "fp"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.column_stack([group[f"s{i}"].to_numpy().view(np.uint64) for i in range(SLOTS * BITS // 64)])
         near = estimates(sig, sig) >= floor
-        label = group["label"].to_numpy()
+        label = pd.factorize(group["label"])[0]
         near &= label[:, None] != label[None, :]
         if group.i.iat[0] != group.j.iat[0]:
             own = group.own.to_numpy()
             near &= own[:, None] != own[None, :]
         return group.loc[near.any(1), names]
 
-    names = ["bucket", "i", "j", "own", "fp", "rep", "label"]
+    names = ["bucket", "i", "j", "own", "fp", "label"]
     return rows.groupBy(*_BLOCK_KEYS).applyInPandas(run, rows.select(*names).schema)

@@ -296,6 +296,29 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    texts = [(None, a), (None, a + " end"), (None, b), (5, c), (5, b + " end"), (3, b), (None, ""), (None, None), (7, ""), (7, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(documents(spark, texts)).collect()), key=repr)
+    both = [r for r in got if r[0] is None and r[2] is None and r[1] > 0]
+    assert sorted(r[1] for r in both) == [56, 57] and [r[3] for r in both].count(True) == 1  # linked, one kept
+    assert (None, 56, 3, False) in got and (5, 57, 3, False) in got and (3, 56, 3, True) in got
+    assert (5, 56, 5, True) in got
+    rest = near_dup.one_per_component(documents(spark, texts)).select("doc_id", "text").collect()
+    assert sorted((r.doc_id, r.text) for r in rest if r.doc_id is not None) == [(3, b), (5, c), (7, "")]
+    assert sum((r.text or "").startswith(a) for r in rest) == 1 and sum(r.doc_id is None and not r.text for r in rest) == 2 and len(rest) == 6
+
+
+def test_mixing_stage_does_not_multiply_null_or_repeated_ids(spark):
+    import corpus_pipeline
+
+    texts = [(None if i % 2 else 9, f"some words of text number {i}") for i in range(20)] + [(None, ""), (None, None)]
+    docs = documents(spark, texts, {})
+    got = [r.text for r in corpus_pipeline.source_mixture(spark, docs, "").collect()]
+    assert set(got) <= {t for _, t in texts} and max(got.count(t) for t in got if t) <= mixture.MOST
+    assert got.count("") == got.count(None) == 1
+
+
 # --- packing
 
 
