@@ -20,8 +20,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of least doc_id; different texts of one or no doc_id count apart."""
-    return near_dup.one_per_component(docs)
+    """One document of each group of near duplicates (similarity of 0.8 or more), the one of least doc_id; different texts of one or no doc_id count apart."""
+    return near_dup.one_per_component(docs, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

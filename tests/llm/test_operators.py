@@ -309,6 +309,19 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     assert sum((r.text or "").startswith(a) for r in rest) == 1 and sum(r.doc_id is None and not r.text for r in rest) == 2 and len(rest) == 6
 
 
+def test_dedup_stage_links_at_four_fifths(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]
+    near, far = list(words), list(words)
+    for at in (20, 60):  # ten shingles of a hundred differ: 90 / 110 = 0.818
+        near[at] = f"x{at}"
+    for at in (20, 60, 90):  # 85 / 115 = 0.739
+        far[at] = f"y{at}"
+    docs = documents(spark, [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
 def test_mixing_stage_does_not_multiply_null_or_repeated_ids(spark):
     import corpus_pipeline
 
