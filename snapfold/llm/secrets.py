@@ -32,12 +32,18 @@ def _has(word: str):
 _VALUE = "[A-Za-z0-9+/_.=-]"
 _ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
 _any = lambda v: F.lit(True)
-# The last three add common token formats to the three base kinds.
+# A key block runs to its END marker, whatever is between but another marker. Without one it runs over header fields and
+# base64: long runs, then lines that hold nothing else or end in padding. Line ends may be escaped or spaces.
+_SEP, _LINE, _B64 = r"(?:\s|\\[nr])", r"(?:\r?\n|\r|(?:\\r)?\\n)", "[A-Za-z0-9+/=]"
+_FIELDS = rf"(?:{_SEP}*+(?:Proc-Type|DEK-Info)\x20*+:(?:[^\r\n\\])*+)*+"
+_BASE64 = rf"(?:{_SEP}*+{_B64}{{16,}}+)*+(?:{_LINE}[\x20\t]*+{_B64}++[\x20\t]*+(?={_LINE}|\z|\x01))*+(?:{_SEP}++[A-Za-z0-9+/]++={{1,2}}+)?+"
+_PEM = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]{{0,40}}PRIVATE KEY-----|{_FIELDS}{_BASE64})"
+# The last two and pem add common formats to the three base kinds. pem comes first, lest another rule masks part of a marker.
 RULES = {
+    "pem": Rule(3, S.Kind(_PEM, _has("PRIVATE KEY-----"), _any), _PEM),
     "assign": Rule(1, S.Kind(rf"{_ASSIGN}{_VALUE}++", lambda t: t.rlike(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"), lambda v: F.length(F.regexp_extract(v, rf"^{_ASSIGN}({_VALUE}+)$", 1)) >= 8), rf"{_ASSIGN}{_VALUE}{{8,}}+"),
     "access": Rule(1, S.Kind(r"AKIA[A-Z0-9]++", _has("AKIA"), lambda v: F.length(v) >= 16), r"AKIA[A-Z0-9]{12,}+"),
     "hex": Rule(1, S.Kind(r"(?<![0-9a-f])[0-9a-f]{32,}+", lambda t: t.rlike("(?<![0-9a-f])[0-9a-f]{32}"), _any), r"[0-9a-f]{32,}+"),
-    "pem": Rule(1, S.Kind(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", _has("PRIVATE KEY-----"), _any), r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     "hosted": Rule(1, S.Kind(r"gh[pousr]_[A-Za-z0-9]{36,}+", lambda t: t.rlike("gh[pousr]_[A-Za-z0-9]{36}"), _any), r"gh[pousr]_[A-Za-z0-9]{36,}+"),
     "jwt": Rule(1, S.Kind(r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", _has(".eyJ"), _any), r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
 }

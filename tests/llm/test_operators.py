@@ -195,6 +195,29 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {1: "x [SECRET] y", 2: 'token=api_key"=xxxxxxxxxxx', 3: None, 4: "AKIA1234"}
 
 
+def test_redaction_of_whole_private_keys(spark):
+    lines = ["MIIE" + c * 60 for c in "abc"] + ["Zz09+/=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = "\n".join(lines)
+    held = [
+        (f"x {begin}\n{key}\n{end} y", "x [SECRET] y"),
+        (f"x {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AB\n\n{key}\n{end}\ny", "x [SECRET]\ny"),
+        (f"x {begin}\nProc-Type: 4,ENCRYPTED\n\n{key}\nno end here", "x [SECRET]\nno end here"),
+        (f"x {begin}\n{key}", "x [SECRET]"),
+        (f"x {begin} {key.replace(chr(10), ' ')} {end} y", "x [SECRET] y"),
+        (f"x {begin}\\n{key.replace(chr(10), chr(92) + 'n')}\\n and more", "x [SECRET]\\n and more"),
+        (f'token="{begin}\n{key}\n{end}"', 'token="[SECRET]"'),
+        (f"secret={begin}\n{key}\n{end}", "secret=[SECRET]"),
+        (f"{begin} is a header. {begin}\r\n{lines[0]}\r\n{end}", "[SECRET] is a header. [SECRET]"),
+        (f"{begin}\n" + "a-b " * 30000 + end, "[SECRET]"),
+        (f"{begin} " * 3000, "[SECRET] " * 3000),
+    ]
+    docs = documents(spark, [(i, t) for i, (t, _) in enumerate(held)])
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {i: t for i, (_, t) in enumerate(held)}
+    span = next(r.spans for r in secrets.report(docs).collect() if r.doc_id == 0)
+    assert f"pem:2:{len(held[0][0]) - 2}" in span.split(",")
+
+
 # --- licences
 
 
