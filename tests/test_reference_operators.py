@@ -123,6 +123,41 @@ def test_episode_rules():
     assert [e["kind"] for e in up] == ["ACL tear"]
 
 
+def test_episodes_of_cut_histories_equal_the_whole_fold(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(160):
+        d = rng.randint(0, 400)
+        rows.append(observation("2024-01-01", kind=rng.choice(["sprain", "pain", None]), part=rng.choice(["ankle", None]), side=rng.choice(["left", None]), source=i % 40, status=rng.choice(["Out", "Available"]), reason=rng.choice(["a", "b"])) | {"entity": i % 2, "report_day": day("2024-01-01") + datetime.timedelta(d), "day": day("2024-01-01") + datetime.timedelta(d - rng.randint(0, 3)), "condition": i, "report_time": i})
+    names = "entity team day report_day report_time source condition status part laterality kind reason".split()
+    schema = "entity long, team long, day date, report_day date, report_time long, source long, condition long, status string, part string, laterality string, kind string, reason string"
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+    runs = episodes.latest.episodes_by_gap(df, ["entity"], "report_day", "report_time", episodes.EXACT_GAP)
+    assert runs.select("entity", "episode").distinct().count() > 5
+    got = sorted(tuple(r[c] for c in ("entity", "episode", "start", "last", "n")) for r in episodes.build_episodes(df).collect())
+    want = []
+    for entity in (0, 1):
+        out = []  # every observation against every episode
+        for o in sorted((r for r in rows if r["entity"] == entity), key=lambda r: (r["report_day"], r["report_time"])):
+            o = o | {"structure": None}
+            scored = [(s, -i) for i, e in enumerate(out) if (s := episodes.match(e, o)) is not None]
+            if not scored:
+                out.append(o | {"start": o["day"], "last": o["day"], "n": 0, "sources": set(), "available": None})
+            episodes._join(out[-max(scored)[1] if scored else -1], o)
+        want += [(entity, i, e["start"], e["last"], e["n"]) for i, e in enumerate(out)]
+    assert got == want
+
+
+def test_one_long_entity_folds_in_groups_of_bounded_size(monkeypatch):
+    looked = []
+    whole = episodes.match
+    monkeypatch.setattr(episodes, "match", lambda e, o: looked.append(1) or whole(e, o))
+    rows = [observation("2000-01-01", source=i) | {"day": day("2000-01-01") + datetime.timedelta(15 * i), "report_day": day("2000-01-01") + datetime.timedelta(15 * i)} for i in range(300)]
+    assert len(episodes.fold(rows)) == 300 and len(looked) == 0
+
+
 def brute_match(left, right, days=7):
     best = None
     for k in range(min(len(left), len(right)), -1, -1):
