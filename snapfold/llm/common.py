@@ -17,22 +17,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet, made from ``name``. Case does not tell names apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session that names none (as in tests) gets one made here."""
+    """The folder that driver and executors share. Only a local session that names none (as in tests) gets one made here."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="snapfold-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Tables that ``cut`` has written in this process and nobody has released.
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later plans start here, and lost executors cost no rework."""
     path = f"{shared_dir(df.sparkSession)}/snapfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables that ``cut`` wrote after the first ``keep``, once nothing reads them any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_written) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def written() -> int:
+    """How many tables of ``cut`` there are: a later ``release`` can keep them."""
+    return len(_written)
+
+
+def join_spread(big: DataFrame, small: DataFrame, key: str, how: str = "inner", least: int = 64) -> DataFrame:
+    """Join on one column although many rows of ``big`` may share a key; ``small`` has few rows a key.
+
+    Rows of a key that holds more than a fair share of ``big`` are dealt over several parts, and ``small`` has a copy
+    of that key's rows for each part. At most 4 keys a partition can be that frequent, so their list is broadcast.
+    Null keys match nothing.
+    """
+    deal, width = "_deal", "_width"
+    counts = cut(big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(width)))
+    total = counts.agg(F.sum(width)).first()[0] or 0
+    share = max(least, total // (4 * partitions(big.sparkSession)) + 1)
+    hot = F.broadcast(cut(counts.where(F.col(width) > share).select(key, F.ceil(F.col(width) / share).cast("int").alias(width))))
+    parts = F.coalesce(F.col(width), F.lit(1))
+    left = big.join(hot, key, "left").withColumn(deal, F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop(width)
+    right = small.join(hot, key, "left").withColumn(deal, F.explode(F.sequence(F.lit(0), parts - 1))).drop(width)
+    return left.join(right, [key, deal], how).drop(deal)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,20 +16,23 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snapfold.llm import trees
+from snapfold.llm.common import columns_of
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
-BLOCK = (
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())  # text to the end tag, or to the page's end
+SKIPPED = frozenset("noscript template svg".split())  # left out whole where an end tag follows
+BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption address details summary center hgroup nav header footer aside form fieldset legend "
-    "button select option label textarea dialog menu head hr"
-).split()
+    "button select option label textarea dialog menu head hr".split()
+)
 CLOSES_P = frozenset(
     "main article section div p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure figcaption address details center "
     "hgroup nav header footer aside form fieldset dialog menu hr".split()
@@ -41,6 +44,10 @@ ENDS = {
     "thead": (("tr", "td", "th", "thead", "tbody"), ("table",)), "tbody": (("tr", "td", "th", "thead", "tbody"), ("table",)),
     "body": (("head",), ()),
 }
+#: The same for an open p, which every element of CLOSES_P ends.
+SCOPES = ENDS | {"p": (("p",), ("td", "th", "button", "table"))}
+#: By tag: the scopes in which it is a kind or a bound.
+MEMBER = {tag: [s for s, (kinds, bounds) in SCOPES.items() if tag in kinds or tag in bounds] for kinds, bounds in SCOPES.values() for tag in (*kinds, *bounds)}
 #: Words of class, id and role that tell something about an element, by subject; a token counts if it starts with one of them.
 #: Those in EXACT must be the whole token.
 LEXICON = {
@@ -64,15 +71,29 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*
 _ATTRS = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _MARKS = re.compile(r"[.,;:!?]")
-_CLEAN = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_NUMBER = re.compile(r"&#(?=[0-9]{8})0*+([0-9]*)")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW | SKIPPED}
 
 MAIN, BOILERPLATE, MIXED = 1, 0, 2
 
 
+def decoded(text: str) -> str:
+    """Character references resolved. Numbers of any length are read; those beyond Unicode give U+FFFD."""
+    if "&#" in text:
+        text = _NUMBER.sub(lambda m: "&#1114112" if len(m[1]) > 7 else f"&#{m[1] or 0}", text)
+    return entities.unescape(text)
+
+
+def training_label(attrs: str) -> int:
+    """What data-y says in a page of ``training_pages``; -1 where it is absent."""
+    found = re.search(r'data-y="([01])"', attrs)
+    return int(found[1]) if found else -1
+
+
 @lru_cache(maxsize=50_000)
-def token_mask(attrs: str) -> tuple[int, int]:
-    """(bit mask of the subjects that class, id and role name, label in a training page or -1)."""
-    mask, label = 0, -1
+def token_mask(attrs: str) -> int:
+    """Bit mask of the subjects that class, id and role name."""
+    mask = 0
     for name, a, b, c in _ATTRS.findall(attrs):
         value = a or b or c
         name = name.lower()
@@ -84,11 +105,9 @@ def token_mask(attrs: str) -> tuple[int, int]:
                 for i, stems in enumerate(LEXICON.values()):
                     if any(token.startswith(s) for s in stems.split()):
                         mask |= 1 << i
-        elif name == "data-y":
-            label = int(value)
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             mask |= 1 << len(LEXICON)
-    return mask, label
+    return mask
 
 
 class Page:
@@ -96,11 +115,11 @@ class Page:
 
     __slots__ = ("chars", "depth", "group", "label", "last", "links", "marks", "mask", "parent", "pieces", "words")
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, training: bool = False):
         self.parent, self.depth, self.group, self.mask, self.label = [-1], [0], [TAG_GROUP["html"]], [0], [-1]
         self.chars, self.links, self.marks, self.words, self.last = [0], [0], [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []  # (node, decoded text of one block)
-        self._scan(source)
+        self._scan(source, training)
         end = list(range(1, len(self.parent) + 1))  # one past the last descendant
         for i in range(len(end) - 1, 0, -1):
             if end[self.parent[i]] < end[i]:
@@ -117,16 +136,31 @@ class Page:
             column.append(0)
         return len(self.parent) - 1
 
-    def _scan(self, source: str) -> None:
+    def _scan(self, source: str, training: bool) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # (tag, its node or its block's node)
         run: list[str] = []
         linked = 0
         filled: set[int] = {0}  # nodes that hold other blocks: a run of text in them is a node of its own
+        missing: dict[str, bool] = {}  # skipped elements without an end tag
+        count: dict[str, int] = {}  # open elements by tag
+        places: dict[str, list[int]] = {s: [] for s in SCOPES}  # of the open kinds and bounds of each scope, in the stack
+
+        def cut_to(k: int) -> None:
+            while len(stack) > k:
+                tag = stack.pop()[0]
+                count[tag] -= 1
+                for s in MEMBER.get(tag, ()):
+                    places[s].pop()
+
+        def end_open(scope: str) -> None:
+            kinds, at = SCOPES[scope][0], places[scope]
+            while at and stack[at[-1]][0] in kinds:
+                cut_to(at[-1])
 
         def close() -> None:
             nonlocal linked
             if run:
-                text = " ".join(entities.unescape("".join(run)).split())
+                text = " ".join(decoded("".join(run)).split())
                 if text:
                     node = stack[-1][1]
                     if node in filled:
@@ -183,18 +217,22 @@ class Page:
                     links = max(0, links - 1)
                 elif tag == "br":
                     run.append(" ")
-                elif tag in TAG_GROUP:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            close()
-                            del stack[k:]
-                            links = 0
-                            break
+                elif count.get(tag):
+                    close()
+                    while stack[-1][0] != tag:
+                        cut_to(len(stack) - 1)
+                    cut_to(len(stack) - 1)
+                    links = 0
                 continue
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, pos)
+            if tag in RAW or tag in SKIPPED:
+                if attrs.endswith("/") and tag == "svg":
+                    continue
+                end = missing.get(tag) is None and _END[tag].search(source, pos) or None
                 if end is None:
-                    break
+                    if tag in RAW:
+                        break
+                    missing[tag] = True  # no later one is closed either
+                    continue
                 pos = source.find(">", end.end())
                 if pos < 0:
                     break
@@ -204,31 +242,30 @@ class Page:
                 run.append(" ")
             elif tag == "a":
                 links += 1
-            elif tag in TAG_GROUP and tag != "html":
+            elif tag in BLOCK and tag != "html":
                 close()
                 if tag in CLOSES_P:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == "p":
-                            del stack[k:]
-                            break
-                        if stack[k][0] in ("td", "th", "button", "table"):
-                            break
+                    end_open("p")
                 if tag in ENDS:
-                    kinds, bounds = ENDS[tag]
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in bounds:
-                            break
-                        if stack[k][0] in kinds:
-                            del stack[k:]
+                    end_open(tag)
                 links = 0
                 parent = stack[-1][1]
                 filled.add(parent)
-                mask, label = token_mask(attrs) if attrs else (0, -1)
                 if tag != "hr":
-                    stack.append((tag, self._node(parent, tag, mask, label if label >= 0 else self.label[parent])))
+                    label = training_label(attrs) if training else -1
+                    stack.append((tag, self._node(parent, tag, token_mask(attrs) if attrs else 0, label if label >= 0 else self.label[parent])))
+                    count[tag] = count.get(tag, 0) + 1
+                    for s in MEMBER.get(tag, ()):
+                        places[s].append(len(stack) - 1)
         close()
 
 
+def _levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, from 0."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max()) + 1))) if len(depth) else []
+
+
 def features(pages: list[Page]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Feature rows of all nodes of some pages, one page after the other, and the tree's columns."""
     sizes = np.array([len(p.parent) for p in pages])
@@ -247,7 +284,6 @@ def features(pages: list[Page]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     nodes = (last - np.arange(n)).astype(float)
     page_chars = total["chars"][start]
     siblings = np.bincount(up, minlength=n)[up].astype(float)
-    same = {}
     key = up * (OTHER_GROUP + 1) + group
     _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
     same = counts[inverse].astype(float)
@@ -261,8 +297,8 @@ def features(pages: list[Page]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     around = mask.copy()
     in_article = (group == TAG_GROUP["article"]) * 1
     in_boiler = np.isin(group, [TAG_GROUP[t] for t in ("nav", "header", "footer", "aside", "form")]) * 1
-    for d in range(1, int(depth.max()) + 1 if n else 0):
-        rows = np.flatnonzero(depth == d)
+    levels = _levels(depth)
+    for rows in levels[1:]:
         around[rows] |= around[up[rows]]
         in_article[rows] |= in_article[up[rows]]
         in_boiler[rows] |= in_boiler[up[rows]]
@@ -274,25 +310,22 @@ def features(pages: list[Page]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         total["chars"] / np.maximum(page_chars, 1), in_article, in_boiler, total["links"][up] / np.maximum(total["chars"][up], 1),
         group[:, None] == np.arange(OTHER_GROUP + 1), (mask[:, None] >> bits) & 1, (around[:, None] >> bits) & 1,
     ]).astype(np.float32)
-    return X, {"parent": up, "depth": depth, "start": start, "chars": total["chars"], "label": join("label"), "sizes": sizes}
+    return X, {"parent": up, "levels": levels, "start": start, "chars": total["chars"], "label": join("label"), "sizes": sizes}
 
 
 def decode(score: np.ndarray, tree: dict[str, np.ndarray]) -> np.ndarray:
     """The state of every node that makes the sum of scores largest and no ancestor contradict a descendant."""
-    up, depth, n = tree["parent"], tree["depth"], len(score)
+    up, levels, n = tree["parent"], tree["levels"], len(score)
     own = np.clip(score, -4, 4) * (1 + np.log1p(tree["chars"]))
     best = np.zeros((3, n))  # by state: the most that the node's subtree can give
     best[MAIN], best[BOILERPLATE] = own, -own
-    deepest = int(depth.max()) if n else 0
-    for d in range(deepest, 0, -1):
-        rows = np.flatnonzero(depth == d)
+    for rows in levels[:0:-1]:
         to = up[rows]
         np.add.at(best[BOILERPLATE], to, best[BOILERPLATE, rows])
         np.add.at(best[MAIN], to, np.maximum(best[MAIN, rows], best[BOILERPLATE, rows]))
         np.add.at(best[MIXED], to, best[:, rows].max(0))
     state = np.empty(n, dtype=np.int8)
-    for d in range(deepest + 1):
-        rows = np.flatnonzero(depth == d)
+    for d, rows in enumerate(levels):
         free = best[:, rows].argmax(0)
         under_main = np.where(best[MAIN, rows] >= best[BOILERPLATE, rows], MAIN, BOILERPLATE)
         above = state[up[rows]] if d else np.full(len(rows), MIXED)
@@ -416,7 +449,7 @@ def training_pages(n: int = 400, seed: int = 7) -> Iterator[str]:
 @lru_cache(maxsize=2)
 def train(n_pages: int = 400, seed: int = 7):
     """Boosted trees from ``n_pages`` made-up pages, the documented bound of the training sample."""
-    X, tree = features([Page(s) for s in training_pages(n_pages, seed)])
+    X, tree = features([Page(s, training=True) for s in training_pages(n_pages, seed)])
     known = tree["label"] >= 0
     weight = 1 + np.log1p(tree["chars"][known]) / 4
     return trees.boost(X[known], tree["label"][known], weight, trees=60, depth=5, rate=0.25)
@@ -425,16 +458,18 @@ def train(n_pages: int = 400, seed: int = 7):
 def extract_main_text(pages: DataFrame, html: str = "html", text: str = "text", model=None) -> DataFrame:
     """Add column ``text``, the main text of each row's whole html, and ``n_chars``, its code points.
 
-    Null, empty and text-free pages give ''. Rows are independent: repeated rows give repeated results, an empty
-    table an empty one, and other columns pass through (those named like the results are replaced).
+    Null, empty and text-free pages give ''. White space is Unicode's: a no-break space inside a block folds as well.
+    Rows are independent: repeated rows give repeated results, an empty table an empty one. Other columns pass through
+    as they are, of whatever type; those named like the results are replaced.
     """
     model = model or train()
-    rest = [c for c in pages.columns if c not in (text, "n_chars", html)]
-    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest), f"`{text}` string"])
+    replaced = (text.lower(), "n_chars", html.lower())
+    rest = [c for c, name in zip(columns_of(pages), pages.columns, strict=True) if name.lower() not in replaced]
+    schema = T.StructType([*pages.select(*rest).schema.fields, T.StructField(text, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source = ["" if s is None or s != s else s for s in batch[html]]
-            yield batch[rest].assign(**{text: extract_pages(source, model)})
+            found = extract_pages([s or "" for s in batch.column(batch.num_columns - 1).to_pylist()], model)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], names=[f.name for f in schema])
 
-    return pages.select(*rest, html).mapInPandas(run, schema).withColumn("n_chars", F.length(text).cast("long"))
+    return pages.select(*rest, F.col(html)).mapInArrow(run, schema).withColumn("n_chars", F.length(text).cast("long"))
