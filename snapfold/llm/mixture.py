@@ -1,10 +1,13 @@
 """Mix sources to target weights by entropy balancing, all in DataFrame operations.
 
-Document rates r_i minimise sum_i r_i log r_i - r_i under two constraints per source: the rates keep the source's
-mean document size, and the words taken equal the target. The dual is convex, with two multipliers a source, and its
-solution is an exponential tilt r_i = exp(a + b x_i), x_i the size over the source's mean. Newton's iterations run for
-all sources at once over counts of equal sizes. Rates become whole copies by class of size, largest sizes first, each
-class correcting what the larger ones left over or short.
+A document's rate r lies between 0 and ``most``. The rates of a source have the least relative entropy to one copy each,
+
+    sum_i r_i log r_i + (most - r_i) log((most - r_i) / (most - 1)),
+
+among those whose words, sum_i r_i size_i, equal the source's target. The dual is convex with one multiplier b for each
+source, and its solution is an exponential tilt by size, r = most / (1 + (most - 1) exp(-b x)), x the size over the
+source's mean. Newton's iterations find b for all sources at once, over counts of equal sizes. Rates become whole
+copies by class of size, largest sizes first, each class correcting what the larger ones left over or short.
 """
 
 from __future__ import annotations
@@ -52,60 +55,69 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
         state = cut(next_.select("source", "source_size", "weight", F.col("now").alias("full")))
 
 
-def tilt(counts: DataFrame, goals: DataFrame, most: float = MOST, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
-    """(source, a, b, mean): the dual's solution for every source. counts (source, size, n); goals (source, source_size, target).
+def rate_of(b: Column, x: Column, most: float) -> Column:
+    """The tilted rate. b is null where a source takes nothing, and infinite where it takes all it can."""
+    odds = F.exp(F.greatest(F.lit(-700.0), F.least(-b * x, F.lit(700.0))))
+    return F.when(b.isNull(), F.lit(0.0)).when(b == float("inf"), F.lit(float(most))).otherwise(F.lit(float(most)) / (1 + F.lit(most - 1.0) * odds))
+
 
-    A source whose target is its bound takes the bound; one without words or target takes nothing (null multipliers).
+def tilt(counts: DataFrame, goals: DataFrame, most: float = MOST, tolerance: float = 1e-9, rounds: int = 100) -> DataFrame:
+    """(source, b, mean): the dual's solution for every source. counts (source, size, n); goals (source, source_size, target).
+
+    A source whose target is its bound has an infinite multiplier, one without a target a null one. A step that leaves
+    the interval in which the solution must lie is replaced by a bisection, or a doubling where an end is open, so that
+    the iterations end from any start.
     """
-    docs = counts.groupBy(F.col("source").alias("_s")).agg(F.sum("n").alias("docs"))
-    mean = F.col("source_size") / F.col("docs")
-    solved = goals.join(docs, F.col("source").eqNullSafe(F.col("_s")))
-    solved = solved.where("target > 0").select("source", "target", mean.alias("mean"), (F.col("target") / F.col("source_size")).alias("ratio"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    solved = cut(solved)
     cells = cut(counts.where("size > 0"))
+    docs = cells.groupBy(F.col("source").alias("_s")).agg(F.sum("n").alias("docs"))
+    solved = goals.join(docs, F.col("source").eqNullSafe(F.col("_s")))
+    fixed = F.when(F.col("target") <= 0, F.lit(None).cast("double")).when(F.col("target") >= most * F.col("source_size") * (1 - 1e-12), F.lit(float("inf")))
+    solved = solved.select("source", "target", (F.col("source_size") / F.col("docs")).alias("mean"), fixed.alias("b"))
+    open_ = (F.col("target") > 0) & F.col("b").isNull()
+    ends = solved.where(~open_).select("source", "b", "mean")
+    solved = cut(solved.where(open_).withColumns({"b": F.lit(0.0), "low": F.lit(float("-inf")), "high": F.lit(float("inf"))}))
     for _ in range(rounds):
-        p = solved.alias("p")
-        c = cells.alias("c").join(p, F.expr("c.source <=> p.source"))
+        c = cells.alias("c").join(solved.alias("p"), F.expr("c.source <=> p.source"))
         x = F.col("c.size") / F.col("p.mean")
-        rate = F.exp(F.least(F.col("p.a") + F.col("p.b") * x, F.lit(30.0)))
-        sums = c.groupBy(F.col("p.source").alias("source"), "p.mean", "p.ratio", "p.a", "p.b", "p.target").agg(
-            F.sum(F.col("c.n") * rate).alias("r0"), F.sum(F.col("c.n") * rate * x).alias("r1"), F.sum(F.col("c.n") * rate * x * x).alias("r2"),
-            F.sum("c.n").alias("n0"), F.sum(F.col("c.n") * x).alias("n1"),
-        )
-        g0, g1 = F.col("ratio") * F.col("n0") - F.col("r0"), F.col("ratio") * F.col("n1") - F.col("r1")
-        det = F.col("r0") * F.col("r2") - F.col("r1") * F.col("r1")
-        flat = det <= 1e-9 * F.col("r0") * F.col("r2")  # all documents of one size: one multiplier is enough
-        da = F.when(flat, g0 / F.col("r0")).otherwise((F.col("r2") * g0 - F.col("r1") * g1) / det)
-        db = F.when(flat, F.lit(0.0)).otherwise((F.col("r0") * g1 - F.col("r1") * g0) / det)
-        limit = lambda d: F.greatest(F.lit(-2.0), F.least(F.lit(2.0), d))
-        off = F.abs(g1) / (F.col("ratio") * F.col("n1"))
-        step = cut(sums.select("source", "target", "mean", "ratio", (F.col("a") + limit(da)).alias("a"), (F.col("b") + limit(db)).alias("b"), off.alias("off")))
+        rate = rate_of(F.col("p.b"), x, most)
+        words = F.col("c.n") * rate * x
+        sums = c.groupBy(F.col("p.source").alias("source"), "p.target", "p.mean", "p.b", "p.low", "p.high").agg(F.sum(words).alias("got"), F.sum(words * x * (1 - rate / F.lit(float(most)))).alias("slope"))
+        due = F.col("target") / F.col("mean")
+        gap = due - F.col("got")
+        low, high = F.when(gap > 0, F.col("b")).otherwise(F.col("low")), F.when(gap < 0, F.col("b")).otherwise(F.col("high"))
+        sums = sums.select("source", "target", "mean", "b", low.alias("low"), high.alias("high"), F.when(F.col("slope") > 0, F.col("b") + gap / F.col("slope")).alias("newton"), (F.abs(gap) / due).alias("off"))
+        far = F.abs("b") + 1
+        safe = F.when(F.col("high") == float("inf"), F.col("low") + 2 * far).when(F.col("low") == float("-inf"), F.col("high") - 2 * far).otherwise((F.col("low") + F.col("high")) / 2)
+        fine = (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")) & (F.abs(F.col("newton") - F.col("b")) <= 4 * far)
+        done = F.col("off") < tolerance
+        step = cut(sums.select("source", "target", "mean", F.when(done, F.col("b")).when(fine, F.col("newton")).otherwise(safe).alias("b"), "low", "high", "off"))
         solved = step.drop("off")
         if (step.agg(F.max("off")).first()[0] or 0.0) < tolerance:
             break
-    return solved.select("source", "a", "b", "mean")
+    return ends.union(solved.select("source", "b", "mean"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, copies and taken (copies times size).
 
     A null text has size 0, a null source is a source of its own. Documents of size 0 get one copy and take no words.
-    Rows that repeat a document are mixed like others (their copies may differ). The same table gives the same result
-    whatever its partitions. Extra columns are ignored; an empty table gives an empty result.
+    Rows that repeat an id are mixed like others; rows equal in id, source and text stand for one another, so that the
+    same table gives the same rows whatever its partitions. Extra columns are ignored; an empty table gives an empty
+    result.
     """
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(11), F.col(doc_id)).alias("h")))
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(13), t).alias("key"))
+    rows = cut(rows.withColumn("h", F.xxhash64(F.lit(11), "doc_id", "key")))
     counts = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     goals = cut(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most))
-    solved = tilt(counts, goals, most)
+    solved = cut(tilt(counts, goals, most))
     level = F.when(F.col("size") > 0, F.floor(F.log2(F.greatest("size", F.lit(1)).cast("double")) * FINE)).otherwise(-1).cast("int")
-    raw = F.when(F.col("a").isNull() | (F.col("size") == 0), F.lit(0.0)).otherwise(F.exp(F.least(F.col("a") + F.col("b") * F.col("size") / F.col("mean"), F.lit(30.0))))
-    bounded = F.least(raw, F.lit(float(most)))
-    rate = F.when(F.abs(bounded - F.round(bounded)) < 1e-7, F.round(bounded)).otherwise(bounded)
-    # Rates by (source, size); whole parts are taken as they are, the rest is dealt class by class, largest first.
+    raw = F.when(F.col("size") > 0, rate_of(F.col("b"), F.col("size") / F.col("mean"), most)).otherwise(0.0)
+    rate = F.when(F.abs(raw - F.round(raw)) < 1e-7, F.round(raw)).otherwise(raw)
+    # Whole parts of the rates are taken as they are, the rest is dealt class by class, largest first.
     s = solved.withColumnRenamed("source", "_source")
-    cells = counts.join(s, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    cells = cells.withColumn("rate", rate).withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base")).withColumn("level", level)
-    cells = cut(cells.select("source", "size", "n", "base", "part", "level"))
+    rated = lambda df: df.join(s, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("rate", rate).withColumn("base", F.floor("rate")).drop("_source", "b", "mean")
+    cells = rated(counts).withColumn("part", F.col("rate") - F.col("base")).withColumn("level", level)
     classes = cells.where("level >= 0").groupBy("source", "level").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("words"), F.sum(F.col("n") * F.col("size") * F.col("part")).alias("due"))
     # At most FINE classes a doubling of size: an array of bounded length per source.
     per_source = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("level", "n", "words", "due")), asc=False).alias("classes"))
@@ -129,14 +141,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     before = salted.withColumn("before", F.sum("n").over(W.partitionBy("source", "level").orderBy("salt")) - F.col("n"))
     before = before.join(dealt, F.col("source").eqNullSafe(F.col("_source")) & (F.col("level") == F.col("_level")))
     before = before.select(F.col("source").alias("_source"), F.col("level").alias("_level"), F.col("salt").alias("_salt"), "before", "in_class", "extra")
-    rank = F.row_number().over(W.partitionBy("source", "level", "salt").orderBy("h", "doc_id"))
-    out = placed.withColumn("rank", rank)
+    rank = F.row_number().over(W.partitionBy("source", "level", "salt").orderBy("h", "doc_id", "key", "size"))
+    out = rated(placed.withColumn("rank", rank))
     out = out.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("level") == F.col("_level")) & (F.col("salt") == F.col("_salt")), "left")
     at = F.col("before") + F.col("rank")
     extra = F.coalesce((F.floor(at * F.col("extra") / F.col("in_class")) > F.floor((at - 1) * F.col("extra") / F.col("in_class"))).cast("long"), F.lit(0))
-    base = cells.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "base")
-    out = out.select("doc_id", "source", "size", extra.alias("extra")).join(base, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
-    copies = F.when(F.col("size") > 0, F.least(F.col("base") + F.col("extra"), F.lit(most))).otherwise(F.lit(1)).cast("long")
+    copies = F.when(F.col("size") > 0, F.least(F.col("base") + extra, F.lit(most))).otherwise(F.lit(1)).cast("long")
     goal = goals.select(F.col("source").alias("_g"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"))
     out = out.select("doc_id", "source", "size", copies.alias("copies")).join(goal, F.col("source").eqNullSafe(F.col("_g")))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
