@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,22 +67,28 @@ def written() -> int:
     return len(_written)
 
 
-def join_spread(big: DataFrame, small: DataFrame, key: str, how: str = "inner", least: int = 64) -> DataFrame:
-    """Join on one column although many rows of ``big`` may share a key; ``small`` has few rows a key.
+def spread(big: DataFrame, key: str, least: int = 64) -> Callable[..., DataFrame]:
+    """A function (small, how) that joins ``big`` on one column, although many rows of ``big`` may share a key.
 
-    Rows of a key that holds more than a fair share of ``big`` are dealt over several parts, and ``small`` has a copy
-    of that key's rows for each part. At most 4 keys a partition can be that frequent, so their list is broadcast.
-    Null keys match nothing.
+    Rows of a key that holds more than a fair share of ``big`` are dealt over several parts, and ``small``, which has
+    few rows a key, gets a copy of that key's rows for each part. At most 4 keys a partition can be that frequent, so
+    their list is broadcast. Null keys match nothing. Where no key is that frequent it is a plain join.
     """
     deal, width = "_deal", "_width"
     counts = cut(big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(width)))
-    total = counts.agg(F.sum(width)).first()[0] or 0
-    share = max(least, total // (4 * partitions(big.sparkSession)) + 1)
-    hot = F.broadcast(cut(counts.where(F.col(width) > share).select(key, F.ceil(F.col(width) / share).cast("int").alias(width))))
+    total, most = counts.agg(F.sum(width), F.max(width)).first()
+    share = max(least, (total or 0) // (4 * partitions(big.sparkSession)) + 1)
+    if (most or 0) <= share:
+        return lambda small, how="inner": big.join(small, key, how)
+    hot = F.broadcast(counts.where(F.col(width) > share).select(key, F.ceil(F.col(width) / share).cast("int").alias(width)))
     parts = F.coalesce(F.col(width), F.lit(1))
     left = big.join(hot, key, "left").withColumn(deal, F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop(width)
-    right = small.join(hot, key, "left").withColumn(deal, F.explode(F.sequence(F.lit(0), parts - 1))).drop(width)
-    return left.join(right, [key, deal], how).drop(deal)
+
+    def join(small: DataFrame, how: str = "inner") -> DataFrame:
+        right = small.join(hot, key, "left").withColumn(deal, F.explode(F.sequence(F.lit(0), parts - 1))).drop(width)
+        return left.join(right, [key, deal], how).drop(deal)
+
+    return join
 
 
 def partitions(spark: SparkSession) -> int:

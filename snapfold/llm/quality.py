@@ -52,7 +52,7 @@ def statistics(docs: DataFrame, text: str = "text", prefix: str = "st_") -> tupl
         "word_length": per(size, n_words),
         "distinct_words": per(F.size(F.array_distinct(words)).cast("double"), n_words),
         "distinct_by_root": per(F.size(F.array_distinct(words)).cast("double"), F.sqrt(n_words)),
-        "repeats": per(F.regexp_count(t, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]{1,64})[\x20\x09-\x0D]+(?=\1(?![^\x20\x09-\x0D]))")).cast("double"), n_words),
+        "repeats": per(F.regexp_count(t, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++(?=\1(?![^\x20\x09-\x0D]))")).cast("double"), n_words),
         "line_words": per(n_words, F.size(lines)),
         "distinct_lines": per(F.size(F.array_distinct(lines)).cast("double"), F.size(lines)),
         "sentence_words": per(n_words, F.regexp_count(t, F.lit(r"[.!?](?![^\x20\x09-\x0D])")).cast("double")),
@@ -96,11 +96,11 @@ def fit(X: np.ndarray, y: np.ndarray, names: list[str], penalty: float = 4e-4, n
     return Model(bias, tuple(Rule(float(weights[i]), tuple((names[f], g, c) for f, g, c in rules[i])) for i in chosen))
 
 
-def score_column(model: Model) -> Column:
-    """The model as one column expression over the statistics: 0 to 1."""
+def score_column(model: Model, prefix: str = "st_") -> Column:
+    """The model as one column expression over the statistics, whose names start with ``prefix``: 0 to 1."""
     total = F.lit(model.bias)
     for rule in model.rules:
-        holds = reduce(lambda a, b: a & b, [(F.col(n) > c) if greater else (F.col(n) <= c) for n, greater, c in rule.terms])
+        holds = reduce(lambda a, b: a & b, [(F.col(prefix + n) > c) if greater else (F.col(prefix + n) <= c) for n, greater, c in rule.terms])
         total = total + F.when(holds, F.lit(rule.weight)).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-total))
 
@@ -108,17 +108,26 @@ def score_column(model: Model) -> Column:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", bound: int = SAMPLE) -> Model:
     """Fit on at most ``bound`` labelled documents, those of least hash; only their statistics reach the driver.
 
-    labels has (doc_id, label); null labels and ids take no part, and a document counts once.
+    labels has (doc_id, label); null labels and ids take no part. A document counts once: of several labels the largest
+    holds, of several texts under one id the one least in its statistics.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("y"))
     chosen = known.orderBy(F.xxhash64(doc_id), doc_id).limit(bound)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen.select(F.col(doc_id).alias("doc_id"), "y")), "doc_id")
     wide, names = statistics(named)
-    rows = wide.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", *names).toPandas().sort_values(["h", "doc_id"], kind="stable")
-    return fit(rows[names].to_numpy(dtype=float), (rows["y"] > 0).to_numpy(), names)
+    one = wide.groupBy("doc_id").agg(F.min(F.struct("y", *names)).alias("x"))
+    rows = one.select(F.xxhash64("doc_id").alias("h"), "doc_id", "x.*").toPandas().sort_values(["h", "doc_id"], kind="stable")
+    return fit(rows[names].to_numpy(dtype=float), (rows["y"] > 0).to_numpy(), [n.removeprefix("st_") for n in names])
 
 
 def score_quality(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    """docs with column ``score``. Texts of null or '' get the score of their zero statistics; rows are independent."""
-    wide, names = statistics(docs, text)
-    return wide.withColumn(score, score_column(model)).drop(*names)
+    """docs with column ``score``, which replaces one of that name; any other column stays.
+
+    Null and empty texts get the score of their zero statistics. Rows are independent: repeated rows and ids get the
+    score of their own text, an empty table stays empty.
+    """
+    prefix = "st_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"x{prefix}"
+    wide, names = statistics(docs, text, prefix)
+    return wide.withColumn(score, score_column(model, prefix)).drop(*names)

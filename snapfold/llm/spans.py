@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 #: Stands on both sides of a match. Where a text holds it itself, another character no pattern knows takes its place.
 MARK, STAND_IN = "\u0001", "�"
-#: How much text before a match is kept as its context.
-BEFORE = 64
-
 
 class Kind(NamedTuple):
     """A kind of span: a Java pattern, a cheap test that any text with a match passes, and a test of the match itself."""
@@ -36,10 +33,22 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(F.translate(text, MARK, STAND_IN), pattern, f"{MARK}$0{MARK}"), MARK, -1)
 
 
+def _last_words(text: Column, n: int) -> Column:
+    """The last n words of a text with what stands between them; '' if there are fewer. Linear: read from the end."""
+    word, gap = r"[^\x20\x09-\x0D]++", r"[\x20\x09-\x0D]"
+    return F.reverse(F.regexp_extract(F.reverse(text), rf"\A{gap}*+({word}(?:{gap}++{word}){{{n - 1}}})", 1))
+
+
+def _first_word(text: Column) -> Column:
+    return F.regexp_extract(text, r"\A[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1)
+
+
 def find(rows: DataFrame, kinds: Mapping[str, Kind], keys: list[str], text: str = "text", context: bool = False) -> DataFrame:
-    """(keys, kind, start, end, value[, before]) of all matches, valid or not: leftmost, non-overlapping per kind.
+    """(keys, kind, start, end, value) of all matches, valid or not: leftmost, non-overlapping per kind.
 
-    Rows may repeat a key: each is searched by itself and gives its own spans. start and end count code points, end exclusive.
+    Rows may repeat a key: each is searched by itself and gives its own spans. start and end count code points, end
+    exclusive. With ``context`` there are also two, one (the last words before the match) and after (the first word
+    behind it) as they stand between this and the neighbouring matches of the kind; '' where there are too few.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     per_kind = [F.when(k.gate(t), F.struct(F.lit(name).alias("kind"), pieces(t, k.pattern).alias("pieces"))) for name, k in kinds.items()]
@@ -48,14 +57,16 @@ def find(rows: DataFrame, kinds: Mapping[str, Kind], keys: list[str], text: str
     odd = F.col("at") % 2 == 1
     kept = [F.length("piece").alias("length"), F.when(odd, F.col("piece")).alias("value")]
     if context:
-        kept.append(F.when(~odd, F.right("piece", F.lit(BEFORE))).alias("tail"))
+        kept.append(F.when(~odd, F.struct(_last_words(F.col("piece"), 2).alias("two"), _last_words(F.col("piece"), 1).alias("one"), _first_word(F.col("piece")).alias("first"))).alias("edges"))
     each = each.select(*keys, "_row", "kind", "at", *kept)
     in_order = W.partitionBy(*keys, "_row", "kind").orderBy("at")
     each = each.withColumn("end", F.sum("length").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    around = []
     if context:
-        each = each.withColumn("before", F.lag("tail").over(in_order))
+        each = each.withColumns({"before": F.lag("edges").over(in_order), "behind": F.lead("edges").over(in_order)})
+        around = [F.col("before.two").alias("two"), F.col("before.one").alias("one"), F.col("behind.first").alias("after")]
     out = each.where(F.col("value").isNotNull())
-    return out.select(*keys, "kind", (F.col("end") - F.col("length")).alias("start"), "end", "value", *(["before"] if context else []))
+    return out.select(*keys, "kind", (F.col("end") - F.col("length")).alias("start"), "end", "value", *around)
 
 
 def valid(kinds: Mapping[str, Kind]) -> Column:
