@@ -67,15 +67,16 @@ def written() -> int:
     return len(_written)
 
 
-def spread(big: DataFrame, key: str, least: int = 64) -> Callable[..., DataFrame]:
+def spread(big: DataFrame, key: str, counts: DataFrame | None = None, least: int = 64) -> Callable[..., DataFrame]:
     """A function (small, how) that joins ``big`` on one column, although many rows of ``big`` may share a key.
 
     Rows of a key that holds more than a fair share of ``big`` are dealt over several parts, and ``small``, which has
     few rows a key, gets a copy of that key's rows for each part. At most 4 keys a partition can be that frequent, so
-    their list is broadcast. Null keys match nothing. Where no key is that frequent it is a plain join.
+    their list is broadcast. Null keys match nothing. Where no key is that frequent it is a plain join. counts may give
+    what is known already of the keys' rows: a written table (key, n).
     """
     deal, width = "_deal", "_width"
-    counts = cut(big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(width)))
+    counts = cut(big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(width))) if counts is None else counts.select(key, F.col("n").alias(width))
     total, most = counts.agg(F.sum(width), F.max(width)).first()
     share = max(least, (total or 0) // (4 * partitions(big.sparkSession)) + 1)
     if (most or 0) <= share:
@@ -91,6 +92,20 @@ def spread(big: DataFrame, key: str, least: int = 64) -> Callable[..., DataFrame
     return join
 
 
+def heavy_groups(df: DataFrame, groups: int, *keys: str):
+    """df grouped by keys of about ``groups`` values, each of which costs much time for few bytes.
+
+    A number of partitions that is asked for is kept, so such groups are not put together in a few tasks.
+    """
+    return df.repartition(max(1, min(2 * groups, 4 * partitions(df.sparkSession))), *keys).groupBy(*keys)
+
+
+def padded(df: DataFrame, vector: str, dims: int) -> DataFrame:
+    """df with its vectors filled up with zeros to ``dims`` components."""
+    short = F.array_repeat(F.lit(0.0), F.lit(dims) - F.size(vector))
+    return df.withColumn(vector, F.when(F.size(vector) < dims, F.concat(vector, short)).otherwise(F.col(vector)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from snapfold.llm.common import cut
+from snapfold.llm.common import cut, heavy_groups, padded
 
 #: Vectors a shard holds about, out-degree at which pruning stops (edges back may double it), beam of the build, beam of the search, relaxation of the pruning.
 SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 8192, 32, 48, 160, 1.2
@@ -150,20 +150,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
 
     Vectors that are null, zero, or hold null or non-finite components take no part, on either side; neither do null
     ids. With at most k other vectors all are returned. Rows that repeat an id count once (the vector least in order).
-    All vectors need one length. Extra columns are ignored; an empty table gives an empty result.
+    A vector with fewer components than another counts as 0 in the others. Extra columns are ignored; an empty table gives an empty result.
     """
     pick = lambda df: usable(df, vector).where(F.col(vec_id).isNotNull()).groupBy(F.col(vec_id).cast("long").alias("id")).agg(F.min(F.col(vector).cast("array<double>")).alias("v"))
-    base, asked = pick(vectors), pick(queries)
-    n = base.count()
-    shards = max(1, math.ceil(n / shard))
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    base, asked = cut(pick(vectors)), cut(pick(queries))
+    n, dims = base.agg(F.count("*"), F.max(F.size("v"))).first()
+    n_asked, dims_asked = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    dims, shards, blocks = max(dims or 0, dims_asked or 0), max(1, math.ceil(n / shard)), max(1, math.ceil(n_asked / QUERY_BLOCK))
+    base, asked = (padded(df, "v", dims) for df in (base, asked))
     dealt = base.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
 
     def build(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         return build_shard(int(key[0]), own["id"].to_numpy(), np.stack(own["v"].to_list()))
 
     # Each graph is built once, however many blocks of queries there are.
-    built = cut(dealt.groupBy("shard").applyInPandas(build, SHARD_SCHEMA))
+    built = cut(heavy_groups(dealt, shards, "shard").applyInPandas(build, SHARD_SCHEMA))
     copies = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     every = asked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
 
@@ -172,7 +173,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return search_shard(graph.iloc[0], far["id"].to_numpy(), np.stack(far["v"].to_list()), k, beam)
 
-    groups = [df.groupBy("shard", "block") for df in (copies, every)]
+    groups = [heavy_groups(df, shards * blocks, "shard", "block") for df in (copies, every)]
     found = groups[0].cogroup(groups[1]).applyInPandas(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

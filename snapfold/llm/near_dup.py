@@ -14,14 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapfold.llm.common import WORD, cut
+from snapfold.llm.common import WORD, columns_of, cut, fresh, heavy_groups, partitions, spread
 
-SHINGLE, SLOTS, BANDS, ROWS, BITS = 5, 128, 24, 4, 2
+SHINGLE, SLOTS, BANDS, ROWS, BITS = 5, 128, 25, 5, 2
+#: Pairs of similarity 0.8 miss all bands with probability 5e-5, those of 0.85 with 4e-7; pairs of 0.3 share one with 0.06.
 #: A pair whose estimate lies this far under the threshold (4.5 standard errors of 128 two-bit slots) is no candidate.
 MARGIN = 0.165
 BLOCK = 256
@@ -67,7 +69,10 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
-def sketch(texts) -> pd.DataFrame:
+SKETCH = ["n_shingles", "fp", "sig", "bands"]
+
+
+def sketch(texts) -> dict[str, list]:
     """Per text: n_shingles, fp (16 bytes of its set), sig (packed low bits) and bands (keys)."""
     a, b = _permutations()
     salt = _stir(np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[0])
@@ -89,7 +94,7 @@ def sketch(texts) -> pd.DataFrame:
             else:
                 known[fp] = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
         rows.append((len(shingles), fp, *known[fp]))
-    return pd.DataFrame(rows, columns=["n_shingles", "fp", "sig", "bands"])
+    return dict(zip(SKETCH, map(list, zip(*rows, strict=True)) if rows else ([], [], [], []), strict=True))
 
 
 def _estimate(equal_bits_of: list[tuple[Column, Column]]) -> Column:
@@ -123,21 +128,27 @@ def components(edges: DataFrame) -> DataFrame:
     nodes, names = edges.select(F.col("a").alias("node")).distinct(), []
     while edges.limit(1).count():
         hooks = cut(edges.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
-        while True:
+        while True:  # many nodes may hook to one, and one may have many edges: all joins deal frequent keys out
             end = hooks.select(F.col("a").alias("to"), F.col("to").alias("end"))
-            longer = cut(hooks.join(end, "to").select("a", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")))
+            longer = cut(spread(hooks, "to")(end).select("a", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")))
             hooks = longer.select("a", "to")
             if not longer.where("moved").limit(1).count():
                 break
         names.append(hooks)
-        moved = edges.join(hooks, "a").select(F.col("to").alias("a"), "b").join(hooks.select(F.col("a").alias("b"), F.col("to").alias("end")), "b")
+        moved = cut(spread(edges, "a")(hooks).select(F.col("to").alias("a"), "b"))
+        moved = spread(moved, "b")(hooks.select(F.col("a").alias("b"), F.col("to").alias("end")))
         edges = cut(moved.select("a", F.col("end").alias("b")).where("a != b").distinct())
     out = nodes.withColumn("label", F.col("node"))
     for hooks in names:
-        out = out.join(hooks.select(F.col("a").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        out = relabelled(cut(out), hooks.select(F.col("a").alias("label"), "to"), "to").select("node", "label")
     return out
 
 
+def relabelled(rows: DataFrame, names: DataFrame, to: str) -> DataFrame:
+    """rows with their label replaced by that of names (label, to), where it has one. Many rows may share a label."""
+    return spread(rows, "label")(names, "left").withColumn("label", F.coalesce(to, "label")).drop(to)
+
+
 def text_key(text: Column) -> Column:
     """Tells apart rows of one id with different texts."""
     return F.xxhash64(F.lit(7), text)
@@ -162,16 +173,22 @@ _BLOCK_KEYS = ["bucket", "i", "j"]
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Members of each bucket dealt into blocks, each block together with each other: rows grow by the number of blocks."""
-    width = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), width).cast("int")
-    return (
-        members.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), width - 1)))
-        .withColumn("i", F.least("own", "other"))
-        .withColumn("j", F.greatest("own", "other"))
-        .drop("other", "members")
-    )
+    """Members (.., fp, label, top, major, members) of each bucket dealt into blocks, and the blocks into groups to compare.
+
+    ``major`` members carry the bucket's most frequent label, ``top``, and need no comparison among themselves: their
+    blocks (i < 0) meet those of the others, whose blocks (i >= 0) meet each other as well. So rows grow by the number
+    of blocks of the others, not of the whole bucket.
+    """
+    is_major = F.col("label") == F.col("top")
+    wide = lambda n: F.greatest(F.ceil(n / BLOCK).cast("int"), F.lit(1))
+    n_major, n_minor = wide(F.col("major")), wide(F.col("members") - F.col("major"))
+    at = F.pmod(F.xxhash64("fp"), F.when(is_major, n_major).otherwise(n_minor)).cast("int")
+    with_minor = F.transform(F.sequence(F.lit(0), n_minor - 1), lambda k: F.struct((-1 - at).alias("i"), k.cast("int").alias("j")))
+    with_major = F.transform(F.sequence(F.lit(0), n_major - 1), lambda k: F.struct((-1 - k).cast("int").alias("i"), at.alias("j")))
+    among = F.transform(F.sequence(F.lit(0), n_minor - 1), lambda k: F.struct(F.least(at, k).cast("int").alias("i"), F.greatest(at, k).cast("int").alias("j")))
+    met = F.when(is_major, with_minor).otherwise(F.concat(with_major, among))
+    own = F.when(is_major, F.lit(-1)).otherwise(at)
+    return members.withColumn("own", own).withColumn("met", F.explode(met)).withColumns({"i": F.col("met.i"), "j": F.col("met.j")}).drop("met", "top", "major", "members")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -194,24 +211,27 @@ def one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     bare = F.col(doc_id).isNull() & ~F.coalesce(F.col(text).rlike(WORD), F.lit(False))
     found = _components_of(docs.where(~bare), doc_id, text, percent).where("kept")
     component = F.coalesce(F.hex("label"), F.concat(F.lit("id "), F.col("doc_id").cast("string")))
-    one = found.groupBy(component.alias("_component")).agg(F.min(F.struct("doc_id", "key")).alias("x")).select("_component", F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key"))
-    rows = docs.where(~bare).join(one, F.col(doc_id).eqNullSafe(F.col("_id")) & (text_key(F.col(text)) == F.col("_key")))
-    return rows.dropDuplicates(["_component"]).select(docs.columns).union(docs.where(bare))
+    name, id_, key = fresh(docs, "_component"), fresh(docs, "_id"), fresh(docs, "_key")
+    one = found.groupBy(component.alias(name)).agg(F.min(F.struct("doc_id", "key")).alias("x")).select(name, F.col("x.doc_id").alias(id_), F.col("x.key").alias(key))
+    rows = docs.where(~bare).join(one, F.col(doc_id).eqNullSafe(F.col(id_)) & (text_key(F.col(text)) == F.col(key)))
+    return rows.dropDuplicates([name]).select(columns_of(docs)).union(docs.where(bare).select(columns_of(docs)))
 
 
 def _components_of(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     """(doc_id, key, n_shingles, label, component_id, kept) per row: classes and links are known by fp, never by id."""
     floor = percent / 100 - MARGIN
+    kind = docs.schema[doc_id].dataType
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.LongType()), *(T.StructField(n, t) for n, t in zip(SKETCH, (T.LongType(), T.BinaryType(), longs, longs), strict=True))])
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch[i : i + 500].reset_index(drop=True)
-                yield sketch(part["text"]).assign(doc_id=part["doc_id"], key=part["key"])
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                made = sketch(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(made[n], k) for n, k in zip(SKETCH, kinds, strict=True))], names=schema.names)
 
-    kind = docs.schema[doc_id].dataType
-    schema = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("sig", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("doc_id", kind), T.StructField("key", T.LongType())])
-    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("key")).mapInPandas(run, schema))
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema))
     # Classes of equal sets. first() is sound: members of a class have the same sketch.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     classes = rows.where("n_shingles > 0").groupBy("fp").agg(least.alias("x"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
@@ -219,28 +239,29 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, percent: int) -> Dat
     words = [F.col("sig")[i].alias(f"s{i}") for i in range(SLOTS * BITS // 64)]
     signatures = classes.select("fp", *words)
     in_bands = classes.select(F.explode("bands").alias("bucket"), "fp")
-    buckets = in_bands.groupBy("bucket").agg(F.min("fp").alias("lead"), F.count("*").alias("members")).where("members > 1")
-    shared = cut(in_bands.join(buckets, "bucket").select("bucket", "fp", "members", "lead"))
+    buckets = cut(in_bands.groupBy("bucket").agg(F.min("fp").alias("lead"), F.count("*").alias("n")).where("n > 1"))
+    shared = cut(spread(in_bands, "bucket", buckets)(buckets.select("bucket", "lead")).select("bucket", "fp", "lead"))
 
     # First links: each class with the first of its leaders that looks near enough.
-    pairs = shared.where("fp != lead").select("fp", "lead").distinct()
+    pairs = cut(shared.where("fp != lead").select("fp", "lead").distinct())
     other = signatures.select(F.col("fp").alias("lead"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(len(words))))
-    pairs = pairs.join(signatures, "fp").join(other, "lead")
+    pairs = spread(pairs, "lead")(other).join(signatures, "fp")
     pairs = pairs.withColumn("near", _estimate([(F.col(f"s{i}"), F.col(f"t{i}")) for i in range(len(words))])).where(F.col("near") >= floor)
     first = pairs.groupBy("fp").agg(F.min(F.struct((F.col("near") < percent / 100 - MARGIN / 4).alias("doubtful"), "lead")).alias("x"))
     first = cut(first.select("fp", F.col("x.lead").alias("lead")))
 
-    sets = cut(_sets(docs, first.select("fp").union(first.select("lead")), classes, doc_id, text))
-    sure = first.join(sets, "fp").join(sets.select(F.col("fp").alias("lead"), F.col("shingles").alias("theirs")), "lead")
+    # The full sets of all classes that share a bucket: the texts move once.
+    sets = cut(_sets(docs, shared, classes, doc_id, text))
+    sure = spread(first, "lead")(sets.select(F.col("fp").alias("lead"), F.col("shingles").alias("theirs"))).join(sets, "fp")
     sure = sure.withColumn("both", F.size(F.array_intersect("shingles", "theirs"))).where(100 * F.col("both") >= percent * (F.size("shingles") + F.size("theirs") - F.col("both")))
     first_links = components(sure.select(F.col("fp").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "fp")
     labels = cut(classes.select("fp").join(first_links, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label")))
 
     # Buckets that still hold several components: what looks near across components is tested on full sets.
-    open_ = shared.select("bucket", "fp", "members").join(labels, "fp")
-    mixed = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
-    in_doubt = cut(_doubtful(open_.join(mixed, "bucket", "left_semi"), signatures, floor))
-    sets = cut(_sets(docs, in_doubt, classes, doc_id, text))
+    open_ = cut(shared.select("bucket", "fp").join(labels, "fp"))
+    mixed = open_.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("major"), F.sum("n").alias("members"))
+    members = spread(open_, "bucket", buckets)(mixed.where("major < members"))
+    in_doubt = cut(_doubtful(cut(members), signatures, floor))
     left = in_doubt.join(signatures, "fp").join(sets, "fp")
 
     def confirm(group: pd.DataFrame) -> pd.DataFrame:
@@ -253,7 +274,7 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, percent: int) -> Dat
             return x
 
         found = []
-        names, shingles, fps = group.label.to_list(), group.shingles.to_list(), group.fp.to_list()
+        names, shingles = group.label.to_list(), group.shingles.to_list()
         own, within = group.own.to_numpy(), group.i.iat[0] == group.j.iat[0]
         for x in range(len(group)):
             near = estimates(sig[x : x + 1], sig[:x])[0] >= floor
@@ -263,16 +284,16 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, percent: int) -> Dat
                     root[top(names[x])] = top(names[y])
         return pd.DataFrame(found, columns=["a", "b"])
 
-    more = cut(left.groupBy(*_BLOCK_KEYS).applyInPandas(confirm, "a binary, b binary").distinct())
+    many = 4 * partitions(docs.sparkSession)
+    more = cut(heavy_groups(left, many, *_BLOCK_KEYS).applyInPandas(confirm, "a binary, b binary").distinct())
     final = labels
     if more.limit(1).count():
-        joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("least"))
-        final = labels.join(joined, "label", "left").select("fp", F.coalesce("least", "label").alias("label"))
+        final = cut(relabelled(labels, components(more).select(F.col("node").alias("label"), F.col("label").alias("least")), "least"))
     # A component goes by its least id, or null; the rows of that id in the class that holds it are kept.
     named = final.join(classes.select("fp", "rep"), "fp")
     firsts = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("x"))
-    named = final.join(firsts, "label").select("fp", "label", F.col("x.rep").alias("least"), (F.col("x.fp") == F.col("fp")).alias("is_first"))
-    out = rows.select("doc_id", "key", "n_shingles", "fp").join(named, "fp", "left")
+    named = spread(final, "label")(firsts).select("fp", "label", F.col("x.rep").alias("least"), (F.col("x.fp") == F.col("fp")).alias("is_first"))
+    out = spread(rows.select("doc_id", "key", "n_shingles", "fp"), "fp")(named, "left")
     out = out.select("doc_id", "key", "n_shingles", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "is_first")
     return out.withColumn("kept", F.coalesce("is_first", F.lit(True)) & F.col("doc_id").eqNullSafe(F.col("component_id"))).drop("is_first")
 
@@ -284,7 +305,7 @@ def _doubtful(shared: DataFrame, signatures: DataFrame, floor: float) -> DataFra
     """
     alike = shared.groupBy("bucket").agg(F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("xor"), F.first("members").alias("members"))
     chosen = alike.groupBy("sum", "xor", "members").agg(F.min("bucket").alias("bucket"))
-    members = shared.select("bucket", "fp", "label", "members").join(chosen.select("bucket"), "bucket", "left_semi")
+    members = spread(shared, "bucket")(chosen.select("bucket"))
     rows = _blocks(members.join(signatures, "fp"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -298,4 +319,4 @@ def _doubtful(shared: DataFrame, signatures: DataFrame, floor: float) -> DataFra
         return group.loc[near.any(1), names]
 
     names = ["bucket", "i", "j", "own", "fp", "label"]
-    return rows.groupBy(*_BLOCK_KEYS).applyInPandas(run, rows.select(*names).schema)
+    return heavy_groups(rows, 4 * partitions(rows.sparkSession), *_BLOCK_KEYS).applyInPandas(run, rows.select(*names).schema)

@@ -18,15 +18,16 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapfold.llm.common import cut
+from snapfold.llm.common import cut, heavy_groups
 
 LENGTH, END, GROUP = 2048, 0, 4096
 #: Runs of white space over this length are beyond tiktoken (its pattern search runs out of stack at a million): such texts go to tokenizers.
+#: Both read the same vocabulary, merges and pattern, so the ids are the same; only the time differs.
 SPACES = 50_000
 
 
@@ -106,46 +107,50 @@ def pack(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarra
 
 
 def token_pieces(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every row's whole text: its ids, then the end id."""
+    """(doc_id, piece, start, length, ids_crc32) of every row's whole text: its ids, then the end id. Ids pass through untouched."""
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         encode = encoder(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN, None if ranks else public_tokenizers.path("byte_bpe_50k.json"))
         for batch in batches:
-            ids_of, rows = batch["doc_id"].to_list(), []
-            for i, t in enumerate(batch["text"]):
-                ids = np.array([*encode(t), END] if isinstance(t, str) else [END], dtype="<u4")
-                rows += [(ids_of[i], p, s, n, zlib.crc32(ids[s : s + n].tobytes())) for p, (s, n) in enumerate(cuts(len(ids), length))]
-            yield pd.DataFrame(rows, columns=[f.name for f in schema])
+            rows = []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                ids = np.array([*encode(t), END] if t is not None else [END], dtype="<u4")
+                rows += [(i, p, s, n, zlib.crc32(ids[s : s + n].tobytes())) for p, (s, n) in enumerate(cuts(len(ids), length))]
+            at, piece, *rest = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) if rows else [np.empty(0, dtype=np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(piece.astype(np.int32)), *map(pa.array, rest)], names=schema.names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: Capacity = Capacity(), group: int = GROUP, doc_id: str = "doc_id", text: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null text is an empty one: its end id alone. Repeated rows are documents of their own. Every piece lies whole in
-    one sequence. Extra columns are ignored; an empty table gives an empty result. ids are those of the vocabulary's
-    byte-level byte-pair encoding; ranks and pattern name another one.
+    A null text is an empty one: its end id alone. Repeated rows and ids are documents of their own, null ids stay
+    null. Every piece lies whole in one sequence; one that alone exceeds a capacity has a sequence to itself. Extra
+    columns are ignored; an empty table gives an empty result. ids are those of the vocabulary's byte-level byte-pair
+    encoding; ranks and pattern name another one.
     """
     pieces = cut(token_pieces(docs, ranks, pattern, capacity.tokens, doc_id, text))
-    # Pieces that fill a sequence need no search; the others are dealt by hash, so copies of a document spread as well.
+    # Pieces that fill a sequence need no search; the others are dealt evenly by their place in the written table, so
+    # equal rows spread as well. The deal is written before it is used: a task that is run again changes nothing.
     full = F.col("length") == capacity.tokens
     count = pieces.where(~full).count()
     groups = max(1, math.ceil(count / group))
-    at = F.pmod(F.xxhash64(F.lit(17), "doc_id", "piece", "ids_crc32"), F.lit(groups))
+    at = F.pmod(F.xxhash64(F.lit(17), F.monotonically_increasing_id()), F.lit(groups))
     dealt = cut(pieces.where(~full).withColumn("group", at))
     schema = dealt.drop("group").schema.add("sequence_id", "long").add("offset", "long")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
-        bins, offsets = pack(rows["length"].to_numpy(), capacity)
-        return rows.drop(columns="group").assign(sequence_id=2 * (bins * groups + key[0]), offset=offsets)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")])
+        bins, offsets = pack(rows.column("length").to_numpy(), capacity)
+        out = rows.select(schema.names[:-2])
+        return out.append_column("sequence_id", pa.array(2 * (bins * groups + key[0].as_py()))).append_column("offset", pa.array(offsets))
 
-    packed = dealt.groupBy("group").applyInPandas(run, schema)
+    packed = heavy_groups(dealt, groups, "group").applyInArrow(run, schema)
     # Odd numbers are sequences that one piece fills.
     whole = pieces.where(full).withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(whole)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapfold.llm import spans as S
-from snapfold.llm.common import cut, shared_dir
+from snapfold.llm.common import columns_of, cut, fresh, shared_dir, spread
 
 
 class Rule(NamedTuple):
@@ -37,7 +37,7 @@ _any = lambda v: F.lit(True)
 _SEP, _LINE, _B64 = r"(?:\s|\\[nr])", r"(?:\r?\n|\r|(?:\\r)?\\n)", "[A-Za-z0-9+/=]"
 _FIELDS = rf"(?:{_SEP}*+(?:Proc-Type|DEK-Info)\x20*+:(?:[^\r\n\\])*+)*+"
 _BASE64 = rf"(?:{_SEP}*+{_B64}{{16,}}+)*+(?:{_LINE}[\x20\t]*+{_B64}++[\x20\t]*+(?={_LINE}|\z|\x01))*+(?:{_SEP}++[A-Za-z0-9+/]++={{1,2}}+)?+"
-_PEM = rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]{{0,40}}PRIVATE KEY-----|{_FIELDS}{_BASE64})"
+_PEM = rf"-----BEGIN [A-Z ]*?PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*?PRIVATE KEY-----|{_FIELDS}{_BASE64})"
 # The last two and pem add common formats to the three base kinds. pem comes first, lest another rule masks part of a marker.
 RULES = {
     "pem": Rule(3, S.Kind(_PEM, _has("PRIVATE KEY-----"), _any), _PEM),
@@ -48,6 +48,8 @@ RULES = {
     "jwt": Rule(1, S.Kind(r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", _has(".eyJ"), _any), r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
 }
 BASE = ["assign", "access", "hex"]
+#: Most blobs (64 characters each) that a broadcast may hold.
+LOOKUP = 50_000
 
 
 def blob_of(text: Column) -> Column:
@@ -109,24 +111,37 @@ def report(docs: DataFrame, ledger: str | None = None, doc_id: str = "doc_id", t
     found = scan(docs, ledger or new_ledger(docs.sparkSession), text)
     counts = [F.count_if(F.col("kind") == n).alias(f"n_{n}") for n in BASE]
     per = found.groupBy("blob").agg(*counts, S.joined(F.col("kind").isin(BASE), BASE).alias("base_"), S.joined(F.lit(True), BASE).alias("spans"))
-    out = docs.select(F.col(doc_id).alias("doc_id"), blob_of(F.col(text)).alias("blob")).join(per, "blob", "left")
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), blob_of(F.col(text)).alias("blob")))
+    out = spread(rows, "blob")(per, "left")  # a blob may stand for a great part of all rows
     none = F.lit("")
     return out.select("doc_id", *(F.coalesce(f"n_{n}", F.lit(0)).cast("long").alias(f"n_{n}") for n in BASE), F.sha2(F.coalesce("base_", none), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans"))
 
 
 def redact(docs: DataFrame, ledger: str | None = None, text: str = "text", mask: str = "[SECRET]", rules: Mapping[str, Rule] = RULES) -> DataFrame:
-    """docs with every found secret replaced by ``mask`` in texts that have findings; other texts stay as they are."""
-    found = scan(docs, ledger or new_ledger(docs.sparkSession), text, rules).select("blob").distinct()
+    """docs with every found secret replaced by ``mask`` in texts that have findings; other texts stay as they are.
+
+    A null text stays null. Rows are independent: repeated rows and ids are masked alike, an empty table stays empty,
+    and other columns, whatever their names, pass through.
+    """
+    found = scan(docs, ledger or new_ledger(docs.sparkSession), text, rules).select(F.col("blob").alias("_hit")).distinct()
     t = F.coalesce(F.col(text), F.lit(""))
     gate = F.lit(False)
     for r in rules.values():
         gate = gate | r.kind.gate(t)
-    open_ = docs.where(gate).withColumn("_blob", blob_of(F.col(text)))
-    hit = open_.join(found.withColumnRenamed("blob", "_blob"), "_blob", "left_semi").drop("_blob")
-    clean = open_.join(found.withColumnRenamed("blob", "_blob"), "_blob", "left_anti").drop("_blob")
-    new = F.col(text)
+    blob, hit = fresh(docs, "_blob"), fresh(docs, "_hit")
+    found = cut(found.select(F.col("_hit").alias(blob), F.lit(True).alias(hit)))
+    if found.limit(LOOKUP + 1).count() <= LOOKUP:  # few enough to go to every task: one pass, no text moves
+        open_, clean = docs.withColumn(blob, F.when(gate, blob_of(F.col(text)))).join(F.broadcast(found), blob, "left"), None
+    else:  # only texts that pass a gate move
+        open_ = spread(docs.where(gate).withColumn(blob, blob_of(F.col(text))), blob)(found, "left")
+        clean = docs.where(~gate).select(columns_of(docs))
+    # The mark and the escape of a text's own marks are characters that no rule knows.
+    escape, own, itself = "\u0002", "\u0003", "\u0004"
+    new = F.replace(F.replace(F.col(text), F.lit(escape), F.lit(escape + itself)), F.lit(S.MARK), F.lit(escape + own))
     for r in rules.values():
         # Fence in all matches first, so that a match too short to count still hides what it covers.
-        new = F.regexp_replace(F.translate(new, S.MARK, S.STAND_IN), r.kind.pattern, f"{S.MARK}$0{S.MARK}")
+        new = F.regexp_replace(new, r.kind.pattern, f"{S.MARK}$0{S.MARK}")
         new = F.translate(F.regexp_replace(new, f"{S.MARK}{r.valid_pattern}{S.MARK}", mask), S.MARK, "")
-    return docs.where(~gate).union(hit.withColumn(text, new).select(docs.columns)).union(clean.select(docs.columns))
+    new = F.replace(F.replace(new, F.lit(escape + own), F.lit(S.MARK)), F.lit(escape + itself), F.lit(escape))
+    masked = open_.withColumn(text, F.when(F.col(hit), new).otherwise(F.col(text))).select(columns_of(docs))
+    return masked if clean is None else clean.union(masked)

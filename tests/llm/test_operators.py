@@ -41,7 +41,7 @@ def test_extract_keeps_the_article_only(spark):
 
 def test_extract_decodes_consistent_states():
     model = html_extract.train()
-    pages = [html_extract.Page(s) for s in html_extract.training_pages(40, seed=123)]
+    pages = [html_extract.Page(s, training=True) for s in html_extract.training_pages(40, seed=123)]
     X, tree = html_extract.features(pages)
     state = html_extract.decode(html_extract.trees.log_odds(model, X), tree)
     above = state[tree["parent"]]
