@@ -54,12 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables that ``cut`` wrote after the first ``keep``, once nothing reads them any more."""
+def release(spark: SparkSession, keep: int = 0, but: int = 0) -> None:
+    """Delete the tables that ``cut`` wrote after the first ``keep``, once nothing reads them any more; the last ``but`` stay."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(_written) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    end = len(_written) - but
+    for name in _written[keep:end]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+    del _written[keep:end]
 
 
 def written() -> int:
