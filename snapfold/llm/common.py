@@ -78,12 +78,12 @@ def spread(big: DataFrame, key: str, counts: DataFrame | None = None, least: int
     what is known already of the keys' rows: a written table (key, n).
     """
     deal, width = "_deal", "_width"
-    counts = cut(big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(width))) if counts is None else counts.select(key, F.col("n").alias(width))
+    counts = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(width)) if counts is None else counts.select(key, F.col("n").alias(width))
     total, most = counts.agg(F.sum(width), F.max(width)).first()
     share = max(least, (total or 0) // (4 * partitions(big.sparkSession)) + 1)
     if (most or 0) <= share:
         return lambda small, how="inner": big.join(small, key, how)
-    hot = F.broadcast(counts.where(F.col(width) > share).select(key, F.ceil(F.col(width) / share).cast("int").alias(width)))
+    hot = F.broadcast(cut(counts.where(F.col(width) > share).select(key, F.ceil(F.col(width) / share).cast("int").alias(width))))
     parts = F.coalesce(F.col(width), F.lit(1))
     left = big.join(hot, key, "left").withColumn(deal, F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop(width)
 

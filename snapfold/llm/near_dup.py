@@ -169,26 +169,32 @@ def _sets(docs: DataFrame, need: DataFrame, classes: DataFrame, doc_id: str, tex
     return rows.mapInPandas(run, "fp binary, shingles array<long>").dropDuplicates(["fp"])
 
 
-_BLOCK_KEYS = ["bucket", "i", "j"]
+_BLOCK_KEYS = ["pack", "i", "j"]
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Members (.., fp, label, top, major, members) of each bucket dealt into blocks, and the blocks into groups to compare.
+    """Members (.., bucket, fp, label, top, major, members) dealt into groups (pack, i, j) of bounded size to compare.
 
-    ``major`` members carry the bucket's most frequent label, ``top``, and need no comparison among themselves: their
-    blocks (i < 0) meet those of the others, whose blocks (i >= 0) meet each other as well. So rows grow by the number
-    of blocks of the others, not of the whole bucket.
+    Buckets of at most BLOCK members are packed together. In a larger one the ``major`` members carry the bucket's most
+    frequent label, ``top``, and need no comparison among themselves: their blocks (i < 0) meet those of the others,
+    whose blocks (i >= 0) meet each other as well. So rows grow by the number of blocks of the others, not of the whole
+    bucket.
     """
+    small = members.where(F.col("members") <= BLOCK)
+    packs = max(1, small.count() // BLOCK)
+    zero = F.lit(0)
+    small = small.withColumns({"own": zero, "pack": F.pmod(F.xxhash64("bucket"), F.lit(packs)), "i": zero, "j": zero})
     is_major = F.col("label") == F.col("top")
     wide = lambda n: F.greatest(F.ceil(n / BLOCK).cast("int"), F.lit(1))
     n_major, n_minor = wide(F.col("major")), wide(F.col("members") - F.col("major"))
     at = F.pmod(F.xxhash64("fp"), F.when(is_major, n_major).otherwise(n_minor)).cast("int")
-    with_minor = F.transform(F.sequence(F.lit(0), n_minor - 1), lambda k: F.struct((-1 - at).alias("i"), k.cast("int").alias("j")))
-    with_major = F.transform(F.sequence(F.lit(0), n_major - 1), lambda k: F.struct((-1 - k).cast("int").alias("i"), at.alias("j")))
-    among = F.transform(F.sequence(F.lit(0), n_minor - 1), lambda k: F.struct(F.least(at, k).cast("int").alias("i"), F.greatest(at, k).cast("int").alias("j")))
+    with_minor = F.transform(F.sequence(zero, n_minor - 1), lambda k: F.struct((-1 - at).alias("i"), k.cast("int").alias("j")))
+    with_major = F.transform(F.sequence(zero, n_major - 1), lambda k: F.struct((-1 - k).cast("int").alias("i"), at.alias("j")))
+    among = F.transform(F.sequence(zero, n_minor - 1), lambda k: F.struct(F.least(at, k).cast("int").alias("i"), F.greatest(at, k).cast("int").alias("j")))
     met = F.when(is_major, with_minor).otherwise(F.concat(with_major, among))
-    own = F.when(is_major, F.lit(-1)).otherwise(at)
-    return members.withColumn("own", own).withColumn("met", F.explode(met)).withColumns({"i": F.col("met.i"), "j": F.col("met.j")}).drop("met", "top", "major", "members")
+    large = members.where(F.col("members") > BLOCK).withColumns({"own": F.when(is_major, F.lit(-1)).otherwise(at), "pack": F.col("bucket"), "met": F.explode(met)})
+    large = large.withColumns({"i": F.col("met.i"), "j": F.col("met.j")}).drop("met")
+    return small.unionByName(large).drop("top", "major", "members")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -274,11 +280,11 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, percent: int) -> Dat
             return x
 
         found = []
-        names, shingles = group.label.to_list(), group.shingles.to_list()
+        names, shingles, bucket = group.label.to_list(), group.shingles.to_list(), group.bucket.to_numpy()
         own, within = group.own.to_numpy(), group.i.iat[0] == group.j.iat[0]
         for x in range(len(group)):
             near = estimates(sig[x : x + 1], sig[:x])[0] >= floor
-            for y in np.flatnonzero(near & (within | (own[:x] != own[x]))):
+            for y in np.flatnonzero(near & (bucket[:x] == bucket[x]) & (within | (own[:x] != own[x]))):
                 if top(names[x]) != top(names[y]) and linked(shingles[x], shingles[y], percent):
                     found.append((names[x], names[y]))
                     root[top(names[x])] = top(names[y])
@@ -299,24 +305,26 @@ def _components_of(docs: DataFrame, doc_id: str, text: str, percent: int) -> Dat
 
 
 def _doubtful(shared: DataFrame, signatures: DataFrame, floor: float) -> DataFrame:
-    """(bucket, i, j, own, fp, label) of the classes that look near to one of another component in their bucket.
+    """(bucket, pack, i, j, own, fp, label) of the classes that look near to one of another component in their bucket.
 
     Buckets that differ in nothing but their band hold the same pairs; the first of them stands for all.
     """
     alike = shared.groupBy("bucket").agg(F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("xor"), F.first("members").alias("members"))
     chosen = alike.groupBy("sum", "xor", "members").agg(F.min("bucket").alias("bucket"))
     members = spread(shared, "bucket")(chosen.select("bucket"))
-    rows = _blocks(members.join(signatures, "fp"))
+    rows = _blocks(cut(members)).join(signatures, "fp")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.column_stack([group[f"s{i}"].to_numpy().view(np.uint64) for i in range(SLOTS * BITS // 64)])
         near = estimates(sig, sig) >= floor
         label = pd.factorize(group["label"])[0]
         near &= label[:, None] != label[None, :]
+        bucket = group["bucket"].to_numpy()
+        near &= bucket[:, None] == bucket[None, :]
         if group.i.iat[0] != group.j.iat[0]:
             own = group.own.to_numpy()
             near &= own[:, None] != own[None, :]
         return group.loc[near.any(1), names]
 
-    names = ["bucket", "i", "j", "own", "fp", "label"]
+    names = ["bucket", *_BLOCK_KEYS, "own", "fp", "label"]
     return heavy_groups(rows, 4 * partitions(rows.sparkSession), *_BLOCK_KEYS).applyInPandas(run, rows.select(*names).schema)
