@@ -15,8 +15,15 @@ def season(day: Column, first_month: int = 10, late_2020: bool = False) -> Colum
 
 
 def parse(text: Column, *patterns: str) -> Column:
-    """The first of the patterns that reads a text as a date; null if none does."""
-    return F.coalesce(*(F.to_date(F.try_to_timestamp(text, F.lit(p))) for p in patterns))
+    """The first of the patterns that reads a text as a date; null if none does. Years of two digits are 1969 to 2068."""
+
+    def read(p: str) -> Column:
+        day = F.to_date(F.try_to_timestamp(text, F.lit(p)))
+        if p.replace("yyyy", "").count("yy"):
+            return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+        return day
+
+    return F.coalesce(*map(read, patterns))
 
 
 def month(day: Column) -> Column:

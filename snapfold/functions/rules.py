@@ -105,7 +105,7 @@ dehydration: dehydration
 dysfunction: dysfunction, dysfucntion
 instability: instability
 arthritis: arthritis
-protective equipment: facemask, face mask, mask+face
+protective equipment: facemask, face mask
 immobilization: splint, brace, cast
 lesion: lesion
 thoracic outlet syndrome: ; tos
@@ -123,6 +123,17 @@ LIGAMENTS = {"ACL": ("acl", "anterior cruciate ligament"), "MCL": ("mcl", "media
 NON_INJURY = ("g league", "rest", "personal", "family reasons", "not with team", "coach's decision", "coach’s decision", "coaches decision", "suspension", "not yet submitted", "all players available", "contract expired", "trade pending", "ineligible to play")
 NON_INJURY_CATEGORIES = ("-", "coach's decision", "g league", "g league - on assignment", "g league - two-way", "g league team", "league suspension", "not with team", "not yet submitted", "personal reasons", "rest", "team suspension", "trade pending")
 
+# What a clause that is no injury opens with, as patterns.
+NON_INJURY_OPENINGS = (
+    r"g[ -]?league(?:\s*[- ]?(?:on assignment|two[ -]?way|2[ -]?way|assignment))?", "rest", "personal(?: reasons?)?", "family reasons?", "not with team",
+    "coach(?:es|'s|’s)? decision", "(?:league|team) suspension", "trade pending", "ineligible to play", "contract expired",
+)
+
+# Reasons that are a condition as a whole text only, and prefixes of reasons that are categories.
+WHOLE_REASONS = {"mask": "protective equipment", "tos": "thoracic outlet syndrome"}
+REASON_PREFIXES = ("Injury/Illness", "G League", "League Suspension")
+LIGAMENT_TYPES = ("ACL injury", "ACL tear", "MCL injury", "MCL tear", "PCL injury", "PCL tear")
+
 # Notes of transactions, by substring, first line wins; parts of the body, then conditions.
 NOTE_PARTS = """
 knee: knee

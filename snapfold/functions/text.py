@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -85,31 +86,137 @@ def laterality_for_matching(c: Column) -> Column:
     return F.when(both, "bilateral").when(left, "left").when(right, "right")
 
 
-def classify(reason: Column, category: Column | None = None) -> Column:
-    """struct(body_part, laterality, injury_type, normalized_reason, is_injury) of one reason."""
-    lowered = F.replace(F.lower(collapse(F.coalesce(reason, F.lit("")))), F.lit("n/a"), F.lit("unspecified"))
-    detail = F.regexp_replace(lowered, r"^injury/illness\s*-\s*", "")
-    part = ladder(rules.ANATOMY, lambda terms: token(detail, *terms))
-    recovery, procedure = any_of(detail, rules.RECOVERY), any_of(detail, rules.PROCEDURE)
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def some(c: Column, terms) -> Column:
+    """Whether one of the terms stands in c, as one test."""
+    return c.rlike("|".join(map(re.escape, terms)))
+
+
+def non_injury(c: Column) -> Column:
+    """Whether a lowered text names what is no injury."""
+    return token(c, *rules.NON_INJURY)
+
+
+def _kind(detail: Column, part: Column) -> Column:
+    """Type of the condition that a lowered reason states."""
+    recovery, procedure = some(detail, rules.RECOVERY), some(detail, rules.PROCEDURE)
     ligament = [
-        F.when(any_of(detail, terms), F.when(recovery, "recovery").when(procedure, "surgery").when(any_of(detail, ("tear", "rupture")), f"{name} tear").otherwise(f"{name} injury"))
+        F.when(some(detail, terms), F.when(recovery, "recovery").when(procedure, "surgery").when(some(detail, ("tear", "rupture")), f"{name} tear").otherwise(f"{name} injury"))
         for name, terms in rules.LIGAMENTS.items()
     ]
-    test = lambda terms: any_of(detail, terms, part)
-    kind = F.coalesce(*ligament, ladder(rules.CONDITION_FIRST, test), F.when(recovery, "recovery").when(procedure, "surgery"), ladder(rules.CONDITION_THEN, test))
-    part = F.coalesce(part, F.when(kind == "illness", "illness"))
+
+    def test(terms):
+        plain = [t for t in terms if "&" not in t and "+" not in t]
+        return reduce(lambda x, y: x | y, [*([some(detail, plain)] if plain else []), *(holds(detail, t, part) for t in terms if t not in plain)])
+
+    whole = lambda label: F.when(F.trim(detail).isin(*(term for term, name in rules.WHOLE_REASONS.items() if name == label)), label)
+    mask = F.when(part.eqNullSafe(F.lit("face")) & token(detail, "mask"), "protective equipment")
+    rungs = []
+    for label, terms in rules.lines(rules.CONDITION_THEN):
+        rungs += [F.when(test(terms), label), *([whole(label)] if label in rules.WHOLE_REASONS.values() else []), *([mask] if label == "protective equipment" else [])]
+    return F.coalesce(*ligament, ladder(rules.CONDITION_FIRST, test), F.when(recovery, "recovery").when(procedure, "surgery"), *rungs, F.lit(None).cast("string"))
+
+
+def classify(reason: Column, category: Column | None = None) -> Column:
+    """struct(body_part, laterality, injury_type, normalized_reason, is_injury) of one reason."""
+    lowered = F.replace(F.lower(collapse(F.coalesce(reason, F.lit("")))), F.lit("n/a"), F.lit("unspecified"))
     named = F.lower(collapse(F.coalesce(category, F.lit("")))) if category is not None else F.lit("")
-    none = named.isin(*rules.NON_INJURY_CATEGORIES) | token(detail, *rules.NON_INJURY)
-    injury = ~none & (F.contains(named, F.lit("injury/illness")) | F.contains(lowered, F.lit("injury/illness")) | part.isNotNull() | kind.isNotNull())
-    return F.struct(part.alias("body_part"), laterality(detail).alias("laterality"), kind.alias("injury_type"), alnum(detail).alias("normalized_reason"), injury.alias("is_injury"))
+    stated = F.contains(named, F.lit("injury/illness")) | F.contains(lowered, F.lit("injury/illness"))
+    none_named = named.isin(*rules.NON_INJURY_CATEGORIES)
+
+    def of(detail: Column, part: Column, kind: Column) -> Column:
+        part = F.coalesce(part, F.when(kind == "illness", "illness"))
+        injury = ~(none_named | non_injury(detail)) & (stated | part.isNotNull() | kind.isNotNull())
+        return F.struct(part.alias("body_part"), laterality(detail).alias("laterality"), kind.alias("injury_type"), alnum(detail).alias("normalized_reason"), injury.alias("is_injury"))
+
+    detail = F.regexp_replace(lowered, r"^injury/illness\s*-\s*", "")
+    return let(detail, lambda t: let(ladder(rules.ANATOMY, lambda terms: token(t, *terms)), lambda part: let(_kind(t, part), lambda kind: of(t, part, kind))))
+
+
+_SLASH = "\ue000"  # stands for a slash that separates nothing
 
 
 def clauses(detail: Column) -> Column:
-    """Parts of a compound reason: at commas, slashes (but for n/a, injury/illness, tib/fib), and 'and' before a side."""
-    safe = F.regexp_replace(detail, r"(?i)\b(n|injury|tib)(\s*)/(\s*)(a|illness|fib)\b", "$1$2$3$4")
-    parts = F.split(safe, r"(?i)\s*[,/]\s*|\s+and\s+(?=(?:left|right|bilateral)\b)")
-    cleaned = F.transform(parts, lambda p: F.btrim(F.replace(p, F.lit(""), F.lit("/")), F.lit(" -;()")))
-    return F.filter(cleaned, lambda p: p != "")
+    """Parts of a compound reason: at commas, slashes (but for n/a, injury/illness, tib/fib), and 'and' before a side.
+
+    A clause that opens with what is no injury ends the medical text: it and all behind it are one last part.
+    """
+    safe = F.regexp_replace(detail, r"(?i)\b(n|injury|tib)(\s*)/(\s*)(a|illness|fib)\b", f"$1$2{_SLASH}$3$4")
+    boundary = r"(?i)\s*[,/;&(]\s*(?=(?:on\s+)?(?:" + "|".join(rules.NON_INJURY_OPENINGS) + r")\b)"
+
+    def split(halves: Column) -> Column:
+        medical = F.split(halves[0], r"(?i)\s*[,/]\s*|\s+and\s+(?=(?:left|right|bilateral)\b)")
+        parts = F.when(F.size(halves) > 1, F.concat(medical, F.slice(halves, 2, 1))).otherwise(medical)
+        cleaned = F.transform(parts, lambda p: F.btrim(F.replace(p, F.lit(_SLASH), F.lit("/")), F.lit(" -;()")))
+        return F.filter(cleaned, lambda p: p != "")
+
+    return let(F.split(safe, boundary, 2), split)
+
+
+def conditions(reason: Column, category: Column | None = None) -> Column:
+    """Array of ``classify``'s structs: one for each condition that a reason states by itself, else the one of the whole.
+
+    Parts stand alone if all are injuries with a place and a type, more than synonyms of one illness or pieces of
+    equipment, and different in place and side or in place and type; or if all injuries among them have both and the
+    others say outright that they are none. One side that is named holds for the parts that name none.
+    """
+    source = collapse(F.coalesce(reason, F.lit("")))
+    detail = F.regexp_replace(source, r"(?i)^injury/illness\s*-\s*", "")
+    whole = F.array(classify(reason, category))
+    both = lambda c: c["body_part"].isNotNull() & c["injury_type"].isNotNull()
+    distinct = lambda cs, *names: F.array_distinct(F.transform(cs, lambda c: F.struct(*(c[n].alias(n) for n in names))))
+
+    def decide(parts: Column, found: Column) -> Column:
+        mixed = F.exists(found, lambda c: c["is_injury"]) & F.exists(found, lambda c: ~c["is_injury"])
+        outright = F.forall(F.zip_with(found, parts, lambda c, p: F.when(c["is_injury"], both(c)).otherwise(non_injury(F.lower(p)))), lambda ok: ok)
+        sides = F.array_compact(F.array_distinct(F.transform(found, lambda c: c["laterality"])))
+        only = lambda kinds: F.forall(found, lambda c: F.coalesce(c["injury_type"].isin(*kinds), F.lit(False)))
+        apart = (F.size(distinct(found, "body_part")) > 1) | (F.size(sides) > 1) | only(rules.LIGAMENT_TYPES)
+        differ = (F.size(distinct(found, "body_part", "laterality")) > 1) | (F.size(distinct(found, "body_part", "injury_type")) > 1)
+        alone = (
+            F.forall(found, lambda c: c["is_injury"] & both(c))
+            & ~F.exists(found, lambda c: F.coalesce(c["injury_type"].isin("protective equipment", "immobilization"), F.lit(False)))
+            & ~((F.size(sides) == 0) & only(("illness", "infection")))
+            & apart
+            & differ
+        )
+        side = F.when(F.size(sides) == 1, F.element_at(sides, 1))
+        shared = F.transform(found, lambda c: c.withField("laterality", F.coalesce(c["laterality"], side)))
+        return F.when(F.size(parts) < 2, whole).when(mixed, F.when(outright, found).otherwise(whole)).when(alone, shared).otherwise(whole)
+
+    return let(clauses(detail), lambda parts: let(F.transform(parts, lambda p: classify(p, category)), lambda found: decide(parts, found)))
+
+
+def reason_parts(reason: Column, category: Column) -> Column:
+    """struct(category, reason): a named category goes before the reason; without one, a known prefix is the category."""
+    why, named = collapse(F.coalesce(reason, F.lit(""))), collapse(F.coalesce(category, F.lit("")))
+    prefix = F.when(F.contains(why, F.lit(" - ")), F.split_part(why, F.lit(" - "), F.lit(1)))
+    known = F.when(prefix.isin(*rules.REASON_PREFIXES), prefix)
+    joined = F.when(why != "", F.concat_ws(" - ", named, why)).otherwise(named)
+    return F.when(named != "", F.struct(named.alias("category"), joined.alias("reason"))).otherwise(F.struct(known.alias("category"), F.nullif(why, F.lit("")).alias("reason")))
+
+
+def strip(c: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def strip_bullet(c: Column) -> Column:
+    """A name without the bullet before it."""
+    return strip(F.ltrim(strip(c), F.lit("•")))
+
+
+def mask_password(url: Column) -> Column:
+    return F.regexp_replace(url, r"(?<=://)([^:/?#@]*):[^/?#@]*@", "$1:***@")
+
+
+def is_season(c: Column) -> Column:
+    """'2023-24': two years that follow each other."""
+    return c.rlike(r"^[0-9]{4}-[0-9]{2}$") & (F.pmod(F.substring(c, 1, 4).try_cast("int") + 1, F.lit(100)) == F.substring(c, 6, 2).try_cast("int"))
 
 
 def classify_note(note: Column) -> Column:

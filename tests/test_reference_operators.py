@@ -324,3 +324,30 @@ def test_latest_ties(spark):
     df = spark.createDataFrame(rows, "k string, v int, at string, tie int").withColumn("at", F.to_timestamp("at"))
     assert sorted((r.k, r.v) for r in latest.latest_per_key(df, ["k"], "at", "tie").collect()) == [("a", 2), ("b", 3)]
     assert os.path.isdir("/root/testdata")
+
+
+@pytest.mark.parametrize(
+    "reason, want",
+    [
+        ("Left Hip; Strain, Right Hip; Soreness", [("hip", "left", "strain"), ("hip", "right", "soreness")]),
+        ("Right quadriceps soreness/Left hip contusion", [("quadriceps", "right", "soreness"), ("hip", "left", "contusion")]),
+        ("Left Groin; Soreness / G League Assignment", [("groin", "left", "soreness"), (None, None, None)]),
+        ("Right Foot; inflammation & not with team, self-isolating", [("foot", "right", "inflammation"), (None, None, None)]),
+        ("N/A; Illness (G League - two way)", [("illness", None, "illness"), (None, None, None)]),
+        ("Fractured Third Finger, Left Hand", [("hand", "left", "fracture")]),
+        ("Right Foot/Ankle; Sprain", [("ankle", "right", "sprain")]),
+        ("Illness/Infection", [("illness", None, "infection")]),
+        ("Nasal; Fracture / Face Mask", [("face", None, "fracture")]),
+        ("Right Knee ACL/MCL; Sprain", [("knee", "right", "ACL injury"), ("knee", "right", "MCL injury")]),
+        ("Mask", [(None, None, "protective equipment")]),
+        ("TOS", [(None, None, "thoracic outlet syndrome")]),
+    ],
+)
+def test_conditions(spark, reason, want):
+    c = spark.createDataFrame([(f"Injury/Illness - {reason}",)], "r string").select(X.conditions(F.col("r"), F.lit("Injury/Illness")).alias("c")).first().c
+    assert [(x.body_part, x.laterality, x.injury_type) for x in c] == want
+
+
+def test_two_digit_years(spark):
+    got = spark.createDataFrame([("1/5/69",), ("1/5/68",), ("1/5/2024",)], "r string").select(dates.parse(F.col("r"), "M/d/yyyy", "M/d/yy").cast("string").alias("d")).collect()
+    assert [r.d for r in got] == ["1969-01-05", "2068-01-05", "2024-01-05"]
