@@ -191,6 +191,13 @@ def conditions(reason: Column, category: Column | None = None) -> Column:
     return let(clauses(detail), lambda parts: let(F.transform(parts, lambda p: classify(p, category)), lambda found: decide(parts, found)))
 
 
+def ambiguous(reason: Column, category: Column | None = None) -> Column:
+    """Whether a reason of several parts names two places and still counts as one condition."""
+    detail = F.regexp_replace(collapse(F.coalesce(reason, F.lit(""))), r"(?i)^injury/illness\s*-\s*", "")
+    placed = F.filter(F.transform(clauses(detail), lambda p: classify(p, category)["body_part"]), lambda x: x.isNotNull())
+    return (F.size(placed) > 1) & (F.size(conditions(reason, category)) == 1)
+
+
 def reason_parts(reason: Column, category: Column) -> Column:
     """struct(category, reason): a named category goes before the reason; without one, a known prefix is the category."""
     why, named = collapse(F.coalesce(reason, F.lit(""))), collapse(F.coalesce(category, F.lit("")))

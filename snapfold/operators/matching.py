@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapfold.operators import latest
@@ -69,6 +69,14 @@ def assign(left: list[dict], right: list[dict], days: int = 7) -> list[tuple[int
     return pairs
 
 
+def discrepancies() -> Column:
+    """Array of what a matched pair disagrees in, from its columns day_difference, *_agrees, ambiguous and similarity."""
+    labels = {name: F.col(f"{name}_agrees") == F.lit(False) for name in ("part", "kind", "laterality")}
+    unknown = F.col("part_agrees").isNull() & F.col("kind_agrees").isNull() & F.col("laterality_agrees").isNull()
+    labels = {"day": F.col("day_difference") != 0, **labels, "ambiguous": F.col("ambiguous"), "unresolved": unknown & (F.col("similarity") < 0.5)}
+    return F.array_compact(F.array(*(F.when(holds, F.lit(name)) for name, holds in labels.items())))
+
+
 SCHEMA = "key long, left_id long, right_id long, day_difference int, part_agrees boolean, kind_agrees boolean, laterality_agrees boolean, similarity double"
 
 

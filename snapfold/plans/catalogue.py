@@ -24,7 +24,7 @@ def micros(name: str):
 
 def _entries(spark, d):
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
-    return o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
 
 
 @register("serve_page", """SELECT o_orderkey, o_orderstatus, o_orderdate, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
@@ -35,10 +35,10 @@ def serve_page(spark, d):
     return serve.page(found.select("o_orderkey", "o_orderstatus", "o_orderdate", "c_name", "n_name"), [F.desc_nulls_last("o_orderdate"), F.asc_nulls_last("n_name"), F.asc_nulls_last("c_name"), F.asc("o_orderkey")], 2, 100)
 
 
-@register("serve_reason_search", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%1_%'")
+@register("serve_reason_search", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%R_D%'")
 def serve_reason_search(spark, d):
     """FLT-06: wildcards in the searched text keep their meaning."""
-    return serve.where(table(spark, d, "part"), search={"p_name": "1_"}).select("p_partkey", "p_name")
+    return serve.where(table(spark, d, "part"), search={"p_name": "R_D"}).select("p_partkey", "p_name")
 
 
 @register("serve_empty_in", "SELECT o_orderkey, o_orderstatus FROM orders WHERE false")
@@ -244,8 +244,8 @@ def season_summary(spark, d):
 def outlier_days(spark, d):
     """AGG-18: flags against the upper median of daily counts."""
     c = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    middle = c.agg(F.sort_array(F.collect_list("n")).alias("all")).select(F.element_at("all", (F.floor(F.size("all") / 2) + 1).cast("int")).alias("middle"))
-    return c.crossJoin(F.broadcast(middle)).select("day", "n", (F.col("n") < 0.9 * F.col("middle")).alias("low"))
+    middle = c.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n DESC)").alias("middle"))  # one row
+    return c.join(F.broadcast(middle)).select("day", "n", (F.col("n") < 0.9 * F.col("middle")).alias("low"))
 
 
 @register("top_reasons", "SELECT split_part(p_name, ' ', 1) AS word, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
@@ -461,7 +461,12 @@ def laterality(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(X.token(t, "the"), "left").when(X.token(t, "de", "der"), "right").alias("side"))
 
 
-@register("clause_split", r"SELECT conv_id, turn, i::INTEGER AS clause, parts[i] AS text FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '\s*[,/]\s*'), lambda x: trim(x, ' -;()')), lambda x: x <> '') AS parts FROM conversations), unnest(range(1, len(parts) + 1)) AS u(i)")
+_OPENINGS = "|".join(rules.NON_INJURY_OPENINGS).replace("'", "''")
+
+
+@register("clause_split", rf"""WITH h AS (SELECT conv_id, turn, string_split(regexp_replace(text, '(?i)\s*[,/;&(]\s*((?:on\s+)?(?:{_OPENINGS})\b)', chr(1) || '\1'), chr(1)) AS halves FROM conversations),
+p AS (SELECT conv_id, turn, list_filter(list_transform(list_concat(regexp_split_to_array(halves[1], '\s*[,/]\s*'), halves[2:2]), lambda x: trim(x, ' -;()')), lambda x: x <> '') AS parts FROM h)
+SELECT conv_id, turn, i::INTEGER AS clause, parts[i] AS text FROM p, unnest(range(1, len(parts) + 1)) AS u(i)""")
 def clause_split(spark, d):
     """REG-08, CND-04, ARR-01, UDF-02: one row a clause."""
     return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(X.clauses(F.col("text"))).alias("i", "text")).select("conv_id", "turn", (F.col("i") + 1).alias("clause"), "text")
@@ -501,7 +506,7 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@register("html_outline")
+@register("html_outline", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '<a[ >]'))::INTEGER AS links FROM pages""")
 def html_outline(spark, d):
     """SRC-19, UDF-10."""
     return layout.outline(table(spark, d, "pages")).select("page_id", "title", "links")

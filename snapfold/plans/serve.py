@@ -59,3 +59,16 @@ def export_csv(df: DataFrame, path: str, columns: Sequence[str], labels: dict[st
 def export_json(df: DataFrame) -> DataFrame:
     """One JSON document a row."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def dimension(df: DataFrame, key: str, name: str) -> DataFrame:
+    """A dimension's members (id, name) by name."""
+    return df.select(F.col(key).alias("id"), F.col(name).alias("name")).distinct().orderBy("name", "id")
+
+
+def one(df: DataFrame, key: str, value) -> dict:
+    """The row of a key as a dictionary; LookupError if there is none."""
+    found = df.where(F.col(key) == F.lit(value)).limit(1).collect()
+    if not found:
+        raise LookupError(f"no {key} {value!r}")
+    return found[0].asDict()

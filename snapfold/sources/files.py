@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ def _strict(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFra
 
 def transactions(spark: SparkSession, path: str, source_type: str) -> tuple[DataFrame, DataFrame]:
     """(rows, invalid): rows of the five-column CSV with a date and an identity, and those too short, too long or undated."""
-    raw = _strict(spark, path, TRANSACTION).cache()
+    raw = _strict(spark, path, TRANSACTION)
     text = {c: F.coalesce(F.col(c), F.lit("")) for c in TRANSACTION[1:]}
     day = dates.parse(F.trim("Date"), *DAYS)
     good = F.col("_bad").isNull() & day.isNotNull()
@@ -33,12 +33,62 @@ def transactions(spark: SparkSession, path: str, source_type: str) -> tuple[Data
 def schedule_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, invalid) of the normalised schedule: trimmed, ISO dates only."""
     columns = ("season", "game_date", "season_type", "away_team", "home_team", "matchup")
-    raw = _strict(spark, path, columns).cache()
+    raw = _strict(spark, path, columns)
     trimmed = raw.select(*(F.trim(c).alias(c) for c in columns), "_bad").withColumn("game_date", dates.parse(F.when(F.col("game_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("game_date")), "yyyy-MM-dd"))
     good = F.col("_bad").isNull() & F.col("game_date").isNotNull() & (F.col("matchup") != "")
     return trimmed.where(good).drop("_bad"), trimmed.where(~good)
 
 
+SEASON_TYPES = ("preseason", "regular", "play_in", "playoffs")  # fixed values
+
+
+def reference_schedule(spark: SparkSession, path: str, season: str | None = None) -> DataFrame:
+    """A normalised schedule of one season, or all. A season type of another name is an error."""
+    rows, _ = schedule_csv(spark, path)
+    rows = rows if season is None else rows.where(F.col("season") == season)
+    known = F.when(F.col("season_type").isin(*SEASON_TYPES), F.col("season_type")).otherwise(F.raise_error(F.concat(F.lit("unknown season type "), F.coalesce("season_type", F.lit("null")))))
+    return rows.withColumn("season_type", known)
+
+
+def build_schedule(raw: DataFrame) -> DataFrame:
+    """The normalised schedule of rows with a day, two teams and a kind, by any of their spellings, in order.
+
+    Unknown kinds, unread days and games that stand there twice are errors. "play-in" is known, "Play In" is not.
+    """
+    pick = lambda *names: F.trim(F.coalesce(*(F.col(n) for n in names if n in raw.columns), F.lit(None).cast("string")).cast("string"))
+    day = dates.parse(pick("game_date", "date", "Date"), "yyyy-M-d", "M/d/yyyy", "MMM d, yyyy", "MMMM d, yyyy")
+    kind = F.replace(F.replace(F.lower(pick("season_type", "type", "Type")), F.lit(" "), F.lit("")), F.lit("-"), F.lit("_"))
+    rows = raw.select(day.alias("game_date"), kind.alias("season_type"), pick("away_team", "away", "Away").alias("away_team"), pick("home_team", "home", "Home").alias("home_team"))
+    fine = F.col("game_date").isNotNull() & F.coalesce(F.col("season_type").isin(*SEASON_TYPES), F.lit(False))
+    rows = rows.withColumn("season_type", F.when(fine, F.col("season_type")).otherwise(F.raise_error(F.lit("a game without a day or a known season type"))))
+    rows = rows.select(dates.season(F.col("game_date"), 9).alias("season"), "game_date", "season_type", "away_team", "home_team", F.concat("away_team", F.lit("@"), "home_team").alias("matchup"))
+    twice = rows.groupBy("game_date", "matchup").agg(F.count("*").alias("n"), F.first(F.struct(*rows.columns)).alias("x"))
+    once = twice.select(F.when(F.col("n") == 1, F.col("x")).otherwise(F.raise_error(F.concat(F.lit("a game stands there twice: "), F.col("game_date").cast("string"), F.lit(" "), "matchup"))).alias("x"))
+    return once.select("x.*").orderBy("season", "game_date", "matchup")
+
+
+def write_schedule(rows: DataFrame, path: str) -> None:
+    rows.write.csv(path, header=True)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct addresses of a saved list: one a line, without query and fragment; blank lines, notes (#) and others go."""
+    line = spark.read.text(path).select(F.trim("value").alias("url")).where(F.startswith("url", F.lit("https://")))
+    return line.select(F.regexp_replace("url", "[?#].*$", "").alias("url")).distinct()
+
+
+def query_url(base: str, **arguments: Column) -> Column:
+    """An address with encoded arguments, in the order given."""
+    parts = [F.concat(F.lit(f"{name}="), F.url_encode(value.cast("string"))) for name, value in arguments.items()]
+    return F.concat(F.lit(f"{base}?"), F.concat_ws("&", *parts))
+
+
+def catalogued(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """(name, columns) of the catalog's tables whose name starts with prefix; only names and schemas are read."""
+    names = sorted(t.name for t in spark.catalog.listTables() if t.name.startswith(prefix))
+    return spark.createDataFrame([(n, len(spark.table(n).columns)) for n in names], "name string, columns int")
+
+
 def mixed_schedule(spark: SparkSession, path: str) -> DataFrame:
     """A schedule in CSV, or JSON as a list or under games, schedule or data; columns by any of their spellings."""
     if path.endswith(".json"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,6 +58,18 @@ def attach(fragments: DataFrame, anchors: DataFrame, doc: str = "doc_id") -> Dat
     return both.withColumns({"_above": above, "_below": below}).where("not _anchor").withColumn("anchor_line", nearer).drop("_above", "_below", "_anchor")
 
 
+def is_date(cell: Column) -> Column:
+    return cell.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$")
+
+
+def is_time(cell: Column) -> Column:
+    return cell.rlike(r"^[0-9]{1,2}:[0-9]{2} \(ET\)$")
+
+
+def is_matchup(cell: Column) -> Column:
+    return cell.rlike(r"^[A-Z]{2,3}@[A-Z]{2,3}$")
+
+
 class _Outline(HTMLParser):
     """Rows of the first table, its link to the next page, title and links of a page."""
 
