@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import timedelta
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -41,11 +42,11 @@ def assign(left: list[dict], right: list[dict], days: int = 7) -> list[tuple[int
     """Pairs (i, j), both rising, that are most in number, then least in summed cost, then of least ids.
 
     Both sides are in order of day, so each left row meets only the right rows from ``low`` to ``high``. A state is the
-    number and summed cost of its pairs as one integer, its first pair and the state after that pair. Equal first pairs
-    have the same state after them, so the first pair alone settles ties.
+    number and summed cost of its pairs as one integer, the ids and places of its first pair, and the state after that
+    pair. Equal first pairs have the same state after them, so the first pair alone settles ties.
     """
     base = max(days, 1_000_000) * min(len(left), len(right)) + 1
-    best: list[tuple] = [(0, len(left), len(right), None)] * (len(right) + 1)
+    best: list[tuple] = [(0, math.inf, math.inf, len(left), len(right), None)] * (len(right) + 1)
     low = high = len(right)
     for i in range(len(left) - 1, -1, -1):
         first, last = left[i]["day"] - timedelta(days), left[i]["day"] + timedelta(days)
@@ -60,12 +61,12 @@ def assign(left: list[dict], right: list[dict], days: int = 7) -> list[tuple[int
             for part in _cost(left[i], right[j]):
                 value = value * base + part
             below = best[j]
-            best[j] = min(below, best[j + 1], (after[0] + value, i, j, after))
+            best[j] = min(below, best[j + 1], (after[0] + value, left[i]["id"], right[j]["id"], i, j, after))
             after = below
     pairs, state = [], best[low]
-    while state[3] is not None:
-        pairs.append(state[1:3])
-        state = state[3]
+    while state[5] is not None:
+        pairs.append(state[3:5])
+        state = state[5]
     return pairs
 
 

@@ -109,18 +109,38 @@ def observation(d, kind="sprain", part="ankle", side="left", team=1, source=None
     return o | {"source": source if source is not None else hash((d, kind, side, team, status))}
 
 
-def test_episode_rules():
-    n = lambda *os: [e["n"] for e in episodes.fold(list(os))]
-    assert n(observation("2024-01-01"), observation("2024-01-15")) == [2]  # the same reason within 14 days
-    assert n(observation("2024-01-01"), observation("2024-01-16")) == [1, 1]
-    assert n(observation("2024-01-01"), observation("2024-01-05", side="right", reason="x")) == [1, 1]
-    assert n(observation("2024-01-01"), observation("2024-01-02", team=2)) == [1, 1]
-    assert n(observation("2024-01-01", source=1), observation("2024-01-01", source=1)) == [1, 1]
-    assert n(observation("2024-01-01", status="Available"), observation("2024-01-02")) == [1, 1]
-    assert n(observation("2024-01-01", status="Available"), observation("2024-01-01", status="Out"), observation("2024-01-02")) == [3]
-    assert n(observation("2024-01-01", kind="soreness", reason="a"), observation("2024-01-04", kind="pain", reason="b")) == [2]
-    up = episodes.fold([observation("2024-01-01", kind="ACL injury", part="knee"), observation("2024-01-02", kind="ACL tear", part="knee")])
-    assert [e["kind"] for e in up] == ["ACL tear"]
+OBSERVED = "entity long, team long, day date, report_day date, report_time long, source long, condition long, status string, part string, laterality string, kind string, reason string"
+
+
+def observed(spark, rows):
+    names = OBSERVED.replace(",", "").split()[::2]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], OBSERVED)
+
+
+def test_episode_rules(spark):
+    cases = [
+        ([2], [observation("2024-01-01"), observation("2024-01-15")]),  # the same reason within 14 days
+        ([1, 1], [observation("2024-01-01"), observation("2024-01-16")]),
+        ([1, 1], [observation("2024-01-01"), observation("2024-01-05", side="right", reason="x")]),
+        ([1, 1], [observation("2024-01-01"), observation("2024-01-02", team=2)]),
+        ([1, 1], [observation("2024-01-01", source=1), observation("2024-01-01", source=1)]),
+        ([1, 1], [observation("2024-01-01", status="Available"), observation("2024-01-02")]),
+        ([3], [observation("2024-01-01", status="Available", source=1), observation("2024-01-01", status="Out", source=2), observation("2024-01-02")]),
+        ([2], [observation("2024-01-01", kind="soreness", reason="a"), observation("2024-01-04", kind="pain", reason="b")]),
+        ([1, 1], [observation("2024-01-01", kind="fracture", reason="a"), observation("2024-01-02", kind="pain", reason="b")]),
+        ([2], [observation("2024-01-01", kind="fracture", reason="a"), observation("2024-01-02", kind="surgery", reason="b")]),
+        ([2], [observation("2024-01-01", kind="fracture", reason="a"), observation("2024-01-02", kind="recovery", reason="b")]),
+        ([1, 1], [observation("2024-01-01", kind="injury", reason="a"), observation("2024-01-05", kind="pain", reason="b")]),  # unspecific: 3 days
+        ([2], [observation("2024-01-01", kind=None, part=None, side=None, reason="a"), observation("2024-01-03", kind=None, part=None, side=None, reason="b")]),
+        ([1, 1], [observation("2024-01-01", kind="sprain", reason="acl sprain"), observation("2024-01-02", kind="sprain", reason="mcl sprain")]),  # other structures
+        ([2], [observation("2024-01-01", kind="ACL injury", part="knee"), observation("2024-01-02", kind="ACL tear", part="knee")]),
+    ]
+    rows = [o | {"entity": i, "report_time": t} for i, (_, case) in enumerate(cases) for t, o in enumerate(case)]
+    got = {}
+    for r in episodes.build_episodes(observed(spark, rows)).orderBy("entity", "episode").collect():
+        got.setdefault(r.entity, []).append(r)
+    assert [[e.n for e in got[i]] for i in range(len(cases))] == [n for n, _ in cases]
+    assert got[len(cases) - 1][0].kind == "ACL tear"
 
 
 def test_episodes_of_cut_histories_equal_the_whole_fold(spark):
@@ -131,31 +151,18 @@ def test_episodes_of_cut_histories_equal_the_whole_fold(spark):
     for i in range(160):
         d = rng.randint(0, 400)
         rows.append(observation("2024-01-01", kind=rng.choice(["sprain", "pain", None]), part=rng.choice(["ankle", None]), side=rng.choice(["left", None]), source=i % 40, status=rng.choice(["Out", "Available"]), reason=rng.choice(["a", "b"])) | {"entity": i % 2, "report_day": day("2024-01-01") + datetime.timedelta(d), "day": day("2024-01-01") + datetime.timedelta(d - rng.randint(0, 3)), "condition": i, "report_time": i})
-    names = "entity team day report_day report_time source condition status part laterality kind reason".split()
-    schema = "entity long, team long, day date, report_day date, report_time long, source long, condition long, status string, part string, laterality string, kind string, reason string"
-    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
-    runs = episodes.latest.episodes_by_gap(df, ["entity"], "report_day", "report_time", episodes.EXACT_GAP)
+    df = observed(spark, rows)
+    runs = latest.episodes_by_gap(df, ["entity"], "report_day", "report_time", episodes.REACH["reason"])
     assert runs.select("entity", "episode").distinct().count() > 5
-    got = sorted(tuple(r[c] for c in ("entity", "episode", "start", "last", "n")) for r in episodes.build_episodes(df).collect())
-    want = []
-    for entity in (0, 1):
-        out = []  # every observation against every episode
-        for o in sorted((r for r in rows if r["entity"] == entity), key=lambda r: (r["report_day"], r["report_time"])):
-            o = o | {"structure": None}
-            scored = [(s, -i) for i, e in enumerate(out) if (s := episodes.match(e, o)) is not None]
-            if not scored:
-                out.append(o | {"start": o["day"], "last": o["day"], "n": 0, "sources": set(), "available": None})
-            episodes._join(out[-max(scored)[1] if scored else -1], o)
-        want += [(entity, i, e["start"], e["last"], e["n"]) for i, e in enumerate(out)]
-    assert got == want
+    result = lambda **k: sorted(tuple(r) for r in episodes.build_episodes(df, **k).select("entity", "episode", "start", "last", "n").collect())
+    assert result() == result(run_gap=10_000) and sum(r[4] for r in result()) == 160
 
 
-def test_one_long_entity_folds_in_groups_of_bounded_size(monkeypatch):
-    looked = []
-    whole = episodes.match
-    monkeypatch.setattr(episodes, "match", lambda e, o: looked.append(1) or whole(e, o))
-    rows = [observation("2000-01-01", source=i) | {"day": day("2000-01-01") + datetime.timedelta(15 * i), "report_day": day("2000-01-01") + datetime.timedelta(15 * i)} for i in range(300)]
-    assert len(episodes.fold(rows)) == 300 and len(looked) == 0
+def test_one_long_entity_folds_in_groups_of_bounded_size(spark):
+    rows = [observation("2000-01-01", source=i) | {"report_time": i, "day": day("2000-01-01") + datetime.timedelta(15 * i), "report_day": day("2000-01-01") + datetime.timedelta(15 * i)} for i in range(300)]
+    df = observed(spark, rows)
+    assert latest.episodes_by_gap(df, ["entity"], "report_day", "report_time", 14).groupBy("episode").count().agg(F.max("count")).first()[0] == 1
+    assert episodes.build_episodes(df).count() == 300
 
 
 def brute_match(left, right, days=7):
@@ -166,10 +173,10 @@ def brute_match(left, right, days=7):
                 pairs = list(zip(a, b, strict=True))
                 if all(abs((left[i]["day"] - right[j]["day"]).days) <= days for i, j in pairs):
                     costs = [matching._cost(left[i], right[j]) for i, j in pairs]
-                    key = (-k, tuple(map(sum, zip(*costs, strict=True))) if costs else (0,) * 5, tuple(pairs))
+                    key = (-k, tuple(map(sum, zip(*costs, strict=True))) if costs else (0,) * 5, [(left[i]["id"], right[j]["id"]) for i, j in pairs], pairs)
                     best = key if best is None else min(best, key)
         if best is not None:
-            return list(best[2])
+            return best[3]
     return []
 
 
@@ -178,7 +185,7 @@ def test_matching_is_optimal():
 
     rng = random.Random(4)
     for _ in range(60):
-        side = lambda: sorted(({"id": i, "day": day("2024-01-01") + datetime.timedelta(rng.randint(0, 25)), "part": rng.choice([None, "leg", "shin"]), "kind": rng.choice([None, "pain", "sprain"]), "laterality": rng.choice([None, "left"]), "reason": rng.choice(["a b", "a c"])} for i in range(rng.randint(0, 4))), key=lambda e: (e["day"], e["id"]))
+        side = lambda: sorted(({"id": (i * 7 + 3) % 5, "day": day("2024-01-01") + datetime.timedelta(rng.randint(0, 25)), "part": rng.choice([None, "leg", "shin"]), "kind": rng.choice([None, "pain", "sprain"]), "laterality": rng.choice([None, "left"]), "reason": rng.choice(["a b", "a c"])} for i in range(rng.randint(0, 4))), key=lambda e: (e["day"], e["id"]))
         a, b = side(), side()
         assert matching.assign(a, b) == brute_match(a, b)
 
@@ -208,23 +215,23 @@ def test_optimal_match_in_runs_equals_the_whole_key(spark):
 
 def whole_match(left, right, days=7):
     """The matching over all pairs of rows, without runs or bands."""
-    none = (0, (0,) * 5, ())
+    none = (0, (0,) * 5, (), ())
     best = {}
     for i in range(len(left), -1, -1):
         for j in range(len(right), -1, -1):
             options = [best.get((i + 1, j), none), best.get((i, j + 1), none)]
             if i < len(left) and j < len(right) and abs((left[i]["day"] - right[j]["day"]).days) <= days:
-                n, cost, pairs = best.get((i + 1, j + 1), none)
-                options.append((n - 1, tuple(map(sum, zip(cost, matching._cost(left[i], right[j]), strict=True))), ((i, j), *pairs)))
+                n, cost, ids, pairs = best.get((i + 1, j + 1), none)
+                options.append((n - 1, tuple(map(sum, zip(cost, matching._cost(left[i], right[j]), strict=True))), ((left[i]["id"], right[j]["id"]), *ids), ((i, j), *pairs)))
             best[i, j] = min(options)
-    return best[0, 0][2]
+    return best[0, 0][3]
 
 
 def test_matching_of_long_dense_sides_is_optimal():
     import random
 
     rng = random.Random(5)
-    side = lambda n: sorted(({"id": i, "day": day("2024-01-01") + datetime.timedelta(rng.randint(0, 40)), "part": None, "kind": rng.choice(["pain", "sprain"]), "laterality": None, "reason": rng.choice(["a", "b", "a"])} for i in range(n)), key=lambda e: (e["day"], e["id"]))
+    side = lambda n: sorted(({"id": (i * 7 + 3) % 31, "day": day("2024-01-01") + datetime.timedelta(rng.randint(0, 40)), "part": None, "kind": rng.choice(["pain", "sprain"]), "laterality": None, "reason": rng.choice(["a", "b", "a"])} for i in range(n)), key=lambda e: (e["day"], e["id"]))
     for _ in range(10):
         a, b = side(rng.randint(0, 30)), side(rng.randint(0, 30))
         assert matching.assign(a, b) == list(whole_match(a, b))
