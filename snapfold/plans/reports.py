@@ -14,7 +14,7 @@ from snapfold.operators import admission, matching, states
 from snapfold.plans import serve
 from snapfold.plans.catalogue import _season_sql, table
 from snapfold.registry import register
-from snapfold.sources import files, layout, publish
+from snapfold.sources import files, layout, publish, report
 
 
 def scratch(spark: SparkSession) -> str:
@@ -307,3 +307,41 @@ def catalog_tables(spark, d):
     for name in ("nation", "region"):
         table(spark, d, name).createOrReplaceTempView(f"snapfold_{name}")
     return files.catalogued(spark, "snapfold_")
+
+
+_X = {"Date": 20.0, "Time": 94.0, "Matchup": 169.0, "Team": 243.0, "Player": 370.0, "Current": 498.0, "Reason": 604.0}
+
+
+def _report_words(spark, d):
+    """A report a supplier: two players of one team, the first with a reason on two lines, and a team that said nothing yet."""
+    cell = lambda x, top, text: (float(x), float(top), text)
+    head = [cell(270, 50, F.lit("Injury Report: 04/18/21 08:30 PM")), *(cell(_X[k], 90, F.lit(t)) for k, t in (("Date", "Game Date"), ("Time", "Game Time"), ("Matchup", "Matchup"), ("Team", "Team"), ("Player", "Player Name"), ("Current", "Current Status"), ("Reason", "Reason")))]
+    name = F.col("s_name")
+    first = [cell(_X["Date"], 110, F.lit("04/18/2021")), cell(_X["Time"], 110, F.lit("01:00 (ET)")), cell(_X["Matchup"], 110, F.lit("IND@ATL")), cell(_X["Team"], 110, F.lit("Atlanta")), cell(_X["Player"], 110, F.concat(name, F.lit(", John"))), cell(_X["Current"], 110, F.lit("Out")), cell(_X["Reason"], 106, F.lit("Injury/Illness - Left Ankle;")), cell(_X["Reason"], 114, F.lit("Sprain")), cell(_X["Team"], 117, F.lit("Hawks"))]
+    second = [cell(_X["Player"], 140, F.concat(name, F.lit(", Paul"))), cell(_X["Current"], 140, F.lit("Questionable")), cell(_X["Reason"], 140, F.lit("Rest"))]
+    third = [cell(_X["Team"], 170, F.lit("Indiana Pacers")), cell(_X["Player"], 170, F.lit("NOT YET SUBMITTED"))]
+    boxes = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(top).alias("top"), t.alias("t")) for x, top, t in head + first + second + third))
+    each = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.explode(boxes).alias("b"))
+    each = each.select("doc_id", "b.x", "b.top", F.posexplode(F.split("b.t", " ")).alias("i", "text"))
+    return each.select("doc_id", F.lit(1).alias("page"), (F.col("x") + F.col("i") * 9).alias("x0"), "top", "text")
+
+
+@register("report_entries", """SELECT s_suppkey::VARCHAR AS doc_id, k AS row_number, DATE '2021-04-18' AS game_date, 3600 AS game_time, 'IND@ATL' AS matchup, CASE k WHEN 3 THEN 'Indiana Pacers' ELSE 'Atlanta Hawks' END AS team, CASE k WHEN 1 THEN s_name || ', John' WHEN 2 THEN s_name || ', Paul' END AS player_name, CASE k WHEN 1 THEN 'Out' WHEN 2 THEN 'Questionable' END AS status,
+CASE k WHEN 1 THEN 'Injury/Illness' END AS reason_category, CASE k WHEN 1 THEN 'Injury/Illness - Left Ankle; Sprain' WHEN 2 THEN 'Rest' END AS raw_reason, CASE k WHEN 3 THEN 'not_submitted' ELSE 'player' END AS entry_type, 'standard-v2' AS format_version FROM supplier, (VALUES (1), (2), (3)) t(k)""")
+def report_entries(spark, d):
+    """SRC-16/17, UDF-09, WIN-07..10: documents of positioned words to rows."""
+    return report.entries(_report_words(spark, d)).drop("page_number", "raw_row_text", "previous_status", "previous_reason")
+
+
+@register("report_matchups", "SELECT s_suppkey::VARCHAR AS doc_id, DATE '2021-04-18' AS game_date, 'IND@ATL' AS matchup FROM supplier")
+def report_matchups(spark, d):
+    """SRC-18: games that a player's row stands for."""
+    return report.date_matchups(_report_words(spark, d))
+
+
+@register("report_problems", "SELECT s_suppkey::VARCHAR AS doc_id, s_suppkey % 4 = 0 AS readable, CASE s_suppkey % 4 WHEN 1 THEN 'no time of the report' WHEN 2 THEN 'no table header on the first page' WHEN 3 THEN 'no entries' END AS problem FROM supplier")
+def report_problems(spark, d):
+    """SRC-16: a document that cannot be read is a row that says why."""
+    words, k = _report_words(spark, d), F.col("doc_id").cast("int") % 4
+    lost = ((k == 1) & (F.col("top") == 50)) | ((k == 2) & (F.col("top") == 90)) | ((k == 3) & (F.col("top") > 90))
+    return report.documents(words.where(~lost)).select("doc_id", F.col("problem").isNull().alias("readable"), "problem")
