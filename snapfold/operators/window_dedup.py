@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapfold.operators import latest
+
+#: The most days that any of the medical rules below reaches over.
+LONGEST = 750
 TEARS = ("tear", "ACL tear", "MCL tear", "PCL tear")
 
 
@@ -23,24 +27,27 @@ def medical_follow_up(last: Column, kind: Column, part: Column, days: Column) ->
     )
 
 
-def window_dedup(df: DataFrame, keys: list[str], day: str, kind: str, tie: str, window=medical_window, follows=medical_follow_up, part: str | None = None) -> DataFrame:
+def window_dedup(df: DataFrame, keys: list[str], day: str, kind: str, tie: str, window=medical_window, follows=medical_follow_up, part: str | None = None, longest: int | None = LONGEST) -> DataFrame:
     """Keep a row if it lies further from the last kept row of its keys than that row's window and continues it not.
 
-    The first row of a key is kept; suppressed rows move nothing. Rows with a null key vanish. A fold over each key's
-    rows in order; a key is one entity's history, so its array stays small.
+    The first row of a key is kept; suppressed rows move nothing. Rows with a null key vanish. A row more than
+    ``longest`` days behind the one before it is kept whatever came earlier, so histories are cut there, and a fold
+    over each run's rows in order yields the places of the rows kept. ``part`` must be one of the keys.
     """
     rows = df.dropna(subset=keys)
+    runs = keys
+    if longest is not None:
+        rows, runs = latest.episodes_by_gap(rows.withColumn("_day", F.col(day).cast("date")), keys, "_day", tie, longest).withColumnRenamed("episode", "_run"), [*keys, "_run"]
     item = F.struct(F.col(day).cast("date").alias("day"), F.col(tie).alias("tie"), F.col(kind).alias("kind"))
-    folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+    folded = rows.groupBy(*runs).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
     part_ = F.col(part) if part else F.lit(None).cast("string")
-    kept_type = f"array<struct<day:date,tie:{df.schema[tie].dataType.simpleString()},kind:string>>"
-    start = F.struct(F.lit(None).cast("date").alias("day"), F.lit(None).cast("string").alias("kind"), F.lit(0).alias("width"), F.expr(f"cast(array() as {kept_type})").alias("kept"))
+    start = F.struct(F.lit(None).cast("date").alias("day"), F.lit(None).cast("string").alias("kind"), F.lit(0).alias("width"), F.expr("cast(array() as array<int>)").alias("kept"), F.lit(0).alias("at"))
 
     def step(state: Column, row: Column) -> Column:
         days = F.datediff(row["day"], state["day"])
         keep = state["day"].isNull() | (~F.coalesce(follows(state["kind"], row["kind"], part_, days), F.lit(False)) & (days > state["width"]))
-        moved = F.struct(row["day"].alias("day"), row["kind"].alias("kind"), window(row["kind"], part_).cast("int").alias("width"), F.concat(state["kept"], F.array(row)).alias("kept"))
-        return F.when(keep, moved).otherwise(state)
+        moved = F.struct(row["day"].alias("day"), row["kind"].alias("kind"), window(row["kind"], part_).cast("int").alias("width"), F.array_append(state["kept"], state["at"]).alias("kept"), (state["at"] + 1).alias("at"))
+        return F.when(keep, moved).otherwise(state.withField("at", state["at"] + 1))
 
-    kept = folded.select(*keys, F.inline(F.aggregate("_rows", start, step)["kept"]))
+    kept = folded.select(*keys, F.inline(F.transform(F.aggregate("_rows", start, step)["kept"], lambda at: F.col("_rows")[at])))
     return kept.select(*keys, F.col("day").alias(day), F.col("tie").alias(tie), F.col("kind").alias(kind))

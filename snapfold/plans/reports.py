@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from snapfold.functions import dates
 from snapfold.functions import text as X
-from snapfold.operators import admission, matching, states
+from snapfold.operators import admission, matching, states, window_dedup
 from snapfold.plans import serve
 from snapfold.plans.catalogue import _season_sql, table
 from snapfold.registry import register
@@ -156,6 +156,22 @@ def classification_audit(spark, d):
     return parts.select(F.lit("part").alias("metric"), "key", "value").union(tidy(cover, "coverage", *cover.columns))
 
 
+_TEARS = "('tear', 'ACL tear', 'MCL tear', 'PCL tear')"
+
+
+@register("medical_window_dedup", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, list_extract(['knee', 'achilles', 'back'], user_id::INTEGER % 3 + 1) AS part, list_extract(['tear', 'surgery', 'achilles injury', 'fracture', 'pain'], event_id::INTEGER % 5 + 1) AS kind, DATE '2010-01-01' + (event_id * 37 % 9000)::INTEGER AS day FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day, event_id) AS k, CASE WHEN kind IN {_TEARS} AND part IN ('knee', 'achilles') THEN 365 WHEN kind = 'surgery' THEN 180 WHEN kind IN ('achilles injury', 'fracture') THEN 90 ELSE 30 END AS width FROM e),
+f AS (SELECT user_id, k, event_id, part, kind, day, true AS kept, day AS last, kind AS last_kind, width AS last_width FROM o WHERE k = 1
+UNION ALL SELECT user_id, k, event_id, part, kind, day, keep, CASE WHEN keep THEN day ELSE last END, CASE WHEN keep THEN kind ELSE last_kind END, CASE WHEN keep THEN width ELSE last_width END FROM (SELECT o.*, f.last, f.last_kind, f.last_width, o.day - f.last > f.last_width AND NOT (f.last_kind IN {_TEARS} AND o.kind = 'surgery' AND o.day - f.last <= 180 OR f.last_kind = 'tear' AND o.part = 'achilles' AND o.kind = 'achilles injury' AND o.day - f.last <= 750 OR f.last_kind = 'achilles injury' AND o.kind = 'achilles injury' AND o.day - f.last <= 180 OR f.last_kind = 'surgery' AND o.kind = 'surgery' AND o.day - f.last <= 365) AS keep FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1))
+SELECT user_id, part, day::DATE AS day, event_id, kind FROM f WHERE kept""")
+def medical_window_dedup(spark, d):
+    """WIN-02, CND-10, UDF-06: the medical windows and follow-ups."""
+    pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names) + 1).cast("int"))
+    day = F.date_add(F.lit("2010-01-01").cast("date"), (F.col("event_id") * 37 % 9000).cast("int"))
+    e = table(spark, d, "events").select("user_id", "event_id", pick(("knee", "achilles", "back"), "user_id").alias("part"), pick(("tear", "surgery", "achilles injury", "fracture", "pain"), "event_id").alias("kind"), day.alias("day"))
+    return window_dedup.window_dedup(e, ["user_id", "part"], "day", "kind", "event_id", part="part")
+
+
 # --- reports
 
 
