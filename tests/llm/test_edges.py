@@ -232,3 +232,14 @@ def test_an_unset_shared_folder_is_refused_outside_local_mode():
     conf = {"spark.master": "yarn"}
     with pytest.raises(ValueError):
         common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d))))
+
+
+def test_whole_licences_and_templates_from_a_folder(spark, tmp_path):
+    whole = [(name, t) for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC") for t in licenses.TEMPLATES[name] if len(t) > 600]
+    docs = spark.createDataFrame([(i, f"Copyright (c) 2020 Someone\n\n{t}") for i, (_, t) in enumerate(whole)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(whole))] == [name for name, _ in whole] and len(whole) >= 4
+    (tmp_path / "House-1.0.txt").write_text("You may read this manual in the reading room but never take it home with you.")
+    own = licenses.templates_of(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "x\nyou may READ this manual in the reading room, but never take it home with you!")], "doc_id long, text string")
+    assert licenses.scan(docs, templates=own).first().license == "House-1.0"
