@@ -24,6 +24,8 @@ MOST = 3
 SALT_BITS = 6
 #: Classes of size per doubling.
 FINE = 32
+#: Equal rows that one task writes out at once.
+CHUNK = 4096
 
 
 def ranked(df: DataFrame, by: list[Column], name: str) -> DataFrame:
@@ -102,13 +104,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     A null text has size 0, a null source is a source of its own. Documents of size 0 get one copy and take no words.
     Rows that repeat an id are mixed like others; rows equal in id, source and text stand for one another, so that the
-    same table gives the same rows whatever its partitions. Extra columns are ignored; an empty table gives an empty
-    result.
+    same table gives the same rows whatever its partitions. They are counted before any row moves and dealt out at the
+    end, so any number of them may be equal. Extra columns are ignored; an empty table gives an empty result.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(13), t).alias("key"))
-    rows = cut(rows.withColumn("h", F.xxhash64(F.lit(11), "doc_id", "key")))
-    counts = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(11), "doc_id", "key"))
+    rows = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("alike")))
+    counts = cut(rows.groupBy("source", "size").agg(F.sum("alike").alias("n")))
     goals = cut(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most))
     solved = cut(tilt(counts, goals, most))
     level = F.when(F.col("size") > 0, F.floor(F.log2(F.greatest("size", F.lit(1)).cast("double")) * FINE)).otherwise(-1).cast("int")
@@ -137,16 +140,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     # class and the number of salts, which grows with the partitions, changes no rank; every n/extra-th is taken.
     bits = max(SALT_BITS, (4 * partitions(docs.sparkSession)).bit_length())
     placed = rows.withColumn("level", level).withColumn("salt", F.shiftright("h", 64 - bits))
-    salted = placed.where("level >= 0").groupBy("source", "level", "salt").agg(F.count("*").alias("n"))
+    salted = placed.where("level >= 0").groupBy("source", "level", "salt").agg(F.sum("alike").alias("n"))
     before = salted.withColumn("before", F.sum("n").over(W.partitionBy("source", "level").orderBy("salt")) - F.col("n"))
     before = before.join(dealt, F.col("source").eqNullSafe(F.col("_source")) & (F.col("level") == F.col("_level")))
     before = before.select(F.col("source").alias("_source"), F.col("level").alias("_level"), F.col("salt").alias("_salt"), "before", "in_class", "extra")
-    rank = F.row_number().over(W.partitionBy("source", "level", "salt").orderBy("h", "doc_id", "key", "size"))
-    out = rated(placed.withColumn("rank", rank))
+    so_far = W.partitionBy("source", "level", "salt").orderBy("h", "doc_id", "key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = rated(placed.withColumn("rank", F.sum("alike").over(so_far) - F.col("alike")))
     out = out.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("level") == F.col("_level")) & (F.col("salt") == F.col("_salt")), "left")
-    at = F.col("before") + F.col("rank")
+    goal = goals.select(F.col("source").alias("_g"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"))
+    out = out.join(goal, F.col("source").eqNullSafe(F.col("_g")))
+    out = out.select("doc_id", "h", "size", "source_size", "target", "base", "extra", "in_class", "alike", (F.col("before") + F.col("rank")).alias("first"))
+
+    # Equal rows get the places first + 1, first + 2, ... Only where many are equal do they go over several tasks.
+    out = out.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(alike - 1) div {CHUNK}"))))
+    if (rows.agg(F.max("alike")).first()[0] or 0) > CHUNK:
+        out = out.repartition(partitions(docs.sparkSession), "h", "chunk")
+    start = F.col("chunk") * CHUNK
+    out = out.withColumn("place", F.explode(F.sequence(start, F.least(start + CHUNK, F.col("alike")) - 1)))
+    at = F.col("first") + F.col("place") + 1
     extra = F.coalesce((F.floor(at * F.col("extra") / F.col("in_class")) > F.floor((at - 1) * F.col("extra") / F.col("in_class"))).cast("long"), F.lit(0))
     copies = F.when(F.col("size") > 0, F.least(F.col("base") + extra, F.lit(most))).otherwise(F.lit(1)).cast("long")
-    goal = goals.select(F.col("source").alias("_g"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"))
-    out = out.select("doc_id", "source", "size", copies.alias("copies")).join(goal, F.col("source").eqNullSafe(F.col("_g")))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))

@@ -126,6 +126,20 @@ def test_mixture_of_repeated_ids_is_the_same_again(spark):
     assert runs[0] == runs[1] and len(runs[0]) == 300
 
 
+def test_mixture_deals_many_equal_rows(spark, monkeypatch):
+    rows = [(7, "one two three", "a")] * 900 + [(i, f"word {i}" + " more" * (i % 9), "ab"[i % 2]) for i in range(600)] + [(None, None, None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = sorted((r.doc_id or -1, r.size, r.copies) for r in mixture.mix(docs).collect())
+    monkeypatch.setattr(mixture, "CHUNK", 7)
+    dealt = sorted((r.doc_id or -1, r.size, r.copies) for r in mixture.mix(docs).collect())
+    assert whole == dealt and len(dealt) == len(rows)
+    assert sorted({c for i, _, c in dealt if i == 7})[-1] - min(c for i, _, c in dealt if i == 7) <= 1
+    taken = {}
+    for r in mixture.mix(docs).collect():
+        taken[r.target] = taken.get(r.target, 0) + r.taken
+    assert all(abs(got - goal) <= 20 for goal, got in taken.items()), taken
+
+
 # --- quality
 
 
