@@ -34,3 +34,23 @@ def published(df: DataFrame, day: str, first: str, restored: tuple[str, str, str
         low, high, season = restored
         keep = keep | (d.between(F.lit(low).cast("date"), F.lit(high).cast("date")) & (dates.season(d, first_month) == season))
     return df.where(keep)
+
+
+def flag_verdict(games: DataFrame, by: list[str], kind: str, flag: str) -> DataFrame:
+    """Whether a flag of another schedule tells the kinds of a season's games: one row per ``by``, from one grouped pass.
+
+    flag is null where the other schedule lacks the game. It tells the kinds if only playoffs are flagged, play-in games
+    are flagged alike, and no preseason or play-in game is lacking; playoffs without the flag are counted only.
+    """
+    flagged, plain, lacking = F.col(flag), ~F.col(flag), F.col(flag).isNull()
+    of = lambda name, holds: F.count_if((F.col(kind) == name) & holds)
+    counts = games.groupBy(*by).agg(
+        F.array_join(F.array_sort(F.collect_set(F.when(flagged & (F.col(kind) != "playoffs"), F.col(kind)))), ";").alias("flagged_kinds"),
+        of("playoffs", plain).alias("plain_playoffs"),
+        of("play_in", flagged).alias("flagged_play_in"),
+        of("play_in", plain).alias("plain_play_in"),
+        of("preseason", lacking).alias("lacking_preseason"),
+        of("play_in", lacking).alias("lacking_play_in"),
+    )
+    mixed = (F.col("flagged_play_in") > 0) & (F.col("plain_play_in") > 0)
+    return counts.withColumn("reproducible", (F.col("flagged_kinds") == "") & ~mixed & (F.col("lacking_preseason") + F.col("lacking_play_in") == 0))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from snapfold.operators import latest
 
+# Parts that count as one with a wider one.
 FAMILY = {"lower leg": "leg", "shin": "leg", "forearm": "arm"}
 
 

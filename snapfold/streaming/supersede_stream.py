@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from snapfold.operators.upsert import supersede
 
+#: Parts of a state that batches rewrite one by one.
+BUCKETS = 64
+_BUCKET, _VERSIONS = "_bucket", "bucket int, version long"
+
 
 def read_state(spark, path: str, schema) -> DataFrame:
     try:
@@ -18,29 +22,51 @@ def read_state(spark, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def supersede_stream(stream: DataFrame, state: str, checkpoint: str, subject: list[str], row: list[str], at: str):
-    """Keep in ``state`` the rows of each subject's latest publication. Each batch writes a new version, then names it current.
+def supersede_stream(stream: DataFrame, state: str, checkpoint: str, subject: list[str], row: list[str], at: str, buckets: int = BUCKETS):
+    """Keep in ``state`` the rows of each subject's latest publication. Subjects are dealt into ``buckets``.
 
-    A batch that runs twice gives the same state: superseding is idempotent.
+    A batch reads and writes only the buckets of its subjects, each as a new version, then names these versions current.
+    A batch that runs twice gives the same state: superseding is idempotent. ``subject`` must be part of ``row`` or
+    follow from it; the number of buckets must stay as it was.
     """
     schema = stream.schema
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        versions = read_state(spark, f"{state}/current", "version long")
-        last = versions.agg(F.max("version")).first()[0]
-        existing = read_state(spark, f"{state}/v{last}", schema) if last is not None else spark.createDataFrame([], schema)
-        if last is not None and last >= epoch:
+        bucket = F.pmod(F.xxhash64(*subject), F.lit(buckets)).cast("int")
+        versions = _versions(spark, state)
+        if versions.where(F.col("version") >= epoch).limit(1).count():
+            return
+        batch = batch.dropna(subset=[*subject, at])  # they belong to no subject or no publication
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets``
+        if not touched:
             return
-        supersede(existing, batch, subject, row, at).write.mode("overwrite").parquet(f"{state}/v{epoch}")
-        spark.createDataFrame([(epoch,)], "version long").write.mode("append").parquet(f"{state}/current")
+        existing = _rows(spark, state, schema, [r for r in _latest(versions) if r.bucket in touched])
+        fresh = supersede(existing, batch, subject, row, at)
+        fresh.withColumn(_BUCKET, bucket).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{state}/v{epoch}")
+        named = spark.createDataFrame([(b, epoch) for b in touched], _VERSIONS)
+        named.coalesce(1).write.mode("append").parquet(f"{state}/current")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _versions(spark, state: str) -> DataFrame:
+    return read_state(spark, f"{state}/current", _VERSIONS)
+
+
+def _latest(versions: DataFrame) -> list:
+    """The current version of each bucket that has one."""
+    return versions.groupBy("bucket").agg(F.max("version").alias("version")).collect()
+
+
+def _rows(spark, state: str, schema, latest: list) -> DataFrame:
+    paths = [f"{state}/v{r.version}/{_BUCKET}={r.bucket}" for r in latest]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def current(spark, state: str, schema) -> DataFrame:
-    last = spark.read.schema("version long").parquet(f"{state}/current").agg(F.max("version")).first()[0]
-    return spark.read.schema(schema).parquet(f"{state}/v{last}")
+    """The rows of the current versions of all buckets."""
+    return _rows(spark, state, schema, _latest(_versions(spark, state)))
 
 
 def windowed_counts(stream: DataFrame, at: str, kind: str, window: str = "1 day", late: str = "2 days") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from snapfold import queries
 from snapfold.functions import dates, rules
 from snapfold.functions import text as X
-from snapfold.operators import episodes, latest, lookup, matching, upsert, window_dedup
+from snapfold.operators import admission, episodes, latest, lookup, matching, upsert, window_dedup
 from snapfold.plans import serve
 from snapfold.sources import files, layout
 from snapfold.streaming import supersede_stream
@@ -265,6 +265,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == [("g1", 4, 6, "In"), ("g2", 3, 9, "Out")]
 
 
+def test_supersede_stream_rewrites_the_buckets_of_its_subjects_only(spark, tmp_path):
+    schema = "game string, row long, at long, status string"
+    source, state = f"{tmp_path}/in", f"{tmp_path}/state"
+    batches = [[(f"g{i}", i, 1, "Out") for i in range(40)], [("g3", 3, 2, "In")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        assert supersede_stream.supersede_stream(stream, state, f"{tmp_path}/ck", ["game"], ["row"], "at", buckets=8).awaitTermination(60)
+    got = sorted(map(tuple, supersede_stream.current(spark, state, stream.schema).collect()))
+    assert got == sorted([r for r in batches[0] if r[1] != 3] + batches[1])
+    written = [sorted(os.listdir(f"{state}/{v}")) for v in ("v0", "v1")]
+    assert [sum(name.startswith("_bucket=") for name in names) for names in written] == [8, 1]
+
+
+def test_flag_verdict(spark):
+    games = [("a", "playoffs", True), ("a", "regular", False), ("a", "play_in", True), ("b", "playoffs", True), ("b", "playoffs", False), ("b", "play_in", False), ("c", "play_in", None), ("c", "preseason", False), ("d", "regular", None)]
+    df = spark.createDataFrame(games, "season string, kind string, flag boolean")
+    got = {r.season: (r.flagged_kinds, r.plain_playoffs, r.reproducible) for r in admission.flag_verdict(df, ["season"], "kind", "flag").collect()}
+    assert got == {"a": ("play_in", 0, False), "b": ("", 1, True), "c": ("", 0, False), "d": ("", 0, True)}
+
+
 def test_serve_rejects_bad_parameters(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/orders.parquet")
     with pytest.raises(ValueError):
