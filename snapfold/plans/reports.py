@@ -227,16 +227,16 @@ def restoration_audit(spark, d):
     return tidy(whole, "table", *whole.columns).union(by("status", F.col("o_orderstatus"))).union(by("season", dates.season(F.col("o_orderdate"))))
 
 
-@register("schedule_verdict", """WITH g AS (SELECT year(o_orderdate) AS season, ['preseason', 'regular', 'play_in', 'playoffs'][o_orderkey % 4 + 1] AS kind, CASE WHEN o_custkey % 1499 <> 0 THEN (o_orderkey % 4 = 3) <> (o_custkey % 751 = 0) END AS flag FROM orders),
-c AS (SELECT season, coalesce(string_agg(DISTINCT kind, ';' ORDER BY kind) FILTER (flag AND kind <> 'playoffs'), '') AS flagged_kinds, count(*) FILTER (kind = 'playoffs' AND NOT flag) AS plain_playoffs, count(*) FILTER (kind = 'play_in' AND flag) AS flagged_play_in, count(*) FILTER (kind = 'play_in' AND NOT flag) AS plain_play_in,
-count(*) FILTER (kind = 'preseason' AND flag IS NULL) AS lacking_preseason, count(*) FILTER (kind = 'play_in' AND flag IS NULL) AS lacking_play_in FROM g GROUP BY season)
+@register("schedule_verdict", """WITH g AS (SELECT year(o_orderdate) AS season, month(o_orderdate) AS month, ['preseason', 'regular', 'play_in', 'playoffs'][o_orderkey % 4 + 1] AS kind, CASE WHEN o_custkey % 1499 <> 0 THEN (o_orderkey % 4 = 3) <> (o_custkey % 751 = 0) END AS flag FROM orders),
+c AS (SELECT season, month, coalesce(string_agg(DISTINCT kind, ';' ORDER BY kind) FILTER (flag AND kind <> 'playoffs'), '') AS flagged_kinds, count(*) FILTER (kind = 'playoffs' AND NOT flag) AS plain_playoffs, count(*) FILTER (kind = 'play_in' AND flag) AS flagged_play_in, count(*) FILTER (kind = 'play_in' AND NOT flag) AS plain_play_in,
+count(*) FILTER (kind = 'preseason' AND flag IS NULL) AS lacking_preseason, count(*) FILTER (kind = 'play_in' AND flag IS NULL) AS lacking_play_in FROM g GROUP BY season, month)
 SELECT *, flagged_kinds = '' AND NOT (flagged_play_in > 0 AND plain_play_in > 0) AND lacking_preseason = 0 AND lacking_play_in = 0 AS reproducible FROM c""")
 def schedule_verdict(spark, d):
     """CND-14: whether another schedule's flag tells the kinds of the games."""
     kind = F.element_at(F.array(*map(F.lit, ("preseason", "regular", "play_in", "playoffs"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
     flag = F.when(F.col("o_custkey") % 1499 != 0, (F.col("o_orderkey") % 4 == 3) != (F.col("o_custkey") % 751 == 0))
-    games = table(spark, d, "orders").select(F.year("o_orderdate").alias("season"), kind.alias("kind"), flag.alias("flag"))
-    return admission.flag_verdict(games, ["season"], "kind", "flag")
+    games = table(spark, d, "orders").select(F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("month"), kind.alias("kind"), flag.alias("flag"))
+    return admission.flag_verdict(games, ["season", "month"], "kind", "flag")
 
 
 @register("mean_similarity", "SELECT l_returnflag, round(sum(l_discount::DECIMAL(12,2))::DOUBLE / count(*), 6) AS mean FROM lineitem GROUP BY 1")
