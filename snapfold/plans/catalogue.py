@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from snapfold.functions import dates, rules
 from snapfold.functions import text as X
 from snapfold.operators import episodes, latest, lookup, matching, upsert, window_dedup
-from snapfold.plans import serve
+from snapfold.plans import rule_sql, serve
 from snapfold.registry import register
 from snapfold.sources import layout
 
@@ -35,10 +35,10 @@ def serve_page(spark, d):
     return serve.page(found.select("o_orderkey", "o_orderstatus", "o_orderdate", "c_name", "n_name"), [F.desc_nulls_last("o_orderdate"), F.asc_nulls_last("n_name"), F.asc_nulls_last("c_name"), F.asc("o_orderkey")], 2, 100)
 
 
-@register("serve_reason_search", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%R_D%'")
+@register("serve_reason_search", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%_ED%'")
 def serve_reason_search(spark, d):
     """FLT-06: wildcards in the searched text keep their meaning."""
-    return serve.where(table(spark, d, "part"), search={"p_name": "R_D"}).select("p_partkey", "p_name")
+    return serve.where(table(spark, d, "part"), search={"p_name": "_ED"}).select("p_partkey", "p_name")
 
 
 @register("serve_empty_in", "SELECT o_orderkey, o_orderstatus FROM orders WHERE false")
@@ -571,28 +571,17 @@ def optimal_match(spark, d):
     return matching.optimal_match(o.where("status = 'Available'").drop("status"), o.where("status = 'Out'").drop("status"))
 
 
-_REASONS = ("Injury/Illness - Left Knee; ACL Tear", "Injury/Illness - Right Ankle; Sprain", "Rest", "G League - Two-Way", "Injury/Illness - N/A; Illness", "Injury/Illness - Lumbar; Soreness", "Bilateral Hip; Strain", "Coach's Decision")
-_CLASSES = [("knee", "left", "ACL tear", True), ("ankle", "right", "sprain", True), (None, None, None, False), (None, None, None, False), ("illness", None, "illness", True), ("back", None, "soreness", True), ("hip", "bilateral", "strain", True), (None, None, None, False)]
-
-
-def _sql(v):
-    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'"
-
-
-@register("classify_reasons", "WITH c(i, body_part, laterality, injury_type, is_injury) AS (VALUES " + ", ".join(f"({i}, {', '.join(map(_sql, c))})" for i, c in enumerate(_CLASSES)) + ") SELECT event_id, body_part, laterality, injury_type, is_injury FROM events JOIN c ON event_id % 8 = i")
+@register("classify_reasons", rule_sql.reasons_sql())
 def classify_reasons(spark, d):
     """CND-01..03, UDF-01: classify distinct reasons once, then join back."""
-    reason = F.element_at(F.array(*map(F.lit, _REASONS)), (F.col("event_id") % 8 + 1).cast("int"))
-    e = table(spark, d, "events").select("event_id", reason.alias("reason"))
+    e = table(spark, d, "events").select("event_id", rule_sql.drawn_reason(F.col("event_id") % rule_sql.DRAWN).alias("reason"))
     known = e.select("reason").distinct().withColumn("c", X.classify(F.col("reason")))
     return e.join(known, "reason").select("event_id", "c.body_part", "c.laterality", "c.injury_type", "c.is_injury")
 
 
-_NOTES = (("placed on IL with torn left ACL", "knee", "ACL tear"), ("strained right calf", "calf", "strain"), ("placed on IL recovering from surgery on achilles", "achilles", "recovery"), ("sore lower back", "back", "soreness"), ("flu", "illness", "illness"), ("left team", None, "injury"))
-
-
-@register("classify_notes", "WITH c(i, body_part, injury_type) AS (VALUES " + ", ".join(f"({i}, {_sql(p)}, {_sql(t)})" for i, (_, p, t) in enumerate(_NOTES)) + ") SELECT event_id, body_part, injury_type FROM events JOIN c ON event_id % 6 = i")
+@register("classify_notes", rule_sql.notes_sql())
 def classify_notes(spark, d):
-    """CND-05/06, UDF-03."""
-    note = F.element_at(F.array(*(F.lit(n[0]) for n in _NOTES)), (F.col("event_id") % 6 + 1).cast("int"))
-    return table(spark, d, "events").select("event_id", X.classify_note(note).alias("c")).select("event_id", "c.*")
+    """CND-05/06, UDF-03: the same for notes."""
+    e = table(spark, d, "events").select("event_id", rule_sql.NOTES.column(F.col("event_id") % rule_sql.DRAWN).alias("note"))
+    known = e.select("note").distinct().withColumn("c", X.classify_note(F.col("note")))
+    return e.join(known, "note").select("event_id", "c.body_part", "c.injury_type")
