@@ -558,7 +558,8 @@ def _observations(spark, d):
     return e.select(F.col("user_id").alias("entity"), F.lit(1).cast("long").alias("team"), F.to_date("ts").alias("day"), F.to_date("ts").alias("report_day"), micros("ts").alias("report_time"), F.col("event_id").alias("source"), F.col("event_id").alias("condition"), status.alias("status"), part.alias("part"), side.alias("laterality"), kind.alias("kind"), F.concat_ws(" ", side, part, kind).alias("reason"))
 
 
-@register("episodes_scored")
+@register("episodes_scored", rule_sql.episodes_sql("""SELECT *, NULL::VARCHAR AS structure, concat_ws(' ', laterality, part, kind) AS reason FROM (SELECT user_id AS entity, 1::BIGINT AS team, ts::DATE AS day, ts::DATE AS report_day, ts AS report_time, event_id AS source,
+CASE WHEN event_type = 'purchase' THEN 'Available' ELSE 'Out' END AS status, ['knee', 'ankle', 'back'][user_id % 3 + 1] AS part, CASE event_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS laterality, ['soreness', 'sprain', 'injury', 'pain'][event_id % 4 + 1] AS kind FROM events)"""))
 def episodes_scored(spark, d):
     """STA-01, UDF-07, CND-07/08."""
     return episodes.build_episodes(_observations(spark, d))

@@ -1,4 +1,4 @@
-"""Made-up reasons and notes that touch every rule, and SQL written from the rule tables that classifies them."""
+"""SQL written from the rule tables, and made-up reasons and notes that touch every rule."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from snapfold.functions import rules
+from snapfold.operators import episodes
 
 #: Different texts that the queries draw from.
 DRAWN = 4096
@@ -45,9 +46,9 @@ class Draw:
         return " || ".join(f"[{', '.join(map(_q, texts))}][n * {factor} // {by} % {len(texts)} + 1]" for texts, factor, by in self.parts)
 
 
-REASONS = Draw((_OPENINGS, 1, 1), (_SIDES, 1, 3), (_PLACES, 1, 1), (("; ",), 1, 1), (_STATES, 5, 3))
+REASONS = Draw((_OPENINGS, 1, 1), (_SIDES, 1, 3), (_PLACES, 1, 1), (("; ",), 1, 1), (_STATES, 1, 2))
 OTHERS = Draw((("", "Injury/Illness - "), 1, 2), (rules.NON_INJURY + ("TOS", "Mask", "G League - Two-Way", ""), 1, 11))
-NOTES = Draw((_STARTS, 1, 7), (("left ", ""), 1, 2), (_NOTED_STATES, 5, 3), (_NOTED, 1, 1))
+NOTES = Draw((_STARTS, 1, 7), (("left ", ""), 1, 2), (_NOTED_STATES, 1, 2), (_NOTED, 1, 1))
 
 
 def drawn_reason(n: Column) -> Column:
@@ -113,3 +114,36 @@ def notes_sql() -> str:
 k AS (SELECT *, CASE {_whens(rules.NOTE_CONDITIONS, _any)} ELSE 'injury' END AS kind FROM p),
 c AS (SELECT n, CASE WHEN {recovery} THEN CASE {healed} END {parts} WHEN kind = 'illness' THEN 'illness' ELSE part END AS body_part, CASE WHEN {recovery} THEN 'recovery' {types} ELSE kind END AS injury_type FROM k)
 SELECT event_id, body_part, injury_type FROM events JOIN c ON event_id % {DRAWN} = n"""
+
+
+def episodes_sql(observations: str) -> str:
+    """Episodes of a query's observations: one recursive step for each report of an entity, over a list of its episodes."""
+    vague = "(e.kind IS NULL OR o.kind IS NULL OR e.kind IN {0} OR o.kind IN {0})".format(episodes.UNSPECIFIC)
+    pairs = ", ".join(f"{_q('|'.join(pair))}: {score}" for pair, score in episodes.pair_scores().items())
+    finer = ", ".join(f"{_q(kind)}: [{', '.join(map(_q, kinds))}]" for kind, kinds in episodes.FINER.items())
+    listed = f"coalesce(MAP {{{pairs}}}[least(e.kind, o.kind) || '|' || greatest(e.kind, o.kind)], CASE WHEN 'recovery' IN (e.kind, o.kind) THEN {episodes.RECOVERED} END)"
+    score = f"CASE WHEN e.kind IS NOT DISTINCT FROM o.kind THEN {episodes.SAME} WHEN {vague} THEN {episodes.VAGUE} ELSE {listed} END"
+    reach = episodes.REACH
+    days = f"CASE WHEN {vague} AND e.kind IS DISTINCT FROM o.kind THEN {reach['unspecific']} ELSE {reach['kind']} END"
+    gap = "(o.report_day - e.report_day)"
+    agree = " AND ".join(f"coalesce(e.{c} = o.{c}, true)" for c in ("laterality", "team", "part", "structure"))
+    likeness = f"""CASE WHEN {gap} < 0 OR {gap} > {reach["reason"]} OR list_contains(e.sources, o.source) OR NOT coalesce(o.day <= e.available, true) OR NOT ({agree}) THEN NULL
+WHEN e.reason IS NOT DISTINCT FROM o.reason THEN 200 - {gap}
+WHEN ({score}) IS NOT NULL AND {gap} <= ({days}) AND e.part = o.part THEN 100 + ({score}) + CASE WHEN e.laterality IS NOT DISTINCT FROM o.laterality THEN 20 ELSE 0 END - {gap}
+WHEN e.part IS NULL AND o.part IS NULL AND e.kind IS NOT DISTINCT FROM o.kind AND {gap} <= {reach["unspecific"]} THEN 40 - {gap} END"""
+    fields = ("team", "start", "last", "report_day", "part", "laterality", "structure", "kind", "reason", "status", "available", "sources", "n")
+    struct = lambda values: "{" + ", ".join(f"'{f}': {values.get(f, f'o.{f}')}" for f in fields) + "}"
+    back = "lower(coalesce(o.status, '')) = 'available'"
+    begun = struct({"start": "o.day", "last": "o.day", "available": f"CASE WHEN {back} THEN o.day END", "sources": "[o.source]", "n": "1"})
+    more = {c: f"coalesce(e.{c}, o.{c})" for c in ("part", "laterality", "structure")} | {c: f"e.{c}" for c in ("team", "start", "reason")}
+    more |= {"kind": f"CASE WHEN e.kind IS NULL OR coalesce(list_contains(MAP {{{finer}}}[e.kind], o.kind), false) THEN coalesce(o.kind, e.kind) ELSE e.kind END", "last": "greatest(e.last, o.day)"}
+    more |= {"available": f"CASE WHEN {back} THEN coalesce(e.available, o.day) WHEN e.available IS NOT DISTINCT FROM o.day THEN NULL ELSE e.available END"}
+    joined = struct(more | {"sources": "list_append(e.sources, o.source)", "n": "e.n + 1"})
+    return f"""WITH RECURSIVE x AS ({observations}),
+o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY report_day, report_time, day, source) AS k FROM x WHERE entity IS NOT NULL),
+f AS (SELECT entity, k, [{begun}] AS es FROM o WHERE k = 1
+UNION ALL SELECT o.entity, o.k, CASE WHEN best IS NULL THEN list_append(es, {begun}) ELSE list_transform(es, lambda e, i: CASE WHEN i = best THEN {joined} ELSE e END) END
+FROM (SELECT *, CASE WHEN list_max(fits) IS NOT NULL THEN list_position(fits, list_max(fits)) END AS best
+FROM (SELECT o, es, list_transform(es, lambda e: {likeness}) AS fits FROM f JOIN o ON o.entity = f.entity AND o.k = f.k + 1)) AS s)
+SELECT entity, (i - 1)::INTEGER AS episode, es[i].team AS team, es[i].start AS start, es[i].last AS last, es[i].part AS part, es[i].laterality AS laterality, es[i].kind AS kind, es[i].reason AS reason, es[i].status AS status, es[i].available AS available, es[i].n AS n
+FROM (SELECT entity, arg_max(es, k) AS es FROM f GROUP BY entity) AS z, unnest(range(1, len(es) + 1)) AS u(i)"""
