@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Tables that ``cut`` has written in this process and nobody has released.
+#: Tables that ``cut`` has written, and other folders made, in this process and that nobody has released.
 _written: list[str] = []
 
 
@@ -54,6 +54,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def register(path: str) -> None:
+    """A folder that somebody else fills goes with the tables of ``cut`` when they are released."""
+    _written.append(path)
+
+
 def release(spark: SparkSession, keep: int = 0, but: int = 0) -> None:
     """Delete the tables that ``cut`` wrote after the first ``keep``, once nothing reads them any more; the last ``but`` stay."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
