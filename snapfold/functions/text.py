@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +25,9 @@ def alnum(c: Column) -> Column:
 
 
 def given_first(c: Column) -> Column:
-    """'Surname, Given' as 'Given Surname'."""
-    flipped = F.concat_ws(" ", F.trim(F.substring_index(c, ",", -1)), F.trim(F.substring_index(c, ",", 1)))
-    return collapse(F.when(F.contains(c, F.lit(",")), flipped).otherwise(c))
+    """'Surname, Given' as 'Given Surname': what follows the first comma goes first."""
+    halves = F.split(c, ",", 2)
+    return collapse(F.when(F.size(halves) > 1, F.concat_ws(" ", halves[1], halves[0])).otherwise(c))
 
 
 @F.pandas_udf(T.StringType())
@@ -38,12 +37,6 @@ def name_key(names: pd.Series) -> pd.Series:
     return plain.map(lambda s: None if s is None else re.sub("[^a-z0-9]+", "", s))
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratio of matching blocks, to six places."""
-    return pd.Series([None if a is None or b is None else round(SequenceMatcher(None, a, b).ratio(), 6) for a, b in zip(left, right, strict=True)], dtype="float64")
-
-
 def token(c: Column, *terms: str) -> Column:
     """Whether one of the terms stands in c with no letter or digit at its sides."""
     return c.rlike("(?<![a-z0-9])(?:" + "|".join(map(re.escape, terms)) + ")(?![a-z0-9])")
@@ -157,6 +150,32 @@ def clauses(detail: Column) -> Column:
     return let(F.split(safe, boundary, 2), split)
 
 
+def _decide(whole: Column, parts: Column, found: Column) -> Column:
+    """Which conditions a reason states: those of its parts (texts, and what each was found to be) or the one of the whole."""
+    both = lambda c: c["body_part"].isNotNull() & c["injury_type"].isNotNull()
+    distinct = lambda cs, *names: F.array_distinct(F.transform(cs, lambda c: F.struct(*(c[n].alias(n) for n in names))))
+    mixed = F.exists(found, lambda c: c["is_injury"]) & F.exists(found, lambda c: ~c["is_injury"])
+    outright = F.forall(F.zip_with(found, parts, lambda c, p: F.when(c["is_injury"], both(c)).otherwise(non_injury(F.lower(p)))), lambda ok: ok)
+    sides = F.array_compact(F.array_distinct(F.transform(found, lambda c: c["laterality"])))
+    only = lambda kinds: F.forall(found, lambda c: F.coalesce(c["injury_type"].isin(*kinds), F.lit(False)))
+    apart = (F.size(distinct(found, "body_part")) > 1) | (F.size(sides) > 1) | only(rules.LIGAMENT_TYPES)
+    differ = (F.size(distinct(found, "body_part", "laterality")) > 1) | (F.size(distinct(found, "body_part", "injury_type")) > 1)
+    alone = (
+        F.forall(found, lambda c: c["is_injury"] & both(c))
+        & ~F.exists(found, lambda c: F.coalesce(c["injury_type"].isin("protective equipment", "immobilization"), F.lit(False)))
+        & ~((F.size(sides) == 0) & only(("illness", "infection")))
+        & apart
+        & differ
+    )
+    side = F.when(F.size(sides) == 1, F.element_at(sides, 1))
+    shared = F.transform(found, lambda c: c.withField("laterality", F.coalesce(c["laterality"], side)))
+    return F.when(F.size(parts) < 2, whole).when(mixed, F.when(outright, found).otherwise(whole)).when(alone, shared).otherwise(whole)
+
+
+def _detail(reason: Column) -> Column:
+    return F.regexp_replace(collapse(F.coalesce(reason, F.lit(""))), r"(?i)^injury/illness\s*-\s*", "")
+
+
 def conditions(reason: Column, category: Column | None = None) -> Column:
     """Array of ``classify``'s structs: one for each condition that a reason states by itself, else the one of the whole.
 
@@ -164,37 +183,31 @@ def conditions(reason: Column, category: Column | None = None) -> Column:
     equipment, and different in place and side or in place and type; or if all injuries among them have both and the
     others say outright that they are none. One side that is named holds for the parts that name none.
     """
-    source = collapse(F.coalesce(reason, F.lit("")))
-    detail = F.regexp_replace(source, r"(?i)^injury/illness\s*-\s*", "")
     whole = F.array(classify(reason, category))
-    both = lambda c: c["body_part"].isNotNull() & c["injury_type"].isNotNull()
-    distinct = lambda cs, *names: F.array_distinct(F.transform(cs, lambda c: F.struct(*(c[n].alias(n) for n in names))))
+    return let(clauses(_detail(reason)), lambda parts: let(F.transform(parts, lambda p: classify(p, category)), lambda found: _decide(whole, parts, found)))
+
 
-    def decide(parts: Column, found: Column) -> Column:
-        mixed = F.exists(found, lambda c: c["is_injury"]) & F.exists(found, lambda c: ~c["is_injury"])
-        outright = F.forall(F.zip_with(found, parts, lambda c, p: F.when(c["is_injury"], both(c)).otherwise(non_injury(F.lower(p)))), lambda ok: ok)
-        sides = F.array_compact(F.array_distinct(F.transform(found, lambda c: c["laterality"])))
-        only = lambda kinds: F.forall(found, lambda c: F.coalesce(c["injury_type"].isin(*kinds), F.lit(False)))
-        apart = (F.size(distinct(found, "body_part")) > 1) | (F.size(sides) > 1) | only(rules.LIGAMENT_TYPES)
-        differ = (F.size(distinct(found, "body_part", "laterality")) > 1) | (F.size(distinct(found, "body_part", "injury_type")) > 1)
-        alone = (
-            F.forall(found, lambda c: c["is_injury"] & both(c))
-            & ~F.exists(found, lambda c: F.coalesce(c["injury_type"].isin("protective equipment", "immobilization"), F.lit(False)))
-            & ~((F.size(sides) == 0) & only(("illness", "infection")))
-            & apart
-            & differ
-        )
-        side = F.when(F.size(sides) == 1, F.element_at(sides, 1))
-        shared = F.transform(found, lambda c: c.withField("laterality", F.coalesce(c["laterality"], side)))
-        return F.when(F.size(parts) < 2, whole).when(mixed, F.when(outright, found).otherwise(whole)).when(alone, shared).otherwise(whole)
-
-    return let(clauses(detail), lambda parts: let(F.transform(parts, lambda p: classify(p, category)), lambda found: decide(parts, found)))
+def conditions_of(df: DataFrame, reason: str, category: str | None = None, out: str = "conditions") -> DataFrame:
+    """(reason, category, out) of the distinct reasons of df, where out is what ``conditions`` gives.
+
+    For tables: the rules are applied once, to the distinct texts of all reasons and their parts, and the parts that
+    the results are put together from are few for each reason. Null reasons and categories are rows of their own.
+    """
+    named = [category] if category else []
+    known = df.select(reason, *named).distinct()
+    texts = F.concat(F.array(F.coalesce(F.col(reason), F.lit(""))), clauses(_detail(F.col(reason))))
+    label = F.coalesce(F.col(category), F.lit("")) if category else F.lit("")
+    pieces = known.select(reason, *named, label.alias("_label"), F.posexplode(texts).alias("_at", "_text"))
+    found = pieces.select("_label", "_text").distinct().withColumn("_c", classify(F.col("_text"), F.col("_label")))
+    rows = F.array_sort(F.collect_list(F.struct("_at", "_text", "_c")))  # of one reason
+    per = pieces.join(found, ["_label", "_text"]).groupBy(reason, *named).agg(rows.alias("_rows"))
+    whole, rest = F.array(F.col("_rows")[0]["_c"]), F.slice("_rows", 2, F.size("_rows"))
+    return per.select(reason, *named, _decide(whole, F.transform(rest, lambda r: r["_text"]), F.transform(rest, lambda r: r["_c"])).alias(out))
 
 
 def ambiguous(reason: Column, category: Column | None = None) -> Column:
     """Whether a reason of several parts names two places and still counts as one condition."""
-    detail = F.regexp_replace(collapse(F.coalesce(reason, F.lit(""))), r"(?i)^injury/illness\s*-\s*", "")
-    placed = F.filter(F.transform(clauses(detail), lambda p: classify(p, category)["body_part"]), lambda x: x.isNotNull())
+    placed = F.filter(F.transform(clauses(_detail(reason)), lambda p: classify(p, category)["body_part"]), lambda x: x.isNotNull())
     return (F.size(placed) > 1) & (F.size(conditions(reason, category)) == 1)
 
 

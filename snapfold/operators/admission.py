@@ -36,6 +36,17 @@ def published(df: DataFrame, day: str, first: str, restored: tuple[str, str, str
     return df.where(keep)
 
 
+def low_flags(df: DataFrame, *counts: str, share: float = 0.3) -> DataFrame:
+    """Add low_<count> for each count: whether it is under ``share`` of the upper median of all rows. Null counts are 0.
+
+    df has a row for each period: the medians are one row.
+    """
+    of = lambda c: F.coalesce(F.col(c), F.lit(0))
+    medians = [F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY coalesce(`{c}`, 0) DESC)").alias(f"_{c}") for c in counts]
+    flags = {f"low_{c}": (F.col(f"_{c}") > 0) & (of(c) < F.col(f"_{c}") * share) for c in counts}
+    return df.join(F.broadcast(df.agg(*medians))).withColumns(flags).drop(*(f"_{c}" for c in counts))
+
+
 def flag_verdict(games: DataFrame, by: list[str], kind: str, flag: str) -> DataFrame:
     """Whether a flag of another schedule tells the kinds of a season's games: one row per ``by``, from one grouped pass.
 

@@ -73,9 +73,10 @@ def assign(left: list[dict], right: list[dict], days: int = 7) -> list[tuple[int
 
 def discrepancies() -> Column:
     """Array of what a matched pair disagrees in, from its columns day_difference, *_agrees, ambiguous and similarity."""
-    labels = {name: F.col(f"{name}_agrees") == F.lit(False) for name in ("part", "kind", "laterality")}
+    # The labels.
+    labels = {label: F.col(f"{name}_agrees") == F.lit(False) for name, label in (("part", "body_disagreement"), ("kind", "injury_type_disagreement"), ("laterality", "laterality_disagreement"))}
     unknown = F.col("part_agrees").isNull() & F.col("kind_agrees").isNull() & F.col("laterality_agrees").isNull()
-    labels = {"day": F.col("day_difference") != 0, **labels, "ambiguous": F.col("ambiguous"), "unresolved": unknown & (F.col("similarity") < 0.5)}
+    labels = {"date_timing_discrepancy": F.col("day_difference") != 0, **labels, "ambiguous_multiple_candidate_match": F.col("ambiguous"), "unresolved": unknown & (F.col("similarity") < 0.5)}
     return F.array_compact(F.array(*(F.when(holds, F.lit(name)) for name, holds in labels.items())))
 
 

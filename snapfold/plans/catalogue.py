@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from snapfold.functions import dates, rules
 from snapfold.functions import text as X
-from snapfold.operators import episodes, latest, lookup, matching, upsert, window_dedup
+from snapfold.operators import admission, episodes, latest, lookup, matching, upsert, window_dedup
 from snapfold.plans import rule_sql, serve
 from snapfold.registry import register
 from snapfold.sources import layout
@@ -240,12 +240,19 @@ def season_summary(spark, d):
     return table(spark, d, "orders").groupBy(dates.season(F.col("o_orderdate")).alias("season")).agg(F.count("*").alias("orders"), F.countDistinct("o_custkey").alias("customers"), price.alias("mean_price"), F.count_if(F.col("o_orderstatus") == "O").alias("open_orders"))
 
 
-@register("outlier_days", """WITH c AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1), m AS (SELECT list_sort(list(n))[count(*) // 2 + 1] AS middle FROM c) SELECT day, n, n < 0.9 * middle AS low FROM c, m""")
+@register("outlier_days", """WITH c AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1), m AS (SELECT list_sort(list(n))[count(*) // 2 + 1] AS middle FROM c) SELECT day, n, n < 0.3 * middle AS low_n FROM c, m""")
 def outlier_days(spark, d):
     """AGG-18: flags against the upper median of daily counts."""
     c = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    middle = c.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n DESC)").alias("middle"))  # one row
-    return c.join(F.broadcast(middle)).select("day", "n", (F.col("n") < 0.9 * F.col("middle")).alias("low"))
+    return admission.low_flags(c, "n")
+
+
+@register("outlier_sources", """WITH c AS (SELECT source, count(*) AS reports, sum(n_chars)::BIGINT AS entries, count(DISTINCT lang) FILTER (doc_id % 3 = 0) AS games FROM documents GROUP BY 1), m AS (SELECT list_sort(list(reports))[count(*) // 2 + 1] AS r, list_sort(list(entries))[count(*) // 2 + 1] AS e, list_sort(list(games))[count(*) // 2 + 1] AS g FROM c)
+SELECT source, reports, entries, games, reports < 0.3 * r AS low_reports, entries < 0.3 * e AS low_entries, games < 0.3 * g AS low_games FROM c, m""")
+def outlier_sources(spark, d):
+    """AGG-18, RPT-04: three measures, each flagged under three tenths of its upper median."""
+    c = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("reports"), F.sum("n_chars").alias("entries"), F.countDistinct(F.when(F.col("doc_id") % 3 == 0, F.col("lang"))).alias("games"))
+    return admission.low_flags(c, "reports", "entries", "games")
 
 
 @register("top_reasons", "SELECT split_part(p_name, ' ', 1) AS word, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
@@ -360,10 +367,6 @@ def _days(kind):
     return F.when(kind == "1-URGENT", 365).when(kind == "2-HIGH", 180).when(kind == "3-MEDIUM", 90).otherwise(30)
 
 
-def _never(last, kind, part, days):
-    return F.lit(False)
-
-
 @register("window_dedup", """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderdate::DATE AS day, o_orderpriority AS kind, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE, o_orderkey) AS k FROM orders),
 w AS (SELECT *, CASE kind WHEN '1-URGENT' THEN 365 WHEN '2-HIGH' THEN 180 WHEN '3-MEDIUM' THEN 90 ELSE 30 END AS width FROM o),
 f AS (SELECT o_custkey, k, day AS last, width, true AS kept, o_orderkey, day, kind FROM w WHERE k = 1
@@ -371,7 +374,17 @@ UNION ALL SELECT w.o_custkey, w.k, CASE WHEN date_diff('day', f.last, w.day) > f
 SELECT o_custkey, day AS o_orderdate, o_orderkey, kind AS o_orderpriority FROM f WHERE kept""")
 def window_dedup_query(spark, d):
     """WIN-02, CND-10, UDF-06: windows follow the last kept row."""
-    return window_dedup.window_dedup(table(spark, d, "orders"), ["o_custkey"], "o_orderdate", "o_orderpriority", "o_orderkey", lambda k, p: _days(k), _never)
+    return window_dedup.window_dedup(table(spark, d, "orders"), ["o_custkey"], "o_orderdate", "o_orderpriority", "o_orderkey", lambda k, p: _days(k), ())
+
+
+@register("window_dedup_long", """WITH RECURSIVE o AS (SELECT o_orderstatus, o_orderkey, o_orderdate::DATE AS day, o_orderpriority AS kind, CASE o_orderpriority WHEN '1-URGENT' THEN 365 WHEN '2-HIGH' THEN 180 WHEN '3-MEDIUM' THEN 90 ELSE 30 END AS width FROM orders),
+d AS (SELECT o_orderstatus, day, min(o_orderkey) AS k FROM o GROUP BY ALL),
+n AS (SELECT o.*, d.k AS next FROM o ASOF LEFT JOIN d ON o.o_orderstatus = d.o_orderstatus AND o.day + o.width::INTEGER < d.day),
+f AS (SELECT * FROM n WHERE o_orderkey IN (SELECT arg_min(k, day) FROM d GROUP BY o_orderstatus) UNION ALL SELECT n.* FROM f JOIN n ON n.o_orderkey = f.next)
+SELECT o_orderstatus, day AS o_orderdate, o_orderkey, kind AS o_orderpriority FROM f""")
+def window_dedup_long(spark, d):
+    """WIN-02 over three histories that nothing cuts: kept rows are found by pointer doubling."""
+    return window_dedup.window_dedup(table(spark, d, "orders"), ["o_orderstatus"], "o_orderdate", "o_orderpriority", "o_orderkey", lambda k, p: _days(k), ())
 
 
 @register("latest_per_game", "SELECT user_id, day, event_id, event_type FROM (SELECT *, ts::DATE AS day, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id) AS k FROM events) WHERE k = 1")
@@ -447,10 +460,11 @@ def name_key(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.name_key(F.concat(F.lit("É"), "c_name")).alias("key"))
 
 
-@register("given_first", "SELECT c_custkey, substr(c_name, 10) || ' ' || substr(c_name, 1, 8) AS name FROM customer")
+@register("given_first", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Jr., ' ELSE '' END || substr(c_name, 10) || ' ' || substr(c_name, 1, 8) AS name FROM customer")
 def given_first(spark, d):
     """STR-06."""
-    flipped = F.concat(F.substring("c_name", 1, 8), F.lit(" ,  "), F.substring("c_name", 10, 100))
+    more = F.when(F.col("c_custkey") % 2 == 0, F.lit("Jr., ")).otherwise(F.lit(""))  # what follows the first comma may hold another
+    flipped = F.concat(F.substring("c_name", 1, 8), F.lit(" ,  "), more, F.substring("c_name", 10, 100))
     return table(spark, d, "customer").select("c_custkey", X.given_first(flipped).alias("name"))
 
 
@@ -480,11 +494,13 @@ def multi_date_parse(spark, d):
     return o.select("o_orderkey", dates.parse(text, "yyyy-M-d", "M/d/yyyy", "MMM d, yyyy").alias("day"))
 
 
-@register("url_times", "SELECT event_id, ts::DATE + to_hours(event_id % 24) + to_minutes(30) AS published FROM events")
+@register("url_times", "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN ts::DATE + to_hours(event_id % 24) + to_minutes(CASE WHEN event_id % 7 = 0 THEN 45 ELSE 30 END) END AS published FROM events")
 def url_times(spark, d):
     """REG-04/05, DAT-05: time of day in a file name."""
-    h = F.col("event_id") % 24
-    name = F.concat(F.lit("https://example.com/report_"), F.to_date("ts").cast("string"), F.lit("_"), F.lpad(F.when(h % 12 == 0, 12).otherwise(h % 12).cast("string"), 2, "0"), F.when(h < 12, "AM").otherwise("PM"), F.lit(".pdf"))
+    h, k = F.col("event_id") % 24, F.col("event_id") % 5
+    half = F.when(h < 12, F.when(k == 1, "am").otherwise("AM")).otherwise(F.when(k == 1, "pm").otherwise("PM"))
+    end = F.when(k == 3, "?v=1").when(k == 4, "/index").otherwise("")  # no report's own address
+    name = F.concat(F.lit("https://example.com/Injury-Report_"), F.to_date("ts").cast("string"), F.lit("_"), F.lpad(F.when(h % 12 == 0, 12).otherwise(h % 12).cast("string"), 2, "0"), F.when(F.col("event_id") % 7 == 0, "_45").otherwise(""), half, F.lit(".pdf"), end)
     return table(spark, d, "events").select("event_id", dates.url_time(name).cast("timestamp_ntz").alias("published"))
 
 

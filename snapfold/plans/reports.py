@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +12,7 @@ from snapfold.plans import serve
 from snapfold.plans.catalogue import _season_sql, table
 from snapfold.registry import register
 from snapfold.sources import files, layout, publish, report
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one only in a local session that names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="snapfold-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from snapfold.tables import scratch
 
 
 def tidy(df: DataFrame, metric: str, *columns: str) -> DataFrame:
@@ -64,11 +52,12 @@ def cutoff_windows(spark, d):
     return admission.published(table(spark, d, "orders"), "o_orderdate", "1998-10-22", ("1996-08-20", "1997-10-21", "1996-97")).select("o_orderkey")
 
 
-@register("cell_validators", """SELECT o_orderkey, o_orderkey % 4 = 0 AS is_date, o_orderkey % 4 = 1 AS is_time, o_orderkey % 4 = 2 AS is_matchup FROM orders""")
+@register("cell_validators", """SELECT o_orderkey, o_orderkey % 4 = 0 AS is_date, o_orderkey % 4 = 1 AND o_orderkey // 4 % 5 < 4 AS is_time, o_orderkey % 4 = 2 AS is_matchup FROM orders""")
 def cell_validators(spark, d):
     """REG-06: which cells are a date, a time of day, or a pair of teams."""
     k = F.col("o_orderkey") % 4
-    cell = F.when(k == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).when(k == 1, F.concat(F.date_format("o_orderdate", "hh:mm"), F.lit(" (ET)"))).when(k == 2, F.lit("BOS@NYK")).otherwise(F.lit("BOS@ny 7"))
+    zone = F.element_at(F.array(*map(F.lit, ("", "(ET)", " (ET)", "  (ET)", " ET"))), (F.floor(F.col("o_orderkey") / 4) % 5 + 1).cast("int"))
+    cell = F.when(k == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).when(k == 1, F.concat(F.date_format("o_orderdate", "h:mm"), zone)).when(k == 2, F.lit("BOS@NYK")).otherwise(F.lit("BOS@ny 7"))
     return table(spark, d, "orders").select("o_orderkey", layout.is_date(cell).alias("is_date"), layout.is_time(cell).alias("is_time"), layout.is_matchup(cell).alias("is_matchup"))
 
 
@@ -111,7 +100,7 @@ _SIDES, _PARTS, _KINDS = ("Left", "Right"), ("Knee", "Ankle", "Hip"), ("Soreness
 _SQL_CONDITION = "{{'body_part': lower(" + "list_extract(['Knee', 'Ankle', 'Hip'], (event_id // {0} % 3)::INTEGER + 1)" + "), 'laterality': lower(list_extract(['Left', 'Right'], (event_id // {1} % 2)::INTEGER + 1)), 'injury_type': lower(list_extract(['Soreness', 'Sprain'], (event_id // {2} % 2)::INTEGER + 1)), 'is_injury': true}}"
 
 
-@register("compound_conditions", f"""WITH c AS (SELECT event_id, {_SQL_CONDITION.format(1, 3, 6)} AS a, {_SQL_CONDITION.format(12, 36, 72)} AS b FROM events WHERE event_id < 144 * 30),
+@register("compound_conditions", f"""WITH c AS (SELECT event_id, {_SQL_CONDITION.format(1, 3, 6)} AS a, {_SQL_CONDITION.format(12, 36, 72)} AS b FROM events),
 g AS (SELECT *, event_id % 5 AS tail, NOT (a.body_part = b.body_part AND a.laterality = b.laterality) AS two FROM c),
 r AS (SELECT event_id, CASE WHEN tail = 0 THEN [a, {{'body_part': NULL, 'laterality': NULL, 'injury_type': NULL, 'is_injury': false}}] WHEN two THEN [a, b] END AS l, a, b FROM g)
 SELECT event_id, (i - 1)::INTEGER AS at, l[i].body_part AS body_part, l[i].laterality AS laterality, l[i].injury_type AS injury_type, l[i].is_injury AS is_injury FROM r, unnest(range(1, len(l) + 1)) AS u(i) WHERE l IS NOT NULL""")
@@ -120,9 +109,9 @@ def compound_conditions(spark, d):
     pick = lambda names, n, k: F.element_at(F.array(*map(F.lit, names)), (F.floor(F.col("event_id") / n) % k + 1).cast("int"))
     one = lambda a, b, c: F.concat(pick(_SIDES, b, 2), F.lit(" "), pick(_PARTS, a, 3), F.lit("; "), pick(_KINDS, c, 2))
     tail = F.when(F.col("event_id") % 5 == 0, F.lit("; Rest")).otherwise(F.concat(F.when(F.col("event_id") % 2 == 0, F.lit(", ")).otherwise(F.lit(" / ")), one(12, 36, 72)))
-    e = table(spark, d, "events").where("event_id < 144 * 30").select("event_id", F.concat(F.lit("Injury/Illness - "), one(1, 3, 6), tail).alias("reason"))
-    known = e.select("reason").distinct().withColumn("c", X.conditions(F.col("reason"), F.lit("Injury/Illness"))).where(F.size("c") > 1)
-    return e.join(known, "reason").select("event_id", F.posexplode("c").alias("at", "x")).select("event_id", "at", "x.body_part", "x.laterality", "x.injury_type", "x.is_injury")
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("Injury/Illness - "), one(1, 3, 6), tail).alias("reason"))
+    known = X.conditions_of(e.withColumn("category", F.lit("Injury/Illness")), "reason", "category", "c").where(F.size("c") > 1)
+    return e.join(known.drop("category"), "reason").select("event_id", F.posexplode("c").alias("at", "x")).select("event_id", "at", "x.body_part", "x.laterality", "x.injury_type", "x.is_injury")
 
 
 @register("unsplit_reasons", """SELECT event_id, event_id % 3 = 0 AS ambiguous FROM events""")
@@ -135,7 +124,7 @@ def unsplit_reasons(spark, d):
 
 
 @register("discrepancy_labels", """WITH m AS (SELECT event_id, event_id % 3 - 1 AS days, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS part, CASE event_id // 5 % 3 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS kind, CASE event_id // 15 % 3 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS side, event_id % 7 = 0 AS ambiguous, (event_id % 10) / 10.0 AS similarity FROM events)
-SELECT event_id, concat_ws(';', CASE WHEN days <> 0 THEN 'day' END, CASE WHEN NOT part THEN 'part' END, CASE WHEN NOT kind THEN 'kind' END, CASE WHEN NOT side THEN 'laterality' END, CASE WHEN ambiguous THEN 'ambiguous' END, CASE WHEN part IS NULL AND kind IS NULL AND side IS NULL AND similarity < 0.5 THEN 'unresolved' END) AS labels FROM m""")
+SELECT event_id, concat_ws(';', CASE WHEN days <> 0 THEN 'date_timing_discrepancy' END, CASE WHEN NOT part THEN 'body_disagreement' END, CASE WHEN NOT kind THEN 'injury_type_disagreement' END, CASE WHEN NOT side THEN 'laterality_disagreement' END, CASE WHEN ambiguous THEN 'ambiguous_multiple_candidate_match' END, CASE WHEN part IS NULL AND kind IS NULL AND side IS NULL AND similarity < 0.5 THEN 'unresolved' END) AS labels FROM m""")
 def discrepancy_labels(spark, d):
     """CND-11: what a matched pair disagrees in."""
     e, i = table(spark, d, "events"), F.col("event_id")
@@ -193,25 +182,32 @@ def _per_report(spark, d):
 
 @register("season_quality", f"""WITH r AS ({_REPORT}), e AS (SELECT {_season_sql(10)} AS season, l.* FROM lineitem l JOIN orders ON l_orderkey = o_orderkey), k AS (SELECT season, count(*) AS groups, sum(n - 1)::BIGINT AS extra FROM (SELECT season, l_orderkey, l_linenumber, count(*) AS n FROM e GROUP BY ALL HAVING count(*) > 1) GROUP BY season),
 a AS (SELECT season, count(*) AS reports, count(*) FILTER (WHERE entries = 0) AS empty_reports, count(DISTINCT o_orderdate::DATE) AS report_days, count(DISTINCT o_custkey) AS players, min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day, sum(entries)::BIGINT AS entries, sum(substantive)::BIGINT AS substantive, min(entries) AS least_entries, max(entries) AS most_entries, round(quantile_cont(entries, 0.5), 2) AS median_entries, round(sum(entries) / count(*), 2) AS mean_entries, round(100.0 * sum(substantive) / nullif(sum(entries), 0), 2)::DOUBLE AS substantive_percent, max(games) AS most_games FROM r GROUP BY season),
-b AS (SELECT season, count(*) FILTER (WHERE l_returnflag = 'A') AS status_a, count(*) FILTER (WHERE l_returnflag = 'N') AS status_n, count(*) FILTER (WHERE l_returnflag = 'R') AS status_r, count(DISTINCT l_suppkey) AS teams, count(DISTINCT (l_partkey, l_suppkey)) AS pairs, count(*) FILTER (WHERE l_quantity IS NULL) AS no_quantity FROM e GROUP BY season), m AS (SELECT list_sort(list(reports))[count(*) // 2 + 1] AS middle FROM a)
-SELECT a.*, b.* EXCLUDE (season), coalesce(groups, 0) AS repeated_keys, coalesce(extra, 0) AS repeated_rows, reports < 0.9 * middle AS low FROM a LEFT JOIN b USING (season) LEFT JOIN k USING (season), m""")
+b AS (SELECT season, count(*) FILTER (WHERE l_returnflag = 'A') AS status_a, count(*) FILTER (WHERE l_returnflag = 'N') AS status_n, count(*) FILTER (WHERE l_returnflag = 'R') AS status_r, count(DISTINCT l_suppkey) AS teams, count(DISTINCT (l_partkey, l_suppkey)) AS pairs, count(*) FILTER (WHERE l_quantity IS NULL) AS no_quantity FROM e GROUP BY season), m AS (SELECT list_sort(list(reports))[count(*) // 2 + 1] AS middle, list_sort(list(substantive))[count(*) // 2 + 1] AS mid_s, list_sort(list(coalesce(pairs, 0)))[count(*) // 2 + 1] AS many FROM a LEFT JOIN b USING (season))
+SELECT a.*, b.* EXCLUDE (season), coalesce(groups, 0) AS repeated_keys, coalesce(extra, 0) AS repeated_rows, reports < 0.3 * middle AS low_reports, substantive < 0.3 * mid_s AS low_substantive, coalesce(pairs, 0) < 0.3 * many AS low_pairs FROM a LEFT JOIN b USING (season) LEFT JOIN k USING (season), m""")
 def season_quality(spark, d):
     """RPT-04, AGG-04/06..11/18/26: a season's reports, entries and repeats in grouped passes, with a flag for few reports."""
-    r = _per_report(spark, d)
+    # Lines of an order meet once, by its key: all that follows aggregates orders, or what an order has distinct.
+    lines = table(spark, d, "lineitem").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(
+        F.count("*").alias("n"), *(F.count_if(F.col("l_returnflag") == f).alias(f"status_{f.lower()}") for f in "ANR"), F.count_if(F.col("l_quantity").isNull()).alias("no_quantity"),
+        F.collect_set(F.struct("l_partkey", "l_suppkey")).alias("pairs"), F.collect_set(F.when(F.col("l_returnflag") == "R", F.struct("l_partkey", "l_suppkey"))).alias("games"),
+    )
+    counts = ("status_a", "status_n", "status_r", "no_quantity")
+    per_order = lines.groupBy("l_orderkey").agg(
+        F.sum("n").alias("entries"), *(F.sum(c).alias(c) for c in counts), F.count_if(F.col("n") > 1).alias("repeated_keys"), F.sum(F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0)).alias("repeated_rows"),
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.size(F.array_distinct(F.flatten(F.collect_list("games")))).cast("long").alias("games"),
+    )
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_custkey", dates.season(F.col("o_orderdate")).alias("season"))
+    r = orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left").na.fill(0, ["entries", "games"])
     per = r.groupBy("season").agg(
         F.count("*").alias("reports"), F.count_if(F.col("entries") == 0).alias("empty_reports"), F.countDistinct(F.to_date("o_orderdate")).alias("report_days"), F.countDistinct("o_custkey").alias("players"),
-        F.to_date(F.min("o_orderdate")).alias("first_day"), F.to_date(F.max("o_orderdate")).alias("last_day"), F.sum("entries").alias("entries"), F.sum("substantive").alias("substantive"),
+        F.to_date(F.min("o_orderdate")).alias("first_day"), F.to_date(F.max("o_orderdate")).alias("last_day"), F.sum("entries").alias("entries"), F.coalesce(F.sum("status_r"), F.lit(0)).alias("substantive"),
         F.min("entries").alias("least_entries"), F.max("entries").alias("most_entries"), F.round(F.percentile("entries", 0.5), 2).alias("median_entries"), F.round(F.sum("entries") / F.count("*"), 2).alias("mean_entries"),
-        F.round(F.try_divide(F.sum("substantive") * 100.0, F.sum("entries")), 2).alias("substantive_percent"), F.max("games").alias("most_games"),
+        F.round(F.try_divide(F.sum("status_r") * 100.0, F.sum("entries")), 2).alias("substantive_percent"), F.max("games").alias("most_games"),
+        *(F.sum(c).alias(c) for c in counts), F.coalesce(F.sum("repeated_keys"), F.lit(0)).alias("repeated_keys"), F.coalesce(F.sum("repeated_rows"), F.lit(0)).alias("repeated_rows"),
     )
-    e = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", dates.season(F.col("o_orderdate")).alias("season")), F.col("l_orderkey") == F.col("o_orderkey"))
-    flags = e.groupBy("season").agg(
-        *(F.count_if(F.col("l_returnflag") == f).alias(f"status_{f.lower()}") for f in "ANR"), F.countDistinct("l_suppkey").alias("teams"), F.countDistinct(F.struct("l_partkey", "l_suppkey")).alias("pairs"), F.count_if(F.col("l_quantity").isNull()).alias("no_quantity")
-    )
-    again = e.groupBy("season", "l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1").groupBy("season").agg(F.count("*").alias("repeated_keys"), F.sum(F.col("n") - 1).alias("repeated_rows"))
-    out = per.join(flags, "season", "left").join(again, "season", "left").na.fill(0, ["repeated_keys", "repeated_rows"])
-    middle = per.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY reports DESC)").alias("middle"))  # one row
-    return out.join(F.broadcast(middle)).withColumn("low", F.col("reports") < 0.9 * F.col("middle")).drop("middle")
+    # Distinct over a season: what is distinct in its orders, distinct again before anything is counted.
+    distinct = r.select("season", F.explode("pairs").alias("p")).groupBy("season").agg(F.countDistinct("p.l_suppkey").alias("teams"), F.countDistinct("p").alias("pairs"))
+    return admission.low_flags(per.join(distinct, "season", "left"), "reports", "substantive", "pairs")
 
 
 @register("restoration_audit", f"""SELECT 'status' AS metric, o_orderstatus AS key, count(*)::VARCHAR AS value FROM orders GROUP BY ALL UNION ALL SELECT 'season', {_season_sql(10)}, count(*)::VARCHAR FROM orders GROUP BY ALL

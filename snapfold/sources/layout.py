@@ -63,7 +63,7 @@ def is_date(cell: Column) -> Column:
 
 
 def is_time(cell: Column) -> Column:
-    return cell.rlike(r"^[0-9]{1,2}:[0-9]{2} \(ET\)$")
+    return cell.rlike(r"^[0-9]{1,2}:[0-9]{2}(?:\s*\(ET\))?$")
 
 
 def is_matchup(cell: Column) -> Column:

@@ -81,14 +81,8 @@ def placed_lines(words: DataFrame) -> DataFrame:
     return data.withColumn("begins", ((F.col("player") != "") & (F.col("status") != "")) | whole)
 
 
-def entries(words: DataFrame) -> DataFrame:
-    """One row an entry: doc_id, page_number, row_number, game_date, game_time (seconds), matchup, team, player_name, status,
-    reason_category, raw_reason, previous_status, previous_reason, raw_row_text, entry_type, format_version.
-
-    Date, time, matchup and team hold until others follow. A line of a team's name alone, just under an entry, goes on
-    with its team. Any other line goes to the nearest entry of its page, of two as near to the one above, and without
-    one on its page to the one before. Entries without a player or a game are left out.
-    """
+def _joined(words: DataFrame) -> DataFrame:
+    """Entries put together from their lines, with ``whole``: whether they have a player, if they need one, and a game."""
     order = W.partitionBy("doc_id").orderBy("page", "line")
     so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     rest = order.rowsBetween(W.currentRow, W.unboundedFollowing)
@@ -101,7 +95,7 @@ def entries(words: DataFrame) -> DataFrame:
     down = F.col("top") - F.col("above.top")
     lines = lines.withColumn("wraps", ~F.col("begins") & alone & F.coalesce((F.col("above.page") == F.col("page")) & (down > 0) & (down <= TEAM_WRAP), F.lit(False)))
 
-    held = {"date": layout.is_date(F.col("date")), "time": F.col("time").rlike(r"^\d{1,2}:\d{2}(?:\s*\(ET\))?$"), "matchup": layout.is_matchup(F.col("matchup")), "team": (F.col("team") != "") & ~F.col("wraps")}
+    held = {"date": layout.is_date(F.col("date")), "time": layout.is_time(F.col("time")), "matchup": layout.is_matchup(F.col("matchup")), "team": (F.col("team") != "") & ~F.col("wraps")}
     lines = lines.withColumns({f"game_{f}": F.last(F.when(ok, F.col(f)), ignorenulls=True).over(so_far) for f, ok in held.items()} | {"spell": F.count_if(held["team"]).over(so_far)})
     # The further lines of a team's name, up to those under the entry itself.
     by_spell = W.partitionBy("doc_id", "spell").orderBy("entry").rangeBetween(W.unboundedPreceding, W.currentRow)
@@ -121,7 +115,19 @@ def entries(words: DataFrame) -> DataFrame:
     said = F.upper(F.concat_ws(" ", "player", "status", "category", "why.reason"))
     kind = F.when(said.contains(ALL_IN), "all_available").when(said.contains(NONE_YET), "not_submitted").otherwise("player")
     game_day = F.to_date(F.try_to_timestamp("game_date", F.lit("MM/dd/yyyy")))
-    good = joined.withColumns({"entry_type": kind, "day": game_day}).where(F.col("day").isNotNull() & F.col("game_matchup").isNotNull() & (F.col("game_team") != "") & ((F.col("entry_type") != "player") | (F.col("player") != "")))
+    in_game = F.col("day").isNotNull() & F.col("game_matchup").isNotNull() & (F.coalesce("game_team", F.lit("")) != "")
+    return joined.withColumns({"entry_type": kind, "day": game_day}).withColumn("whole", in_game & ((F.col("entry_type") != "player") | (F.col("player") != "")))
+
+
+def entries(words: DataFrame) -> DataFrame:
+    """One row an entry: doc_id, page_number, row_number, game_date, game_time (seconds), matchup, team, player_name, status,
+    reason_category, raw_reason, previous_status, previous_reason, raw_row_text, entry_type, format_version.
+
+    Date, time, matchup and team hold until others follow. A line of a team's name alone, just under an entry, goes on
+    with its team. Any other line goes to the nearest entry of its page, of two as near to the one above, and without
+    one on its page to the one before. Entries without a player or a game are left out here, and ``documents`` says so.
+    """
+    good = _joined(words).where("whole")
     is_player, all_in = F.col("entry_type") == "player", F.col("entry_type") == "all_available"
     clock = F.regexp_extract("game_time", r"^(\d{1,2}):(\d{2})", 1).try_cast("int") * 3600 + F.regexp_extract("game_time", r"^(\d{1,2}):(\d{2})", 2).try_cast("int") * 60
     filled = lambda c: F.nullif(c, F.lit(""))
@@ -146,13 +152,15 @@ def documents(words: DataFrame) -> DataFrame:
     lines = page_lines(words).withColumn("header", header(F.col("words"), F.col("raw")))
     stamp = F.when(F.col("raw").rlike(STAMP), F.concat_ws(" ", *(F.regexp_extract("raw", STAMP, i) for i in (1, 2, 3))))
     first = lines.groupBy("doc_id").agg(F.min(F.when(F.col("header").isNotNull(), F.col("page"))).alias("first_header"), F.min("page").alias("first_page"), F.min_by(stamp, F.when(stamp.isNotNull(), F.struct("page", "line"))).alias("stamp"), F.collect_set("header.version").alias("versions"), F.bool_or(F.col("header").isNotNull() & F.col("header.version").isNull()).alias("cut"))
-    made = entries(words).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if((F.col("entry_type") == "player") & ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))).alias("odd"))
+    odd = F.col("whole") & (F.col("entry_type") == "player") & ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
+    made = _joined(words).groupBy("doc_id").agg(F.count_if("whole").alias("n"), F.count_if(~F.col("whole")).alias("lost"), F.count_if(odd).alias("odd"))
     both = first.join(made, "doc_id", "left")
     problem = (
         F.when(F.col("stamp").isNull(), "no time of the report")
         .when(F.coalesce(F.col("first_header") > F.col("first_page"), F.lit(True)), "no table header on the first page")
         .when(F.col("cut"), "incomplete table header")
         .when(F.size("versions") > 1, "several layouts")
+        .when(F.col("lost") > 0, "entry without a game, team or player")
         .when(F.coalesce("n", F.lit(0)) == 0, "no entries")
         .when(F.col("odd") > 0, "unknown status")
     )
