@@ -588,6 +588,18 @@ def optimal_match(spark, d):
     return matching.optimal_match(o.where("status = 'Available'").drop("status"), o.where("status = 'Out'").drop("status"))
 
 
+@register("match_summary", """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, date_diff('day', DATE '2024-01-01', ts::DATE) AS day, event_type = 'purchase' AS is_left FROM events),
+s AS (SELECT key, list(day ORDER BY day, id) FILTER (is_left) AS l, list(day ORDER BY day, id) FILTER (NOT is_left) AS r FROM e GROUP BY key HAVING count(*) FILTER (is_left) > 0 AND count(*) FILTER (NOT is_left) > 0),
+-- best[j]: a million for each pair less its days apart, of the left rows from i on and the right rows from j on.
+f AS (SELECT key, l, r, len(l) AS i, list_transform(range(len(r) + 1), lambda j: 0::BIGINT) AS best FROM s
+UNION ALL SELECT key, l, r, i - 1, list_transform(range(1, len(r) + 2), lambda j: list_max(list_transform(range(j, len(r) + 2), lambda k: greatest(best[k], CASE WHEN k <= len(r) AND abs(l[i] - r[k]) <= 7 THEN best[k + 1] + 1000000 - abs(l[i] - r[k]) ELSE 0 END)))) FROM f WHERE i > 0),
+t AS (SELECT key, best[1] AS v FROM f WHERE i = 0 AND best[1] > 0)
+SELECT key, (v + 999999) // 1000000 AS pairs, (v + 999999) // 1000000 * 1000000 - v AS days_apart FROM t""")
+def match_summary(spark, d):
+    """JON-16, CND-09, RPT-08, UDF-05: how many pairs a key's best matching has, and how many days they lie apart."""
+    return matching.match_summary(optimal_match(spark, d))
+
+
 @register("classify_reasons", rule_sql.reasons_sql())
 def classify_reasons(spark, d):
     """CND-01..03, UDF-01: classify distinct reasons once, then join back."""

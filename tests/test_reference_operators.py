@@ -279,6 +279,23 @@ def test_matching_of_long_dense_sides_is_optimal():
         assert matching.assign(a, b) == list(whole_match(a, b))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_matching_in_blocks_equals_the_whole_history(spark, seed):
+    """Histories of months without a gap, ids that rise with no day, many ties: block by block as in one piece."""
+    import random
+
+    rng = random.Random(seed)
+    schema = "key long, id long, day date, part string, kind string, laterality string, reason string"
+    side = lambda n: [(i % 2 or None, 1000 - i if i % 3 else i, day("2024-01-01") + datetime.timedelta(rng.randint(0, 70)), rng.choice([None, "leg", "shin"]), rng.choice(["pain", "sprain"]), None, rng.choice(["a b", "a c"])) for i in range(n)]
+    a, b = side(160), side(130)
+    got = {(r.key, r.left_id, r.right_id) for r in matching.optimal_match(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), most=20).collect()}
+    want = set()
+    for key in (1, None):
+        x, y = (sorted((dict(zip(schema.replace(",", "").split()[::2], r, strict=True)) for r in rows if r[0] == key), key=lambda e: (e["day"], e["id"])) for rows in (a, b))
+        want |= {(key, x[i]["id"], y[j]["id"]) for i, j in matching.assign(x, y)}
+    assert got == want and len(got) > 80
+
+
 # --- writes
 
 
