@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snapfold.functions import dates
 from snapfold.functions import text as X
-from snapfold.operators import admission, matching, states, window_dedup
+from snapfold.operators import admission, matching, states, versioned, window_dedup
 from snapfold.plans import serve
 from snapfold.plans.catalogue import _season_sql, table
 from snapfold.registry import register
@@ -369,3 +370,46 @@ def report_problems(spark, d):
     words, k = _report_words(spark, d), F.col("doc_id").cast("int") % 4
     lost = ((k == 1) & (F.col("top") == 50)) | ((k == 2) & (F.col("top") == 90)) | ((k == 3) & (F.col("top") > 90))
     return report.documents(words.where(~lost)).select("doc_id", F.col("problem").isNull().alias("readable"), "problem")
+
+
+# --- changes of several tables at once
+
+_CASCADE = """WITH old AS (SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k > 1),
+kept AS (SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM old)) """
+
+
+def _superseded(spark, d) -> versioned.Tables:
+    """Orders, their lines, links of the lines to suppliers and the parts, after all but each customer's last order went."""
+    lines = table(spark, d, "lineitem").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    links = lines.select("line_id", F.col("l_suppkey").alias("supplier")).distinct()
+    tables = versioned.Tables(spark, scratch(spark))
+    tables.put({"orders": (table(spark, d, "orders"), "o_orderkey"), "lines": (lines, "l_orderkey"), "links": (links, "line_id"), "parts": (table(spark, d, "part"), "p_partkey")})
+    place = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    old = table(spark, d, "orders").select("o_orderkey", place.alias("k")).where("k > 1").select("o_orderkey")
+    hang = (versioned.Link("lines", "l_orderkey", "orders", "o_orderkey"), versioned.Link("links", "line_id", "lines", "line_id"))
+    tables.delete("orders", old, hang, (versioned.Unused("parts", "p_partkey", (("lines", "l_partkey"),)),))
+    return tables
+
+
+@register("cascade_parents", _CASCADE + "SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM old)")
+def cascade_parents(spark, d):
+    """STA-04, DML-08: superseded reports go."""
+    return _superseded(spark, d).read("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+
+
+@register("cascade_children", _CASCADE + "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM kept")
+def cascade_children(spark, d):
+    """DML-08: what hangs on them goes with them."""
+    return _superseded(spark, d).read("lines").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@register("cascade_links", _CASCADE + "SELECT DISTINCT l_orderkey || '-' || l_linenumber AS line_id, l_suppkey AS supplier FROM kept")
+def cascade_links(spark, d):
+    """DML-08, SNK-08: and the links of what hangs on them."""
+    return _superseded(spark, d).read("links")
+
+
+@register("cascade_unused", _CASCADE + "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM kept)")
+def cascade_unused(spark, d):
+    """DML-08: dimension rows that nobody names any more go last."""
+    return _superseded(spark, d).read("parts").select("p_partkey", "p_name")
