@@ -64,6 +64,11 @@ LEXICON = {
     "share": "share social follow tweet facebook",
 }
 EXACT = {"ad": "advert", "ads": "advert", "adv": "advert"}
+#: What a role says, whatever its letters begin with.
+ROLES = {
+    "contentinfo": "foot", "banner": "head", "navigation": "menu", "menubar": "menu", "complementary": "side", "search": "form", "form": "form", "alert": "notice", "alertdialog": "notice", "dialog": "notice",
+    "main": "content", "article": "content", "document": "content",
+}
 GROUPS = {t: i for i, t in enumerate(["article main", "nav menu", "header head", "footer", "aside", "form fieldset button select option label textarea legend dialog", "section", "div center", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "table thead tbody tfoot tr", "td th caption", "blockquote pre figure figcaption", "html body", "#text"])}
 TAG_GROUP = {tag: i for names, i in GROUPS.items() for tag in names.split()}
 OTHER_GROUP = len(GROUPS)
@@ -71,6 +76,7 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*
 _ATTRS = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _MARKS = re.compile(r"[.,;:!?]")
+_LEGAL = re.compile(r"©|\bcopyright\b|\ball rights reserved\b|\bterms of (?:use|service)\b|\bprivacy policy\b", re.I)
 _NUMBER = re.compile(r"&#(?=[0-9]{8})0*+([0-9]*)")
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW | SKIPPED}
 
@@ -97,7 +103,9 @@ def token_mask(attrs: str) -> int:
     for name, a, b, c in _ATTRS.findall(attrs):
         value = a or b or c
         name = name.lower()
-        if name in ("class", "id", "role", "itemprop", "aria-label", "data-component"):
+        if name == "role":
+            mask |= sum(1 << list(LEXICON).index(subject) for subject in {ROLES[r] for r in value.lower().split() if r in ROLES})
+        elif name in ("class", "id", "itemprop", "aria-label", "data-component"):
             for token in _TOKEN.findall(value):
                 token = token.lower()
                 if token in EXACT:
@@ -113,11 +121,11 @@ def token_mask(attrs: str) -> int:
 class Page:
     """Block elements of a page in page order, and its runs of text."""
 
-    __slots__ = ("chars", "depth", "group", "label", "last", "links", "marks", "mask", "parent", "pieces", "words")
+    __slots__ = ("chars", "depth", "group", "label", "last", "legal", "links", "marks", "mask", "parent", "pieces", "words")
 
     def __init__(self, source: str, training: bool = False):
         self.parent, self.depth, self.group, self.mask, self.label = [-1], [0], [TAG_GROUP["html"]], [0], [-1]
-        self.chars, self.links, self.marks, self.words, self.last = [0], [0], [0], [0], [0]
+        self.chars, self.links, self.marks, self.words, self.legal, self.last = [0], [0], [0], [0], [0], [0]
         self.pieces: list[tuple[int, str]] = []  # (node, decoded text of one block)
         self._scan(source, training)
         end = list(range(1, len(self.parent) + 1))  # one past the last descendant
@@ -132,7 +140,7 @@ class Page:
         self.group.append(TAG_GROUP.get(tag, OTHER_GROUP))
         self.mask.append(mask)
         self.label.append(label)
-        for column in (self.chars, self.links, self.marks, self.words):
+        for column in (self.chars, self.links, self.marks, self.words, self.legal):
             column.append(0)
         return len(self.parent) - 1
 
@@ -169,6 +177,7 @@ class Page:
                     self.links[node] += min(linked, len(text))
                     self.marks[node] += len(_MARKS.findall(text))
                     self.words[node] += text.count(" ") + 1
+                    self.legal[node] += len(_LEGAL.findall(text))
                     self.pieces.append((node, text))
                 run.clear()
             linked = 0
@@ -277,12 +286,13 @@ def features(pages: list[Page]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     n = len(parent)
     up = np.where(parent >= 0, parent, np.arange(n))
     total = {}
-    for name in ("chars", "links", "marks", "words"):
+    for name in ("chars", "links", "marks", "words", "legal"):
         sums = np.concatenate([[0], np.cumsum(join(name))])
         total[name] = (sums[last] - sums[np.arange(n)]).astype(float)
         total[f"before_{name}"] = (sums[:-1] - sums[start]).astype(float)
     nodes = (last - np.arange(n)).astype(float)
     page_chars = total["chars"][start]
+    behind = page_chars - total["before_chars"] - total["chars"]
     siblings = np.bincount(up, minlength=n)[up].astype(float)
     key = up * (OTHER_GROUP + 1) + group
     _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
@@ -307,7 +317,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         depth, np.log1p(total["chars"]), total["links"] / np.maximum(total["chars"], 1), np.log1p(nodes), np.log1p(total["chars"] / nodes),
         total["marks"] / np.maximum(total["words"], 1), total["words"] / nodes, np.log1p(paragraphs), np.log1p(siblings), same / np.maximum(siblings, 1),
         np.log1p(np.maximum(level_rank, 0)), np.log1p(mean_sibling), total["chars"] / np.maximum(total["chars"][up], 1), total["before_chars"] / np.maximum(page_chars, 1),
-        total["chars"] / np.maximum(page_chars, 1), in_article, in_boiler, total["links"][up] / np.maximum(total["chars"][up], 1),
+        total["chars"] / np.maximum(page_chars, 1), behind / np.maximum(page_chars, 1), behind == 0, total["legal"] / np.maximum(total["words"], 1), total["legal"] > 0, in_article, in_boiler, total["links"][up] / np.maximum(total["chars"][up], 1),
         group[:, None] == np.arange(OTHER_GROUP + 1), (mask[:, None] >> bits) & 1, (around[:, None] >> bits) & 1,
     ]).astype(np.float32)
     return X, {"parent": up, "levels": levels, "start": start, "chars": total["chars"], "label": join("label"), "sizes": sizes}
@@ -355,7 +365,7 @@ def training_pages(n: int = 400, seed: int = 7) -> Iterator[str]:
         return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) + rng.choice(["", "", "", ","]) for _ in range(rng.randint(low, high)))
 
     def sentence(low=1, high=18):
-        return words(low, high).capitalize() + rng.choice(".....!?") + rng.choice(["", "", "", "***", "&amp;&amp;", "$$$", "###"])
+        return words(low, high).capitalize() + rng.choice(".....!?")
 
     def prose(low=1, high=9):
         text = " ".join(sentence() for _ in range(rng.randint(low, high)))
@@ -377,7 +387,26 @@ def training_pages(n: int = 400, seed: int = 7) -> Iterator[str]:
     def links(k):
         return "<ul>" + "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(k)) + "</ul>"
 
+    def legal():
+        mark = rng.choice(["&copy;", "Copyright", "Copyright &copy;", "(c)"])
+        return f"{mark} {rng.randint(1990, 2030)} {words(1, 3)}. " + rng.choice(["All rights reserved.", "", "Privacy policy", f'<a href="/t">Terms of use</a> | <a href="/p">{words(1, 2)}</a>'])
+
+    def bare(kind):
+        """Boilerplate that no name gives away: its role, its place, its links or its words do."""
+        if kind == "foot":
+            inner = rng.choice([legal(), f"<p>{legal()}</p>", f"<div>{legal()}</div>", f"{words(1, 2)} | {legal()}"])
+        elif kind == "head":
+            inner = rng.choice([words(1, 3), f'<a href="/">{words(1, 3)}</a>'])
+        else:
+            inner = rng.choice([links(rng.randint(2, 8)), " | ".join(f'<a href="/{i}">{words(1, 2)}</a>' for i in range(rng.randint(2, 7)))])
+        role = {"foot": "contentinfo", "head": "banner", "menu": "navigation", "side": "complementary"}[kind]
+        if rng.random() < 0.5:
+            return wrap("div", f' role="{role}"', rng.choice([inner, words(1, 3), f"<p>{sentence()}</p>"]), 0)
+        return wrap(rng.choice(["div", "div", "p"]) if "<p>" not in inner and "<div>" not in inner and "<ul>" not in inner else "div", "", inner, 0)
+
     def boiler(kind):
+        if kind in ("foot", "menu", "side", "head") and rng.random() < 0.3:
+            return bare(kind)
         if kind == "menu":
             tag, attrs = rng.choice([("nav", ""), ("nav", ' class="menu"'), named("menu")])
             return wrap(tag, attrs, links(rng.randint(2, 9)), 0)
@@ -386,7 +415,7 @@ def training_pages(n: int = 400, seed: int = 7) -> Iterator[str]:
             return wrap(tag, attrs, rng.choice([f"<h1>{words(1, 4)}</h1>", f"<p>{words(1, 5)}</p>"]) + (links(3) if rng.random() < 0.4 else ""), 0)
         if kind == "foot":
             tag, attrs = rng.choice([("footer", ""), ("footer", ""), named("foot")])
-            return wrap(tag, attrs, rng.choice(["&copy; ", "", "<p>"]) + rng.choice([sentence(), prose(1, 4)]) + (links(3) if rng.random() < 0.3 else ""), 0)
+            return wrap(tag, attrs, rng.choice(["&copy; ", "", "<p>"]) + rng.choice([sentence(), prose(1, 4), legal()]) + (links(3) if rng.random() < 0.3 else ""), 0)
         if kind == "side":
             tag, attrs = rng.choice([("aside", ""), ("aside", ' class="sidebar"'), named("side")])
             return wrap(tag, attrs, f"<h3>{words(1, 4)}</h3>" + rng.choice([links(rng.randint(2, 6)), f"<p>{prose(1, 4)}</p>"]), 0)
@@ -405,7 +434,10 @@ def training_pages(n: int = 400, seed: int = 7) -> Iterator[str]:
     def article():
         body = []
         if rng.random() < 0.85:
-            body.append(f"<h1>{words(1, 12)}</h1>")
+            title = f"<h1>{words(1, 12)}</h1>"
+            if rng.random() < 0.25:
+                title = "<header>" + title + rng.choice(["", f"<p>{words(1, 6)}</p>", f"<p>{sentence()}</p>", f"<div>{words(2, 5)}</div>"]) + "</header>"
+            body.append(title)
         close = "</p>" if rng.random() < 0.7 else ""
         for _ in range(rng.randint(1, 14)):
             r = rng.random()
@@ -426,13 +458,18 @@ def training_pages(n: int = 400, seed: int = 7) -> Iterator[str]:
         for kind in ("advert", "share", "join", "side", "notice", "comment", "form"):
             if rng.random() < 0.09:
                 body.insert(rng.randint(0, len(body)), boiler(kind))
-        tag, attrs = rng.choice([("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("main", ' id="content"'), named("content"), named("content"), ("div", ""), ("section", "")])
+        if rng.random() < 0.12:  # straight in the page's body
+            return "".join(re.sub(r"^<([a-z0-9]+)>", r'<\1 data-y="1">', part) for part in body)
+        tag, attrs = rng.choice([("article", ""), ("article", ""), ("article", ' class="post"'), ("div", ' role="main"'), ("div", ' role="article"'), ("main", ""), ("main", ' id="content"'), named("content"), named("content"), ("div", ""), ("section", "")])
         inner = "".join(body)
         if rng.random() < 0.15:
             inner = f"<div>{inner}</div>"
         return wrap(tag, attrs, inner, 1)
 
-    for _ in range(n):
+    for i in range(n):
+        if i % 25 == 0:  # nothing but text
+            yield f'<html><body data-y="1">{rng.choice([prose(1, 6), f"<pre>{prose(1, 4)}</pre>", "".join(f"<p>{prose(1, 3)}</p>" for _ in range(rng.randint(1, 5)))])}</body></html>'
+            continue
         before = [boiler(k) for k in ("head", "menu", "notice", "advert", "form", "side", "join") if rng.random() < 0.4]
         after = [boiler(k) for k in ("side", "share", "comment", "advert", "join", "form", "notice", "foot", "menu") if rng.random() < 0.4]
         rng.shuffle(before)

@@ -15,6 +15,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapfold.llm import spans as S
+from snapfold.llm.common import cut, spread
+
 # Paragraphs of public licences that stand in several templates.
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
 _MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
@@ -143,6 +146,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
         value = 2.0 * F.size(F.array_intersect("pairs", F.array(*map(F.lit, c.bigrams)))) / (size + len(c.bigrams))
         dice.append(F.when(within, F.struct(value.alias("dice"), F.lit(c.license).alias("license"))))
     hits = each.select("doc_id", "key", F.explode(F.filter(F.array_compact(F.array(*dice)), lambda x: x["dice"] >= threshold)).alias("x"))
-    best = hits.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.min(F.struct((-F.col("x.dice")).alias("order"), F.col("x.license").alias("license"))).alias("best"), F.count_distinct("x.license").alias("n"))
-    out = rows.select("doc_id", "key").join(best, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")), "left")
+    best = hits.groupBy(S.row_key("doc_id", "key").alias("row_key")).agg(F.min(F.struct((-F.col("x.dice")).alias("order"), F.col("x.license").alias("license"))).alias("best"), F.count_distinct("x.license").alias("n"))
+    every = cut(rows.select("doc_id", S.row_key("doc_id", "key").alias("row_key")))
+    out = spread(every, "row_key")(best, "left")  # rows equal in id and text may be a great part of all
     return out.select("doc_id", F.col("best.license").alias("license"), F.round(-F.col("best.order"), 6).alias("dice"), F.coalesce("n", F.lit(0)).cast("long").alias("n_licenses"))

@@ -27,7 +27,8 @@ from snapfold.llm.common import cut, heavy_groups
 
 LENGTH, END, GROUP = 2048, 0, 4096
 #: Runs of white space over this length are beyond tiktoken (its pattern search runs out of stack at a million): such texts go to tokenizers.
-#: Both read the same vocabulary, merges and pattern, so the ids are the same; only the time differs.
+#: Both read the same vocabulary, merges and pattern, so the ids are the same; only the time differs. Texts that hold the
+#: string of a special token go to tokenizers as well, which reads it as that token.
 SPACES = 50_000
 
 
@@ -43,9 +44,10 @@ class Capacity(NamedTuple):
 
 @lru_cache(maxsize=2)
 def encoder(ranks: str, pattern: str, whole: str | None = None):
-    """ids of one text, from a file of byte-pair ranks. Special tokens' strings in a text are ordinary text.
+    """ids of one text, from a file of byte-pair ranks.
 
-    whole: the same vocabulary as a file for tokenizers, slower, for texts with runs of white space over SPACES.
+    whole: the same vocabulary as a file for tokenizers, slower, for texts with runs of white space over SPACES or with
+    the string of a special token in them. Without it such strings are ordinary text.
     """
     import tiktoken
 
@@ -54,16 +56,18 @@ def encoder(ranks: str, pattern: str, whole: str | None = None):
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
     if whole is None:
         return fast
-    slow = spacious_encoder(whole)
-    return lambda t: slow(t) if len(t) > SPACES and max((m.end() - m.start() for m in re.finditer(r"\s{2,}", t)), default=0) > SPACES else fast(t)
+    slow, special = whole_encoder(whole)
+    odd = lambda t: any(s in t for s in special) or len(t) > SPACES and max((m.end() - m.start() for m in re.finditer(r"\s{2,}", t)), default=0) > SPACES
+    return lambda t: slow(t) if odd(t) else fast(t)
 
 
-def spacious_encoder(whole: str):
+def whole_encoder(whole: str):
+    """ids of one text by tokenizers, and the strings that it reads as one token wherever they stand."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(whole)
-    tokenizer.encode_special_tokens = True
-    return lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    added = [str(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    return lambda t: tokenizer.encode(t, add_special_tokens=False).ids, added
 
 
 def cuts(n: int, length: int) -> list[tuple[int, int]]:

@@ -72,6 +72,8 @@ def discover(base: DataFrame, others: DataFrame, confidence: float = CONFIDENCE,
     edges = cut(spread(cut(loose.select("context", "value")), "context")(strong.select("context", "kind")))
     trust = strong.join(edges.groupBy("context", "kind").agg(F.count("*").alias("loose")), ["context", "kind"], "left")
     trust = cut(trust.select("context", "kind", "seeds", (F.col("any") + F.coalesce("loose", F.lit(0))).alias("all")))
+    believed = lambda: F.struct("value", "kind")
+    by_value = spread(edges.select("context", "kind", believed().alias("believed")), "believed")  # an identifier may stand in many contexts
     by_context, mass = spread(edges, "context"), trust.select("context", "kind", F.lit(0.0).alias("mass"))
     for _ in range(rounds):
         sure = (F.col("seeds") + F.coalesce("mass", F.lit(0.0))) / F.col("all")
@@ -80,7 +82,7 @@ def discover(base: DataFrame, others: DataFrame, confidence: float = CONFIDENCE,
         known = by_context(by_kind).select("context", "value", "kind", F.col("by_kind")[F.col("kind")].alias("confidence"))
         doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
         belief = cut(known.groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("belief")))
-        mass = edges.join(belief, ["value", "kind"]).groupBy("context", "kind").agg(F.sum("belief").alias("mass"))
+        mass = by_value(belief.select(believed().alias("believed"), "belief")).groupBy("context", "kind").agg(F.sum("belief").alias("mass"))
     found = known.where(F.col("confidence") >= confidence).join(belief.where(F.col("belief") >= confidence), ["value", "kind"])
     return found.select("kind", "value", "context").distinct()
 
@@ -108,8 +110,8 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     free = free.select(*keys, "start", (F.col("end") - tail).alias("end"), F.left("value", F.length("value") - tail).alias("value"), "patterns")
     free = cut(free.where("value != ''"))
     more = discover(base.select("kind", "value", F.explode("patterns").alias("context")), free.select("value", F.explode("patterns").alias("context")))
-    pairs = free.select(*keys, "start", "end", "value", F.explode("patterns").alias("context"))
-    added = pairs.join(more, ["value", "context"]).select(*keys, "kind", "start", "end", F.lit(False).alias("base"))
+    pairs = free.select(*keys, "start", "end", "value", F.explode("patterns").alias("context")).select(*keys, "start", "end", F.struct("value", "context").alias("place"))
+    added = spread(pairs, "place")(more.select(F.struct("value", "context").alias("place"), "kind")).select(*keys, "kind", "start", "end", F.lit(False).alias("base"))
     return base.select(*keys, "kind", "start", "end", F.lit(True).alias("base")).union(added.distinct())
 
 

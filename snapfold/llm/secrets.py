@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapfold.llm import spans as S
-from snapfold.llm.common import columns_of, cut, fresh, shared_dir, spread
+from snapfold.llm.common import columns_of, cut, fresh, register, shared_dir, spread
 
 
 class Rule(NamedTuple):
@@ -99,7 +99,10 @@ def scan(versions: DataFrame, ledger: str, text: str = "text", rules: Mapping[st
 
 
 def new_ledger(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    """The path of an empty ledger. It goes with the intermediate tables when they are released; a ledger to keep has a path of its own."""
+    path = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    register(path)
+    return path
 
 
 def report(docs: DataFrame, ledger: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

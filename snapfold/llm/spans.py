@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from snapfold.llm.common import cut, spread
+
 #: Stands on both sides of a match. Where a text holds it itself, another character no pattern knows takes its place.
 MARK, STAND_IN = "\u0001", "�"
 
@@ -29,6 +31,12 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.lit(3), F.coalesce(text, F.lit("")))
 
 
+def row_key(doc_id: str, key: Column | str) -> Column:
+    """An id, null or not, and the key of its text as one value that equals itself."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), key.alias("text"))
+
+
 def pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(F.translate(text, MARK, STAND_IN), pattern, f"{MARK}$0{MARK}"), MARK, -1)
 
@@ -95,8 +103,9 @@ def joined(only: Column, names: list[str]) -> Column:
 def digest(docs: DataFrame, spans: DataFrame, names: list[str], doc_id: str, text: str) -> DataFrame:
     """One row per row of docs: doc_id, n_<kind>, base_sha256, spans. spans: (doc_id, text_key, kind, start, end, base)."""
     counts = [F.count_if((F.col("kind") == n) & F.col("base")).alias(f"n_{n}") for n in names]
-    per = spans.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(*counts, joined(F.col("base"), names).alias("base_"), joined(F.lit(True), names).alias("spans"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key"))
-    out = rows.join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left")
+    per = spans.groupBy("doc_id", "text_key").agg(*counts, joined(F.col("base"), names).alias("base_"), joined(F.lit(True), names).alias("spans"))
+    per = per.select(row_key("doc_id", "text_key").alias("row_key"), *(f"n_{n}" for n in names), "base_", "spans")
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text_key(F.col(text))).alias("row_key")))
+    out = spread(rows, "row_key")(per, "left")  # rows equal in id and text may be a great part of all
     none = F.lit("")
     return out.select("doc_id", *(F.coalesce(f"n_{n}", F.lit(0)).cast("long").alias(f"n_{n}") for n in names), F.sha2(F.coalesce("base_", none), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans"))
