@@ -12,6 +12,8 @@ from snapfold.operators import admission, episodes, latest, lookup, matching, up
 from snapfold.plans import rule_sql, serve
 from snapfold.registry import register
 from snapfold.sources import layout
+from snapfold.streaming import pairs
+from snapfold.tables import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,13 +165,33 @@ def lineage_subquery(spark, d):
     return a.join(o, a.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name", "lines", "first_part")
 
 
-@register("interval_candidates", """WITH a AS (SELECT user_id, event_id, ts::DATE AS day FROM events WHERE event_type = 'click'), b AS (SELECT user_id, event_id, ts::DATE AS day FROM events WHERE event_type = 'purchase')
-SELECT a.event_id, count(*) AS candidates, sum(CASE WHEN b.day < a.day THEN 1 ELSE 0 END)::BIGINT AS earlier FROM a JOIN b ON a.user_id = b.user_id AND abs(date_diff('day', a.day, b.day)) <= 7 GROUP BY a.event_id""")
+_INTERVALS = """WITH a AS (SELECT user_id, event_id, ts::DATE AS day FROM events WHERE event_type = 'click'), b AS (SELECT user_id, event_id, ts::DATE AS day FROM events WHERE event_type = 'purchase')
+SELECT a.event_id, count(*) AS candidates, sum(CASE WHEN b.day < a.day THEN 1 ELSE 0 END)::BIGINT AS earlier FROM a JOIN b ON a.user_id = b.user_id AND abs(date_diff('day', a.day, b.day)) <= 7 GROUP BY a.event_id"""
+
+
+@register("interval_candidates", _INTERVALS)
 def interval_candidates(spark, d):
     """JON-15: binned interval join."""
     e = table(spark, d, "events")
-    pairs = matching.candidates(e.where("event_type = 'click'"), e.where("event_type = 'purchase'").withColumnRenamed("event_id", "other_id"), "user_id", "ts", "event_id", "other_id")
-    return pairs.groupBy("event_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("right_day") < F.col("left_day")).alias("earlier"))
+    found = matching.candidates(e.where("event_type = 'click'"), e.where("event_type = 'purchase'").withColumnRenamed("event_id", "other_id"), "user_id", "ts", "event_id", "other_id")
+    return found.groupBy("event_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("right_day") < F.col("left_day")).alias("earlier"))
+
+
+@register("interval_candidates_stream", _INTERVALS)
+def interval_candidates_stream(spark, d):
+    """STA-03, JON-15 as a join of two streams: both sides replayed in order of time, with a restart in between."""
+    e = table(spark, d, "events")
+    folder = scratch(spark)
+    sides = {"clicks": e.where("event_type = 'click'"), "purchases": e.where("event_type = 'purchase'").withColumnRenamed("event_id", "other_id")}
+    half = e.agg(F.expr("date_add(min(ts), cast(datediff(max(ts), min(ts)) / 2 AS INT))").alias("half")).first().half
+    for part in (F.to_date("ts") < F.lit(half), F.to_date("ts") >= F.lit(half)):
+        streams = []
+        for name, rows in sides.items():
+            rows.where(part).write.mode("append").parquet(f"{folder}/{name}")
+            streams.append(spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}"))
+        pairs.run(pairs.candidates_stream(*streams, "user_id", "ts", "event_id", "other_id"), f"{folder}/pairs", f"{folder}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{folder}/pairs")
+    return found.groupBy("event_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("right_day") < F.col("left_day")).alias("earlier"))
 
 
 @register("three_way_split", """SELECT CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side, count(*) AS n FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority LIKE '1%') b ON a.k = b.k GROUP BY 1""")

@@ -13,6 +13,7 @@ from snapfold.plans import serve
 from snapfold.plans.catalogue import _season_sql, table
 from snapfold.registry import register
 from snapfold.sources import files, layout, publish, report
+from snapfold.streaming import candidates
 from snapfold.tables import scratch
 
 
@@ -276,6 +277,28 @@ def candidate_states(spark, d):
     return table(spark, d, "events").select("event_id", states.state(http, i % 7 != 0, F.when(i % 11 == 0, "bad table"), i % 2 == 0).alias("state"))
 
 
+_ANSWER_STATE = "CASE WHEN http IS NULL THEN 'discovered' WHEN http = 404 THEN 'missing' WHEN http <> 200 THEN 'http_failed' WHEN NOT doc THEN 'invalid_document' WHEN error IS NOT NULL THEN 'parse_failed' WHEN parsed THEN 'parsed' ELSE 'downloaded' END"
+
+
+@register("candidate_stream", f"""WITH c AS (SELECT user_id, ts, event_id, {_STATUS} AS http, event_id % 7 <> 0 AS doc, CASE WHEN event_id % 11 = 0 THEN 'bad table' END AS error, event_id % 2 = 0 AS parsed FROM events),
+a AS (SELECT user_id, ts, event_id, {_ANSWER_STATE} AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM c), f AS (SELECT *, state IN ('http_failed', 'parse_failed', 'invalid_document') AS failed FROM a),
+g AS (SELECT user_id, min(k) FILTER (NOT failed) AS good FROM f GROUP BY ALL), n AS (SELECT f.*, coalesce(good - 1, (SELECT count(*) FROM f y WHERE y.user_id = f.user_id)) AS failures FROM f JOIN g USING (user_id) WHERE k = 1),
+r AS (SELECT *, CASE WHEN failures BETWEEN 1 AND 2 THEN ts + to_hours(6 * failures) END AS retry_at FROM n)
+SELECT user_id AS key, CASE WHEN failures >= 3 THEN 'given_up' ELSE state END AS state, failures::INTEGER AS failures, retry_at, coalesce(retry_at <= (SELECT max(ts) FROM events), false) AS due, event_id AS answer FROM r""")
+def candidate_stream(spark, d):
+    """STA-05 as a stream: answers replayed in order of time, with a restart in between; retries become due by timers."""
+    i = F.col("event_id")
+    http = F.when(i % 5 == 1, 404).when(i % 5 == 2, 503).when(i % 5 > 2, 200)
+    answers = candidates.answers_of(table(spark, d, "events"), "user_id", "ts", "event_id", http, i % 7 != 0, F.when(i % 11 == 0, "bad table"), i % 2 == 0)
+    folder = scratch(spark)
+    half = answers.agg(F.expr("timestamp_micros((unix_micros(min(at)) + unix_micros(max(at))) div 2)").alias("half")).first().half
+    for part in (F.col("at") < F.lit(half), F.col("at") >= F.lit(half)):
+        answers.where(part).write.mode("append").parquet(f"{folder}/answers")
+        stream = spark.readStream.schema(answers.schema).parquet(f"{folder}/answers")
+        candidates.candidate_stream(stream, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return candidates.current(spark, f"{folder}/table").withColumn("retry_at", F.col("retry_at").cast("timestamp_ntz")).drop("at")
+
+
 @register("recomputed_versions", "SELECT doc_id, 1 AS quality, CASE WHEN quality = 1 THEN -1 ELSE length(text) END AS n_chars, quality IS DISTINCT FROM 1 AS updated FROM documents LEFT JOIN labels USING (doc_id)")
 def recomputed_versions(spark, d):
     """STA-06: rows of another version are computed again, the others stay."""
