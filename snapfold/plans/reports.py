@@ -12,7 +12,7 @@ from snapfold.operators import admission, matching, states, versioned, window_de
 from snapfold.plans import serve
 from snapfold.plans.catalogue import _season_sql, table
 from snapfold.registry import register
-from snapfold.sources import files, layout, publish, report
+from snapfold.sources import blobs, files, layout, publish, report
 from snapfold.streaming import candidates
 from snapfold.tables import scratch
 
@@ -436,3 +436,29 @@ def cascade_links(spark, d):
 def cascade_unused(spark, d):
     """DML-08: dimension rows that nobody names any more go last."""
     return _superseded(spark, d).read("parts").select("p_partkey", "p_name")
+
+
+# --- contents by hash
+
+
+def _stored(spark, d) -> blobs.BlobStore:
+    """Half of the texts, then all of them, then all once more."""
+    docs, store = table(spark, d, "documents"), blobs.BlobStore(spark, scratch(spark))
+    store.put(docs.where("doc_id % 2 = 0"), "text")
+    store.put(docs, "text")
+    store.put(docs, "text")
+    return store
+
+
+@register("blob_manifest", "SELECT sha256(text) AS hash, strlen(text)::BIGINT AS bytes FROM documents WHERE text IS NOT NULL GROUP BY text")
+def blob_manifest(spark, d):
+    """SNK-09: equal contents are stored once, however often they come."""
+    return _stored(spark, d).manifest().select("hash", "bytes")
+
+
+@register("blob_contents", "SELECT sha256(text) AS hash, text FROM documents WHERE lang = 'fr' AND text IS NOT NULL GROUP BY text")
+def blob_contents(spark, d):
+    """SNK-09, SRC-23: contents by their hashes, from the parts of the store that hold them."""
+    store = _stored(spark, d)
+    wanted = table(spark, d, "documents").where("lang = 'fr'").select(store.hash_of(F.col("text")).alias("hash"))
+    return store.get(wanted).select("hash", F.col("content").cast("string").alias("text"))
