@@ -12,7 +12,7 @@ from snapfold.operators import admission, matching, states, versioned, window_de
 from snapfold.plans import serve
 from snapfold.plans.catalogue import _season_sql, table
 from snapfold.registry import register
-from snapfold.sources import blobs, files, layout, publish, report
+from snapfold.sources import blobs, files, layout, paged, publish, report
 from snapfold.streaming import candidates
 from snapfold.tables import scratch
 
@@ -462,3 +462,28 @@ def blob_contents(spark, d):
     store = _stored(spark, d)
     wanted = table(spark, d, "documents").where("lang = 'fr'").select(store.hash_of(F.col("text")).alias("hash"))
     return store.get(wanted).select("hash", F.col("content").cast("string").alias("text"))
+
+
+# --- paged sources
+
+
+@register("paged_rows", "SELECT page_id, url, html FROM pages")
+def paged_rows(spark, d):
+    """SRC-24, SRC-20 without the network: a table served in pages, each partition followed page by page."""
+    folder = scratch(spark)
+    paged.save(table(spark, d, "pages").select("page_id", "url", "html"), folder, 4, 20, "page_id")
+    spark.dataSource.register(paged.Paged)
+    return spark.read.format("paged").schema("page_id long, url string, html string").load(folder)
+
+
+@register("paged_stream", "SELECT page_id, url FROM pages")
+def paged_stream(spark, d):
+    """SRC-24 as a stream with offsets by partition: more partitions come between two runs of the query, and no page is read twice."""
+    folder, pages = scratch(spark), table(spark, d, "pages").select("page_id", "url", "html")
+    spark.dataSource.register(paged.Paged)
+    for run in range(3):  # the last run finds nothing new
+        if run < 2:
+            paged.save(pages.where(F.col("page_id") % 2 == run), f"{folder}/in", 4, 20, "page_id", name=f"{run}-")
+        stream = spark.readStream.format("paged").schema("page_id long, url string").load(f"{folder}/in")
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
