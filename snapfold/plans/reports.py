@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from snapfold.functions import dates
 from snapfold.functions import text as X
-from snapfold.operators import admission, matching, states, versioned, window_dedup
+from snapfold.operators import admission, digests, matching, states, versioned, window_dedup
 from snapfold.plans import serve
 from snapfold.plans.catalogue import _season_sql, table
 from snapfold.registry import register
-from snapfold.sources import blobs, files, layout, paged, publish, report
+from snapfold.sources import blobs, database, files, layout, paged, publish, report
 from snapfold.streaming import candidates
 from snapfold.tables import scratch
 
@@ -487,3 +489,51 @@ def paged_stream(spark, d):
         stream = spark.readStream.format("paged").schema("page_id long, url string").load(f"{folder}/in")
         stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+# --- databases
+
+
+def _copied(spark, d) -> database.Database:
+    """Orders copied into an embedded database: three quarters, some of them out of date, then all of them twice."""
+    db = database.Database(spark, f"jdbc:derby:memory:snapfold{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))
+    old = o.where("o_orderkey % 4 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "old").otherwise(F.col("o_orderstatus")))
+    for rows in (old, o, o):
+        db.merge(rows, "orders", ["o_orderkey"])
+    return db
+
+
+@register("database_copy", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice::DECIMAL(18,2) AS o_totalprice FROM orders")
+def database_copy(spark, d):
+    """SRC-07, SRC-09, DML-05: merged through a staging table, read back in ranges of the key."""
+    return _copied(spark, d).read("orders", "o_orderkey", part_rows=4000)
+
+
+@register("database_reconciliation", "SELECT count(*) AS left_rows, count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS right_rows, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS missing, 0::BIGINT AS extra, count(*) FILTER (WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0) AS changed FROM orders")
+def database_reconciliation(spark, d):
+    """SNK-13: rows of a copy against their source, by key and digest."""
+    copy = _copied(spark, d)
+    copy.execute('DELETE FROM orders WHERE mod("o_orderkey", 5) = 0', 'UPDATE orders SET "o_totalprice" = "o_totalprice" + 1 WHERE mod("o_orderkey", 7) = 0')
+    source = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))
+    return database.reconcile(source, copy.read("orders", "o_orderkey", part_rows=4000), ["o_orderkey"])
+
+
+# --- digests of large groups
+
+_LINE = "o_orderkey || chr(31) || o_custkey || chr(31) || o_orderpriority"
+
+
+@register("content_digest_tree", f"""WITH r AS (SELECT o_orderstatus, o_orderkey // 1024 AS node, sha256(string_agg({_LINE}, chr(10) ORDER BY o_orderkey, {_LINE})) AS digest, count(*) AS n FROM orders GROUP BY ALL)
+SELECT o_orderstatus, sha256(string_agg(digest, chr(10) ORDER BY node)) AS digest, sum(n)::BIGINT AS n FROM r GROUP BY o_orderstatus""")
+def content_digest_tree(spark, d):
+    """AGG-31 for groups of any size: ranges of keys hashed apart, their digests in a tree."""
+    return digests.tree_digest(table(spark, d, "orders"), ["o_orderstatus"], "o_orderkey", ["o_orderkey", "o_custkey", "o_orderpriority"])
+
+
+@register("content_differences", """SELECT o_orderstatus, o_orderkey AS key, 'left' AS side FROM orders WHERE o_orderkey % 4000 IN (7, 8) UNION ALL SELECT o_orderstatus, o_orderkey, 'right' FROM orders WHERE o_orderkey % 4000 = 8""")
+def content_differences(spark, d):
+    """AGG-31: where two tables differ, found by the digests of their ranges."""
+    o = table(spark, d, "orders")
+    other = o.where("o_orderkey % 4000 <> 7").withColumn("o_custkey", F.when(F.col("o_orderkey") % 4000 == 8, -1).otherwise(F.col("o_custkey")))
+    return digests.differences(o, other, ["o_orderstatus"], "o_orderkey", ["o_orderkey", "o_custkey", "o_orderpriority"]).select("o_orderstatus", "key", "side")
