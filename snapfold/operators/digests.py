@@ -43,10 +43,10 @@ def tree_digest(df: DataFrame, group: list[str], key: str, columns: list[str], f
         children = F.array_sort(F.collect_list(F.struct("node", "digest")))
         up = nodes.groupBy(*group, _range("node", fan).alias("up")).agg(F.sha2(F.array_join(F.transform(children, lambda c: c["digest"]), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
         nodes = cut(up.withColumnRenamed("up", "node"))
-        if low is None or low // fan == high // fan:
+        if low is None or high // fan - low // fan <= 1:  # ranges on both sides of zero never become one
             break
-    # What is left of a group is one node, and one for rows without a key.
-    rest = F.array_sort(F.collect_list(F.struct(F.col("node").isNotNull().alias("known"), "digest")))
+    # What is left of a group is two nodes at most, and one for rows without a key.
+    rest = F.array_sort(F.collect_list(F.struct(F.col("node").isNotNull().alias("known"), F.coalesce("node", F.lit(0)).alias("node"), "digest")))
     one = F.when(F.size(rest) > 1, F.sha2(F.array_join(F.transform(rest, lambda r: r["digest"]), "\n"), 256)).otherwise(rest[0]["digest"])
     return nodes.groupBy(*group).agg(one.alias("digest"), F.sum("n").alias("n"))
 

@@ -19,12 +19,13 @@ def plain(rows, fan):
         nodes.setdefault(r[0] // fan, []).append(line(r))
     nodes = {k: sha(v) for k, v in nodes.items()}
     while True:
-        done, up = (max(nodes) // fan == min(nodes) // fan), {}
+        done, up = max(nodes) // fan - min(nodes) // fan <= 1, {}
         for k in sorted(nodes):
             up.setdefault(k // fan, []).append(nodes[k])
         nodes = {k: sha(v) for k, v in up.items()}
         if done:
-            return nodes[next(iter(nodes))]
+            rest = [nodes[k] for k in sorted(nodes)]
+            return sha(rest) if len(rest) > 1 else rest[0]
 
 
 def test_tree_digest_of_any_partitions(spark):
