@@ -70,6 +70,70 @@ def test_extraction_of_ordinary_but_odd_markup():
     assert one("<article><p>x</p><svg><p>y</p></article>") == "x\ny"
 
 
+SHAPES = {
+    "plain divs": ("<body><div><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></div><div><h1>A headline of the day</h1><p>The first paragraph of the story tells what came to pass. It has two sentences.</p><p>The second one goes on.</p></div><div>Copyright 2024 Example Media. All rights reserved.</div></body>", "A headline of the day\nThe first paragraph of the story tells what came to pass. It has two sentences.\nThe second one goes on."),
+    "roles": ("<body><div role='banner'>Example Site</div><div role='navigation'><ul><li><a href=/>Home</a></li><li><a href=/x>About</a></li></ul></div><div role='main'><h1>Head line</h1><p>Some prose that is the text of the page, with a comma.</p><p>And more of it follows here.</p></div><div role='contentinfo'>Contact us</div></body>", "Head line\nSome prose that is the text of the page, with a comma.\nAnd more of it follows here."),
+    "header of the article": ("<body><nav><a href=/>Home</a></nav><article><header><h1>Headline</h1><p>By a writer</p></header><p>Prose of the article stands here, in full.</p><p>It ends there.</p></article><footer>Copyright x</footer></body>", "Headline\nBy a writer\nProse of the article stands here, in full.\nIt ends there."),
+    "bare body": ("<body><h1>Title of it</h1><p>One paragraph straight in the body, with words enough to be prose.</p><p>Another paragraph that says more of the same matter.</p><p>A third one.</p></body>", "Title of it\nOne paragraph straight in the body, with words enough to be prose.\nAnother paragraph that says more of the same matter.\nA third one."),
+    "comments": ("<body><article><h1>T here</h1><p>The text of the article is this sentence.</p></article><section id='comments'><h2>Comments</h2><div class='comment'><p>I do not agree with this at all.</p></div></section></body>", "T here\nThe text of the article is this sentence."),
+    "preformatted": ("<body><article><h1>Code</h1><p>This is how to do it, step by step.</p><pre>x = 1\ny = 2</pre><p>That is all there is to it.</p></article></body>", "Code\nThis is how to do it, step by step.\nx = 1 y = 2\nThat is all there is to it."),
+    "text only": ("Just some text without any markup at all, as it was found.", "Just some text without any markup at all, as it was found."),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_extraction_of_ordinary_pages(shape):
+    page, want = SHAPES[shape]
+    assert html_extract.extract_pages([page], html_extract.train())[0] == want
+
+
+def test_extraction_of_every_page_of_the_table(spark, sf_dir):
+    """The table's pages mark their article: what lies in it, less its comments, is the text."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        article = re.search(r"(?s)<article[^>]*>(.*)</article>", r.html)[1]
+        article = re.sub(r"(?s)<(div|section|ul|aside)[^>]*class=\"[^\"]*comment[^\"]*\"[^>]*>.*?</\1>", "", article)
+        blocks = (" ".join(entities.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h[1-6]|li|div|ul|section|blockquote)[^>]*>", article))
+        assert html_extract.extract_pages([r.html], html_extract.train())[0] == "\n".join(b for b in blocks if b)
+
+
+def test_very_long_texts(spark):
+    """Texts far beyond those of the tables, with and without white space."""
+    words = " ".join("".join("abcdefghij"[int(c)] for c in str(i)) for i in range(60_000))
+    rows = [(1, words + " mail a@b.cc", "en", "s", 1), (2, words + " mail a@b.cc end", "en", "s", 1), (3, "x" * 500_000, "en", "t", 1), (4, "short text here", "en", "t", 1), (5, "1-" * 50_000, "en", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = quality.Model(0.1, (quality.Rule(0.5, (("words", True, 3.0),)),))
+    assert {r.doc_id: r.size for r in mixture.mix(df).collect()} == {1: 60_002, 2: 60_003, 3: 1, 4: 3, 5: 1}
+    assert quality.score_quality(df, model).count() == licenses.scan(df).count() == 5
+    assert {r.doc_id: r.n_email for r in pii.report(df).collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+    near = {r.doc_id: r for r in near_dup.near_duplicates(df).collect()}
+    assert near[2].component_id == 1 and near[1].n_shingles == 59_998 and near[3].kept
+
+
+def test_no_rows_in_the_classifier(spark, sf_dir):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.quality_filter(spark, df, sf_dir).count() == 0
+
+
+def test_rows_equal_in_id_and_text_are_dealt_out(spark):
+    """A hundred thousand rows without id and of one text: each has its result, and no task has them all."""
+    df = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("mail a@b.cc now").alias("text"))
+    assert pii.report(df).groupBy("doc_id", "n_email").count().collect() == [(None, 1, 100_000)]
+    assert licenses.scan(df).groupBy("doc_id", "n_licenses").count().collect() == [(None, 0, 100_000)]
+
+
+def test_ledgers_and_tables_go_when_they_are_released(spark):
+    from snapfold.llm import common
+
+    df = spark.createDataFrame([(1, "password=abcdefgh1")], "doc_id long, text string")
+    before = common.written()
+    assert secrets.report(df).first().n_assign == 1
+    made = common._written[before:]
+    assert any("ledger-" in path for path in made)
+    common.release(spark, keep=before)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    assert not any(path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p)) for p in made)
+
+
 def test_extraction_is_linear_in_nesting():
     import time
 
