@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from snapfold.functions import dates
 from snapfold.functions import text as X
-from snapfold.operators import admission, digests, matching, states, versioned, window_dedup
+from snapfold.operators import admission, coverage, digests, lookup, matching, reclassify, states, versioned, window_dedup
 from snapfold.plans import serve
 from snapfold.plans.catalogue import _season_sql, table
 from snapfold.registry import register
@@ -104,20 +104,38 @@ _SIDES, _PARTS, _KINDS = ("Left", "Right"), ("Knee", "Ankle", "Hip"), ("Soreness
 _SQL_CONDITION = "{{'body_part': lower(" + "list_extract(['Knee', 'Ankle', 'Hip'], (event_id // {0} % 3)::INTEGER + 1)" + "), 'laterality': lower(list_extract(['Left', 'Right'], (event_id // {1} % 2)::INTEGER + 1)), 'injury_type': lower(list_extract(['Soreness', 'Sprain'], (event_id // {2} % 2)::INTEGER + 1)), 'is_injury': true}}"
 
 
-@register("compound_conditions", f"""WITH c AS (SELECT event_id, {_SQL_CONDITION.format(1, 3, 6)} AS a, {_SQL_CONDITION.format(12, 36, 72)} AS b FROM events),
+_COMPOUND = f"""WITH c AS (SELECT event_id, {_SQL_CONDITION.format(1, 3, 6)} AS a, {_SQL_CONDITION.format(12, 36, 72)} AS b FROM events),
 g AS (SELECT *, event_id % 5 AS tail, NOT (a.body_part = b.body_part AND a.laterality = b.laterality) AS two FROM c),
 r AS (SELECT event_id, CASE WHEN tail = 0 THEN [a, {{'body_part': NULL, 'laterality': NULL, 'injury_type': NULL, 'is_injury': false}}] WHEN two THEN [a, b] END AS l, a, b FROM g)
-SELECT event_id, (i - 1)::INTEGER AS at, l[i].body_part AS body_part, l[i].laterality AS laterality, l[i].injury_type AS injury_type, l[i].is_injury AS is_injury FROM r, unnest(range(1, len(l) + 1)) AS u(i) WHERE l IS NOT NULL""")
-def compound_conditions(spark, d):
-    """CND-04, REG-08, ARR-01, UDF-02: one row a condition; reasons that state one only are left out here."""
+SELECT event_id, (i - 1)::INTEGER AS at, l[i].body_part AS body_part, l[i].laterality AS laterality, l[i].injury_type AS injury_type, l[i].is_injury AS is_injury FROM r, unnest(range(1, len(l) + 1)) AS u(i) WHERE l IS NOT NULL"""
+
+
+def _compound_reasons(spark, d):
     pick = lambda names, n, k: F.element_at(F.array(*map(F.lit, names)), (F.floor(F.col("event_id") / n) % k + 1).cast("int"))
     one = lambda a, b, c: F.concat(pick(_SIDES, b, 2), F.lit(" "), pick(_PARTS, a, 3), F.lit("; "), pick(_KINDS, c, 2))
     tail = F.when(F.col("event_id") % 5 == 0, F.lit("; Rest")).otherwise(F.concat(F.when(F.col("event_id") % 2 == 0, F.lit(", ")).otherwise(F.lit(" / ")), one(12, 36, 72)))
-    e = table(spark, d, "events").select("event_id", F.concat(F.lit("Injury/Illness - "), one(1, 3, 6), tail).alias("reason"))
+    return table(spark, d, "events").select("event_id", F.concat(F.lit("Injury/Illness - "), one(1, 3, 6), tail).alias("reason"))
+
+
+@register("compound_conditions", _COMPOUND)
+def compound_conditions(spark, d):
+    """CND-04, REG-08, ARR-01, UDF-02: one row a condition; reasons that state one only are left out here."""
+    e = _compound_reasons(spark, d)
     known = X.conditions_of(e.withColumn("category", F.lit("Injury/Illness")), "reason", "category", "c").where(F.size("c") > 1)
     return e.join(known.drop("category"), "reason").select("event_id", F.posexplode("c").alias("at", "x")).select("event_id", "at", "x.body_part", "x.laterality", "x.injury_type", "x.is_injury")
 
 
+@register("classify_appended", _COMPOUND)
+def classify_appended(spark, d):
+    """STA-07: a third of the entries are classified, then all that are left, then nothing; the rows of compound reasons."""
+    e, folder = _compound_reasons(spark, d).withColumn("category", F.lit("Injury/Illness")).withColumnRenamed("event_id", "entry_id"), scratch(spark)
+    for rows in (e.where("entry_id % 3 = 0"), e, e):
+        reclassify.classify_unprocessed(rows, folder, 1)
+    stored = spark.read.parquet(folder)
+    many = stored.where("condition_index = 2").select("entry_id")
+    return stored.join(many, "entry_id", "left_semi").select(F.col("entry_id").alias("event_id"), (F.col("condition_index") - 1).alias("at"), "body_part", "laterality", "injury_type", "is_injury")
+
+
 @register("unsplit_reasons", """SELECT event_id, event_id % 3 = 0 AS ambiguous FROM events""")
 def unsplit_reasons(spark, d):
     """CND-13: reasons of several parts with two places that stay one condition."""
@@ -537,3 +555,57 @@ def content_differences(spark, d):
     o = table(spark, d, "orders")
     other = o.where("o_orderkey % 4000 <> 7").withColumn("o_custkey", F.when(F.col("o_orderkey") % 4000 == 8, -1).otherwise(F.col("o_custkey")))
     return digests.differences(o, other, ["o_orderstatus"], "o_orderkey", ["o_orderkey", "o_custkey", "o_orderpriority"]).select("o_orderstatus", "key", "side")
+
+
+# --- schedules against what was seen
+
+_PHASES = ("preseason", "regular", "playoffs")
+_PLAN = f"""WITH g AS (SELECT {_season_sql(10)} AS season, ['preseason', 'regular', 'playoffs'][month(o_orderdate) % 3 + 1] AS season_type, o_orderdate::DATE AS game_date, 'T' || o_custkey % 40 || '@U' || o_orderkey % 50 AS matchup, o_orderkey FROM orders),
+plan AS (SELECT game_date, matchup, min((season, season_type)) AS x FROM g WHERE o_orderkey % 8 <> 0 GROUP BY ALL),
+seen AS (SELECT g.game_date, g.matchup, bool_or(l_returnflag = 'R' AND l_linenumber < 3) AS p, bool_or(l_returnflag = 'A' AND l_linenumber = 1) AS a FROM g JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL HAVING p OR a),
+c AS (SELECT coalesce(plan.game_date, seen.game_date) AS game_date, coalesce(plan.matchup, seen.matchup) AS matchup, x[1] AS season, x[2] AS season_type, plan.matchup IS NOT NULL AS scheduled, coalesce(p, false) AS p, coalesce(a, false) AS a FROM plan FULL JOIN seen ON plan.game_date = seen.game_date AND plan.matchup = seen.matchup) """
+
+
+def _schedule(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, _PHASES)), (F.month("o_orderdate") % 3 + 1).cast("int"))
+    matchup = F.concat(F.lit("T"), (F.col("o_custkey") % 40).cast("string"), F.lit("@U"), (F.col("o_orderkey") % 50).cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", dates.season(F.col("o_orderdate")).alias("season"), kind.alias("season_type"), F.to_date("o_orderdate").alias("game_date"), matchup.alias("matchup"))
+
+
+def _covered(spark, d):
+    """Seven of eight orders are scheduled games; a returned line is a player's entry, an accepted first one a whole team."""
+    games = _schedule(spark, d)
+    lines = games.join(table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("matchup", F.replace("matchup", F.lit("@"), F.lit(" @ ")))
+    return coverage.covered(games.where("o_orderkey % 8 <> 0").drop("o_orderkey"), lines.where("l_returnflag = 'R' AND l_linenumber < 3"), lines.where("l_returnflag = 'A' AND l_linenumber = 1"))
+
+
+_COVERAGE = """count(*) AS scheduled_games, count(*) FILTER (p) AS games_with_player_observations, count(*) FILTER (a) AS games_with_all_available, count(*) FILTER (p OR a) AS covered_games, count(*) FILTER (NOT p AND NOT a) AS missing_games,
+round(count(*) FILTER (p) * 100.0 / count(*), 1)::DOUBLE AS player_observation_coverage_pct, round(count(*) FILTER (p OR a) * 100.0 / count(*), 1)::DOUBLE AS total_covered_pct FROM c WHERE scheduled"""
+
+
+@register("schedule_coverage", _PLAN + f"SELECT season, season_type, {_COVERAGE} GROUP BY season, season_type")
+def schedule_coverage(spark, d):
+    """RPT-05, AGG-25, JON-18: how much of a schedule was seen, by season and kind."""
+    return coverage.summary(_covered(spark, d), ["season", "season_type"])
+
+
+@register("schedule_coverage_months", _PLAN + f"SELECT season, season_type, strftime(game_date, '%Y-%m') AS month, {_COVERAGE} GROUP BY ALL")
+def schedule_coverage_months(spark, d):
+    """RPT-05: the same by month."""
+    return coverage.summary(_covered(spark, d).withColumn("month", dates.month(F.col("game_date"))), ["season", "season_type", "month"])
+
+
+@register("schedule_missing_extra", _PLAN + "SELECT game_date, matchup, season, season_type, CASE WHEN scheduled THEN 'missing' ELSE 'extra' END AS status FROM c WHERE NOT scheduled OR NOT (p OR a)")
+def schedule_missing_extra(spark, d):
+    """SET-05: scheduled games that nobody saw, and seen ones that nobody scheduled."""
+    return _covered(spark, d).where("status <> 'covered'").select("game_date", "matchup", "season", "season_type", "status")
+
+
+@register("schedule_pair_lookup", _PLAN + f""", p(season, phase, a, b, rank) AS (VALUES {lookup.phase_sql()}), e AS (SELECT o_orderkey, (game_date + INTERVAL 288 MONTH)::DATE AS day, matchup FROM g), s AS (SELECT (game_date + INTERVAL 288 MONTH)::DATE AS day, matchup, x FROM plan),
+h AS (SELECT o_orderkey, season, phase, row_number() OVER (PARTITION BY o_orderkey ORDER BY rank) AS k FROM e JOIN p ON day BETWEEN a AND b)
+SELECT e.o_orderkey, coalesce(x[1], h.season) AS season, coalesce(x[2], h.phase) AS season_type FROM e LEFT JOIN (SELECT day, matchup, min(x) AS x FROM s GROUP BY ALL) s ON s.day = e.day AND s.matchup = e.matchup LEFT JOIN h ON h.o_orderkey = e.o_orderkey AND k = 1""")
+def schedule_pair_lookup(spark, d):
+    """JON-06: the schedule's word on a day and a matchup comes before the periods of the seasons."""
+    later = _schedule(spark, d).withColumn("game_date", F.add_months("game_date", 288))
+    entries = later.select("o_orderkey", "game_date", F.replace("matchup", F.lit("@"), F.lit(" @")).alias("matchup"))
+    return coverage.schedule_meta(entries, later.where("o_orderkey % 8 <> 0")).select("o_orderkey", "season", "season_type")
