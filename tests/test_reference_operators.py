@@ -392,6 +392,12 @@ def test_layout(spark):
     assert [(r.team, r.status) for r in got] == [("A", "Out today"), ("A", "In")]
 
 
+def test_outline_decodes_whole_references_only(spark):
+    html = ["<title>a &amp;&amp;\n b&amp</title><a href=x>1</a><abbr>", "<title>t=&quot;1&quot; &lt;b&gt; &am</title><a href='n'>Next</a><a >", "<p>", None]
+    got = layout.outline(spark.createDataFrame(list(enumerate(html)), "page_id long, html string")).orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(0, "a && b&amp", 1, [], None), (1, "t=&quot;1&quot; <b> &am", 2, [], "n"), (2, "", 0, [], None), (3, None, None, [], None)]
+
+
 def test_results_table(spark):
     good = "<table><tr><th>Date</th><th>Team</th></tr><tr><td>1</td><td>&nbsp;A <b>x</b></td></tr></table>"
     df = lambda h: spark.createDataFrame([(1, h)], "page_id long, html string")
