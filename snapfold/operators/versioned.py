@@ -92,9 +92,13 @@ class Tables:
         return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets)).cast("int")
 
     def _write(self, name: str, rows: DataFrame, key: str) -> dict[str, str]:
-        """Folders of the buckets of rows, by bucket."""
+        """Folders of the buckets of rows, by bucket.
+
+        Spark joins small buckets in one task and deals a large one out over several, so a task's rows do not grow with
+        the table.
+        """
         folder = f"{name}/{uuid.uuid4().hex}"
-        rows.withColumn(_BUCKET, self.bucket(key)).repartition(self.buckets, _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.folder}/{folder}")
+        rows.withColumn(_BUCKET, self.bucket(key)).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.folder}/{folder}")
         path, fs = self._path(f"{self.folder}/{folder}")
         names = [s.getPath().getName() for s in fs.listStatus(path)]
         return {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith(_BUCKET)}

@@ -76,3 +76,18 @@ def test_circles_are_refused_and_empty_tables_are_fine(spark, tmp_path):
     t.put({"a": (spark.range(0).withColumn("v", F.lit(1)), "id"), "b": (spark.range(3), "id")})
     assert t.read("a").count() == 0 and t.delete("b", spark.range(5), (Link("a", "id", "b", "id"),)) == {"b": 3, "a": 0}
     assert t.read("b").count() == 0 and t.read("b").columns == ["id"]
+
+
+def test_a_large_bucket_is_dealt_out_over_tasks(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        df = spark.range(200_000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("s"))
+        tables = versioned.Tables(spark, str(tmp_path / "large"), buckets=2)
+        tables.put({"t": (df, "k")})
+        folders = tables.manifest()["t"]["folders"]
+        assert sorted(folders) == ["0", "1"] and min(len(list((tmp_path / "large" / f).glob("part-*"))) for f in folders.values()) > 4
+        assert tables.read("t").exceptAll(df).isEmpty() and tables.read("t").count() == 200_000
+    finally:
+        spark.conf.set(size, before)
