@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -20,47 +20,44 @@ OUT = "key long, state string, failures int, retry_at timestamp, due boolean, at
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _retry(at: pd.Timestamp, failures: int, wait: pd.Timedelta) -> pd.Timestamp:
-    return at + wait * 2 ** (failures - 1)
+#: What is written of a key: times as microseconds.
+_OUT = "key long, state string, failures int, retry long, due boolean, at long, answer long"
 
 
 class _Candidate(StatefulProcessor):
-    """Keeps a candidate's last answer. A timer is set for its retry, and fires once the watermark is past it."""
+    """Keeps a candidate's last answer. A timer is set for its retry, and fires once the watermark is past it.
+
+    The retry's time is kept with the answer, so an old timer is deleted without asking which there are.
+    """
 
     def __init__(self, limit: int, wait: str):
-        self.limit, self.wait = limit, pd.Timedelta(wait)
+        self.limit, self.wait = limit, pd.Timedelta(wait).value // 1000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "state string, failures int, at timestamp, answer long")
+        self.last = handle.getValueState("last", "state string, failures int, at long, answer long, retry long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, failures, at, answer = self.last.get() if self.last.exists() else (None, 0, None, None)
-        new = pd.concat(list(rows)).sort_values(["at", "answer"])
-        for r in new.itertuples():
-            if at is not None and (r.at, r.answer) <= (pd.Timestamp(at), answer):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state, failures, at, answer, old = self.last.get() or (None, 0, None, None, None)
+        for r in sorted(rows, key=lambda r: (r["us"], r["answer"])):
+            if at is not None and (r["us"], r["answer"]) <= (at, answer):
                 continue  # an older answer that came late, or one that came twice
-            failures = failures + 1 if r.state in FAILED else 0
-            state, at, answer = r.state, r.at, r.answer
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        at = pd.Timestamp(at)
-        self.last.update((state, failures, at.to_pydatetime(), answer))
-        yield self._row(key, state, failures, at, answer, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state, failures, at, answer = self.last.get()
-        yield self._row(key, state, failures, pd.Timestamp(at), answer, True, timer=False)
-
-    def _row(self, key, state, failures, at, answer, due: bool, timer: bool = True) -> pd.DataFrame:
-        retry = None
-        if failures >= self.limit:
-            state = "given_up"
-        elif failures:
-            retry = _retry(at, failures, self.wait)
-            if timer:
-                self.handle.registerTimer(int(retry.value // 1_000_000))
-        return pd.DataFrame({"key": [key[0]], "state": [state], "failures": [failures], "retry_at": [retry], "due": [due], "at": [at], "answer": [answer]})
+            failures = failures + 1 if r["state"] in FAILED else 0
+            state, at, answer = r["state"], r["us"], r["answer"]
+        retry = at + self.wait * 2 ** (failures - 1) if 0 < failures < self.limit else None
+        self.last.update((state, failures, at, answer, retry))
+        if old is not None:
+            self.handle.deleteTimer(old // 1000)
+        if retry is not None:
+            self.handle.registerTimer(retry // 1000)
+        yield self._row(key, state, failures, retry, False, at, answer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state, failures, at, answer, retry = self.last.get()
+        yield self._row(key, state, failures, retry, True, at, answer)
+
+    def _row(self, key, state, failures, retry, due: bool, at, answer) -> Row:
+        return Row(key=key[0], state="given_up" if failures >= self.limit else state, failures=failures, retry=retry, due=due, at=at, answer=answer)
 
     def close(self) -> None:
         pass
@@ -75,7 +72,9 @@ def candidate_stream(answers: DataFrame, table: str, checkpoint: str, limit: int
     spark = answers.sparkSession
     provider, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set(provider, PROVIDER)  # a query takes the setting that holds when it starts
-    kept = answers.withWatermark("at", late).groupBy("key").transformWithStateInPandas(_Candidate(limit, wait), OUT, "Update", "EventTime")
+    timed = answers.withColumn("us", F.unix_micros("at")).withWatermark("at", late)
+    kept = timed.groupBy("key").transformWithState(_Candidate(limit, wait), _OUT, "Update", "EventTime")
+    kept = kept.select("key", "state", "failures", F.timestamp_micros("retry").alias("retry_at"), "due", F.timestamp_micros("at").alias("at"), "answer")
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch={epoch}")

@@ -59,3 +59,38 @@ def test_pairs_of_streams_equal_those_of_tables(spark, tmp_path):
     query = pairs.run(pairs.candidates_stream(streams[0], streams[1].withColumnRenamed("id", "other"), "key", "at", "id", "other"), f"{folder}/pairs", f"{folder}/checkpoint")
     query.awaitTermination()
     assert pairs.late_rows(query) == 1 and spark.read.parquet(f"{folder}/pairs").where(F.col("id") == 5000).count() == 0
+
+
+def test_a_candidate_asks_the_store_for_little():
+    """One read, one update and the timers that change: what a key costs in a batch."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Store:
+        value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+    hour, one = 3_600_000_000, candidates._Candidate(3, "6 hours")
+    one.init(Store())
+    answer = lambda n, state: Row(us=n * hour, answer=n, state=state)
+    got = [next(iter(one.handleInputRows((7,), iter(rows), None))) for rows in ([answer(2, "http_failed"), answer(1, "parsed")], [answer(2, "http_failed"), answer(3, "parse_failed")], [answer(4, "parsed")])]
+    assert [(r.key, r.state, r.failures, r.retry, r.answer) for r in got] == [(7, "http_failed", 1, 8 * hour, 2), (7, "parse_failed", 2, 15 * hour, 3), (7, "parsed", 0, None, 4)]
+    ms = hour // 1000
+    assert calls == ["get", "update", ("register", 8 * ms), "get", "update", ("delete", 8 * ms), ("register", 15 * ms), "get", "update", ("delete", 15 * ms)]
